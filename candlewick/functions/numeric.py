@@ -60,4 +60,5 @@ GRID = 1048576.0
 
 
 def on_grid(x: Column) -> Column:
-    return F.round(x * GRID, 0) / GRID
+    r = F.round(x.cast("float").cast("double") * GRID, 0)
+    return F.when(r == 0, F.lit(0.0)).otherwise(r / GRID)

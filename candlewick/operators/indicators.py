@@ -229,8 +229,9 @@ def raw_features(bars: DataFrame, gauge: DataFrame | None,
         specs += [("_G", F.col("_gain"), RSI_ALPHA), ("_L", F.col("_loss"), RSI_ALPHA)]
     if specs:
         df = ewm_mean(df, specs, ("ticker",), "Date", EWM_LOG2["daily"])
-    else:
-        df = df.select("*", F.lit(None).cast("double").alias("_G"), F.lit(None).cast("double").alias("_L"))
+    for c in ("_G", "_L"):
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast("double"))
     df = df.withColumn("_rsi", rsi_from(F.col("_G"), F.col("_L")))
 
     needs = {h: any(n in _candle_columns(h, periods) for n in wanted) for h in HORIZON_KEYS}
