@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import nan_to_null
 from .labels import pct_2dp
 
 MI_BINS = 10          # equal-frequency bins per variable for mutual information
@@ -39,28 +38,35 @@ def _pair_corr(a: Column, b: Column) -> Column:
 
 
 def corr_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Long (feature_1, feature_2, corr), full symmetric matrix, one scan.
-
-    Every upper-triangle pair is an aggregate of one ``agg`` (partial
-    aggregation per task, one tiny shuffle); the diagonal and lower half are
-    produced from those values by an explode.
+    """Long (feature_1, feature_2, corr), full symmetric matrix.
+
+    Rows complete in all features are used (the engineered tables hold no
+    NULLs).  Columns are centred by their means (one scalar subquery), then a
+    single aggregate of plain sums of cross products covers every
+    upper-triangle pair -- partial aggregation per task, one tiny shuffle;
+    ``stack`` emits both halves of the matrix.  Zero variance gives NULL.
+    Expressions are SQL text, so each projection is one driver call.
     """
     feats = list(features)
-    pairs = [(i, j) for i in range(len(feats)) for j in range(i, len(feats))]
-    row = df.agg(*[_pair_corr(F.col(feats[i]), F.col(feats[j])).alias(f"c{i}_{j}") for i, j in pairs])
-    cells = []
-    for i, j in pairs:
-        cells.append(F.struct(F.lit(feats[i]).alias("feature_1"), F.lit(feats[j]).alias("feature_2"),
-                              F.col(f"c{i}_{j}").alias("corr")))
-        if i != j:
-            cells.append(F.struct(F.lit(feats[j]).alias("feature_1"), F.lit(feats[i]).alias("feature_2"),
-                                  F.col(f"c{i}_{j}").alias("corr")))
-    return row.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    n = len(feats)
+    clean = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS __x{i}" for i, c in enumerate(feats)]).dropna()
+    means = clean.selectExpr(*[f"avg(__x{i}) AS m{i}" for i in range(n)])
+    centred = clean.select(*[(F.col(f"__x{i}") - means.select(f"m{i}").scalar()).alias(f"__x{i}") for i in range(n)])
+    sums = [f"sum(__x{i} * __x{j}) AS s{i}_{j}" for i in range(n) for j in range(i, n)]
+    row = centred.agg(*[F.expr(e) for e in sums])
+
+    def cell(i, j):
+        return f"try_divide(s{min(i, j)}_{max(i, j)}, sqrt(s{i}_{i}) * sqrt(s{j}_{j}))"
+    args = ", ".join(f"'{feats[i]}', '{feats[j]}', {cell(i, j)}" for i in range(n) for j in range(n))
+    return row.selectExpr(f"stack({n * n}, {args}) AS (feature_1, feature_2, corr)")
 
 
 def clean_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Rows finite and non-null in every listed column."""
-    return df.select(*[nan_to_null(F.col(c)).alias(c) for c in cols]).dropna()
+    """Rows finite and non-null in every listed column (B13), as one filter
+    on the original columns (no re-aliasing, which keeps Catalyst's
+    constraint inference linear in the number of columns)."""
+    cond = " AND ".join(f"(`{c}` IS NOT NULL AND NOT isnan(`{c}`) AND abs(`{c}`) != double('inf'))" for c in cols)
+    return df.select(*[F.col(c) for c in cols]).where(F.expr(cond))
 
 
 def _avg_rank(long: DataFrame, key: str, value: str) -> DataFrame:

@@ -17,13 +17,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_id, week_id
-from ..functions.numeric import clip_lower, pct_change, rsi_from, safe_div
 from ..sources.bars import cut_after_last_close, drop_missing_close
-from .seq import ewm_mean, rolling, running, series_window, shift
+from .seq import ewm_mean, frame_sql, over_sql, rolling_sql, running_sql, shift_sql
 
 # Fixed values of the indicator definitions.
 BACKEND_PERIODS = (10, 50, 100, 150, 200)   # moving-average periods of the data layer
@@ -75,6 +74,28 @@ def daily_frame(bars: DataFrame, gauge: DataFrame | None) -> DataFrame:
     return df.join(F.broadcast(gauge_asof(df, gauge)), "Date", "left")
 
 
+def _d(v: float) -> str:
+    return f"{float(v)!r}D"
+
+
+def _div(a: str, b: str) -> str:
+    return f"try_divide({a}, {b})"
+
+
+def _clip0(x: str) -> str:
+    return f"(CASE WHEN ({x}) < 0 THEN 0.0D ELSE ({x}) END)"
+
+
+def _rsi(g: str, l: str) -> str:
+    return (f"(CASE WHEN ({g}) IS NULL OR ({l}) IS NULL THEN CAST(NULL AS DOUBLE) "
+            f"WHEN ({l}) = 0 AND ({g}) = 0 THEN CAST(NULL AS DOUBLE) WHEN ({l}) = 0 THEN 100.0D "
+            f"ELSE 100.0D - 100.0D / (1.0D + ({g}) / ({l})) END)")
+
+
+def _pct(cur: str, prev: str) -> str:
+    return f"((try_divide({cur}, {prev}) - 1.0D) * 100.0D)"
+
+
 def period_table(daily: DataFrame, horizon: str, periods: Sequence[int]) -> DataFrame:
     """Closed-candle statistics of one horizon, one row per (ticker, candle).
 
@@ -92,75 +113,67 @@ def period_table(daily: DataFrame, horizon: str, periods: Sequence[int]) -> Data
         F.max("High").alias("ph"),
         last_non_null("vix_close").alias("pg"),
     )
-    wp = series_window(("ticker",), pid)
-    chg = F.col("pc") - shift(F.col("pc"), wp)
-    g = g.select("*", pct_change(F.col("pc"), shift(F.col("pc"), wp)).alias("pret"),
-                 clip_lower(chg).alias("gain"), clip_lower(-chg).alias("loss"))
-    specs = [(f"ema{p}", F.col("pc"), span_alpha(p)) for p in periods]
-    specs += [("G", F.col("gain"), RSI_ALPHA), ("L", F.col("loss"), RSI_ALPHA)]
-    g = ewm_mean(g, specs, ("ticker",), pid, EWM_LOG2[horizon])
-    g = g.withColumn("crsi", rsi_from(F.col("G"), F.col("L")))
-    pc = F.col("pc")
-    out = [
-        F.col("ticker"), F.col(pid),
-        shift(pc, wp).alias(f"{short}_pc_prev"),
-        shift(F.col("pret"), wp).alias(f"{short}_ret_prev"),
-        shift(F.col("pv"), wp).alias(f"{short}_pv_prev"),
-        shift(F.col("pl"), wp).alias(f"{short}_pl_prev"),
-        shift(F.col("ph"), wp).alias(f"{short}_ph_prev"),
-        shift(F.col("pg"), wp).alias(f"{short}_pg_prev"),
-        shift(F.col("G"), wp).alias(f"{short}_G_prev"),
-        shift(F.col("L"), wp).alias(f"{short}_L_prev"),
-        rolling(F.sum, F.col("crsi"), wp, RSI_MA_LENGTH - 1, start=-(RSI_MA_LENGTH - 1), end=-1)
-        .alias(f"{short}_crsi_sum"),
-        rolling(F.sum, pc, wp, BB_PERIOD - 1, start=-(BB_PERIOD - 1), end=-1).alias(f"{short}_bb_sum"),
-        rolling(F.sum, pc * pc, wp, BB_PERIOD - 1, start=-(BB_PERIOD - 1), end=-1).alias(f"{short}_bb_sq"),
-    ]
+    keys, o = ("ticker",), pid
+    prev = lambda x: shift_sql(x, keys, o)
+    chg = f"(pc - {prev('pc')})"
+    g = g.selectExpr("*", f"{_pct('pc', prev('pc'))} AS pret", f"{_clip0(chg)} AS gain", f"{_clip0('-' + chg)} AS loss")
+    specs = [(f"ema{p}", "pc", span_alpha(p)) for p in periods]
+    specs += [("G", "gain", RSI_ALPHA), ("L", "loss", RSI_ALPHA)]
+    g = ewm_mean(g, specs, keys, pid, EWM_LOG2[horizon])
+    g = g.selectExpr("*", f"{_rsi('G', 'L')} AS crsi")
+    closed = lambda x, n: rolling_sql("sum", x, keys, o, n, start=-n, end=-1)
+    out = ["ticker", pid,
+           f"{prev('pc')} AS {short}_pc_prev", f"{prev('pret')} AS {short}_ret_prev",
+           f"{prev('pv')} AS {short}_pv_prev", f"{prev('pl')} AS {short}_pl_prev",
+           f"{prev('ph')} AS {short}_ph_prev", f"{prev('pg')} AS {short}_pg_prev",
+           f"{prev('G')} AS {short}_G_prev", f"{prev('L')} AS {short}_L_prev",
+           f"{closed('crsi', RSI_MA_LENGTH - 1)} AS {short}_crsi_sum",
+           f"{closed('pc', BB_PERIOD - 1)} AS {short}_bb_sum",
+           f"{closed('pc * pc', BB_PERIOD - 1)} AS {short}_bb_sq"]
     for p in periods:
-        out.append(rolling(F.sum, pc, wp, p - 1, start=-(p - 1), end=-1).alias(f"{short}_sum{p}"))
-        out.append(shift(F.col(f"ema{p}"), wp).alias(f"{short}_ema{p}_prev"))
-    return g.select(*out)
+        out.append(f"{closed('pc', p - 1)} AS {short}_sum{p}")
+        out.append(f"{prev(f'ema{p}')} AS {short}_ema{p}_prev")
+    return g.selectExpr(*out)
 
 
-def _candle_columns(horizon: str, periods: Sequence[int]) -> dict[str, Column]:
+def _candle_columns(horizon: str, periods: Sequence[int]) -> dict[str, str]:
     """Daily-row expressions of one horizon (the open candle folded into the
     closed-candle statistics joined from ``period_table``)."""
     pid, s = HORIZON_KEYS[horizon]
     word = "weekly" if horizon == "weekly" else "monthly"
-    wc = series_window(("ticker", pid), "Date")
-    whole = wc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    close = F.col("Close")
-    c = lambda n: F.col(f"{s}_{n}")
-    cand_open = F.first("Open", ignorenulls=True).over(whole)
-    cols: dict[str, Column] = {}
+    keys = ("ticker", pid)
+    c = lambda n: f"{s}_{n}"
+    whole = over_sql(keys, "Date", frame_sql(None, None))
+    cand_open = f"first(Open, true) {whole}"
+    cols: dict[str, str] = {}
     cols[f"close_{word}_last"] = c("pc_prev")
-    cols[f"pct_change_{s}_current"] = safe_div(close - cand_open, cand_open) * 100.0
+    cols[f"pct_change_{s}_current"] = f"({_div(f'Close - {cand_open}', cand_open)} * 100.0D)"
     cols[f"pct_change_{s}_prev"] = c("ret_prev")
     for p in periods:
-        cols[f"sma_{word}_{p}"] = (c(f"sum{p}") + close) / float(p)
+        cols[f"sma_{word}_{p}"] = f"(({c(f'sum{p}')} + Close) / {_d(p)})"
     for p in periods:
         a = span_alpha(p)
-        cols[f"ema_{word}_{p}"] = a * close + (1.0 - a) * c(f"ema{p}_prev")
-    cols[f"volume_{s}_current"] = running(F.sum, F.col("Volume"), wc)
+        cols[f"ema_{word}_{p}"] = f"({_d(a)} * Close + {_d(1.0 - a)} * {c(f'ema{p}_prev')})"
+    cols[f"volume_{s}_current"] = running_sql("sum", "Volume", keys, "Date")
     cols[f"volume_{s}_prev"] = c("pv_prev")
-    cols[f"low_{s}_current"] = running(F.min, F.col("Low"), wc)
-    cols[f"high_{s}_current"] = running(F.max, F.col("High"), wc)
+    cols[f"low_{s}_current"] = running_sql("min", "Low", keys, "Date")
+    cols[f"high_{s}_current"] = running_sql("max", "High", keys, "Date")
     cols[f"low_{s}_prev"] = c("pl_prev")
     cols[f"high_{s}_prev"] = c("ph_prev")
-    basis = (c("bb_sum") + close) / float(BB_PERIOD)
-    var = clip_lower((c("bb_sq") + close * close) / float(BB_PERIOD) - basis * basis)
-    std = F.sqrt(var)
+    basis = f"(({c('bb_sum')} + Close) / {_d(BB_PERIOD)})"
+    var = f"(({c('bb_sq')} + Close * Close) / {_d(BB_PERIOD)} - {basis} * {basis})"
+    std = f"sqrt({_clip0(var)})"
     cols[f"bb_base_{word}"] = basis
-    cols[f"bb_upper_{word}"] = basis + BB_K * std
-    cols[f"bb_lower_{word}"] = basis - BB_K * std
-    chg = close - c("pc_prev")
-    gain = RSI_ALPHA * clip_lower(chg) + (1.0 - RSI_ALPHA) * c("G_prev")
-    loss = RSI_ALPHA * clip_lower(-chg) + (1.0 - RSI_ALPHA) * c("L_prev")
-    rsi = rsi_from(gain, loss)
-    rsi_ma = (c("crsi_sum") + rsi) / float(RSI_MA_LENGTH)
+    cols[f"bb_upper_{word}"] = f"({basis} + {_d(BB_K)} * {std})"
+    cols[f"bb_lower_{word}"] = f"({basis} - {_d(BB_K)} * {std})"
+    chg = f"(Close - {c('pc_prev')})"
+    gain = f"({_d(RSI_ALPHA)} * {_clip0(chg)} + {_d(1.0 - RSI_ALPHA)} * {c('G_prev')})"
+    loss = f"({_d(RSI_ALPHA)} * {_clip0('-' + chg)} + {_d(1.0 - RSI_ALPHA)} * {c('L_prev')})"
+    rsi = _rsi(gain, loss)
+    rsi_ma = f"(({c('crsi_sum')} + {rsi}) / {_d(RSI_MA_LENGTH)})"
     cols[f"rsi_{word}"] = rsi
     cols[f"rsi_ma_{word}"] = rsi_ma
-    cols[f"rsi_gap_{word}"] = rsi - rsi_ma
+    cols[f"rsi_gap_{word}"] = f"({rsi} - {rsi_ma})"
     cols[f"vix_{word}_last"] = c("pg_prev")
     return cols
 
@@ -216,55 +229,52 @@ def raw_features(bars: DataFrame, gauge: DataFrame | None,
               if blocks is None or any(BLOCKS[b](n) for b in blocks)]
 
     daily = daily_frame(bars, gauge).repartition("ticker")
-    wt = series_window(("ticker",), "Date")
-    close = F.col("Close")
-
-    chg = close - shift(close, wt)
-    df = daily.select("*", shift(close, wt).alias("_prev_close"),
-                      clip_lower(chg).alias("_gain"), clip_lower(-chg).alias("_loss"))
+    keys = ("ticker",)
+    prev = lambda x: shift_sql(x, keys, "Date")
+    chg = f"(Close - {prev('Close')})"
+    df = daily.selectExpr("*", f"{prev('Close')} AS _prev_close",
+                          f"{_clip0(chg)} AS _gain", f"{_clip0('-' + chg)} AS _loss")
     specs = []
     if any(n.startswith("ema_daily_") for n in wanted):
-        specs += [(f"_ema{p}", close, span_alpha(p)) for p in periods]
+        specs += [(f"_ema{p}", "Close", span_alpha(p)) for p in periods]
     if any(n.startswith("rsi_") and n.endswith("daily") for n in wanted):
-        specs += [("_G", F.col("_gain"), RSI_ALPHA), ("_L", F.col("_loss"), RSI_ALPHA)]
+        specs += [("_G", "_gain", RSI_ALPHA), ("_L", "_loss", RSI_ALPHA)]
     if specs:
-        df = ewm_mean(df, specs, ("ticker",), "Date", EWM_LOG2["daily"])
-    for c in ("_G", "_L"):
-        if c not in df.columns:
-            df = df.withColumn(c, F.lit(None).cast("double"))
-    df = df.withColumn("_rsi", rsi_from(F.col("_G"), F.col("_L")))
+        df = ewm_mean(df, specs, keys, "Date", EWM_LOG2["daily"])
+    extra = [f"CAST(NULL AS DOUBLE) AS {c}" for c in ("_G", "_L") if c not in df.columns]
+    df = df.selectExpr("*", *extra)
+    df = df.selectExpr("*", f"{_rsi('_G', '_L')} AS _rsi")
 
-    needs = {h: any(n in _candle_columns(h, periods) for n in wanted) for h in HORIZON_KEYS}
+    cand = {h: _candle_columns(h, periods) for h in HORIZON_KEYS}
     for h, (pid, _) in HORIZON_KEYS.items():
-        if needs[h]:
+        if any(n in cand[h] for n in wanted):
             df = df.join(period_table(daily, h, periods), ["ticker", pid], "left")
 
-    cols: dict[str, Column] = {
-        "close_daily_last": close,
-        "pct_change_daily_last": pct_change(close, F.col("_prev_close")),
+    roll = lambda agg, x, n: rolling_sql(agg, x, keys, "Date", n)
+    cols: dict[str, str] = {
+        "close_daily_last": "Close",
+        "pct_change_daily_last": _pct("Close", "_prev_close"),
     }
     for p in periods:
-        cols[f"sma_daily_{p}"] = rolling(F.avg, close, wt, p)
-        cols[f"ema_daily_{p}"] = F.col(f"_ema{p}") if f"ema_daily_{p}" in wanted else F.lit(None)
-    cols["volume_prev_day"] = shift(F.col("Volume"), wt)
-    cols["volume_avg_daily_90"] = rolling(F.avg, F.col("Volume"), wt, VOLUME_AVG_WINDOW)
-    cols["low_prev_day"] = shift(F.col("Low"), wt)
-    cols["high_prev_day"] = shift(F.col("High"), wt)
-    base = rolling(F.avg, close, wt, BB_PERIOD)
-    sd = rolling(F.stddev_pop, close, wt, BB_PERIOD)
+        cols[f"sma_daily_{p}"] = roll("avg", "Close", p)
+        cols[f"ema_daily_{p}"] = f"_ema{p}"
+    cols["volume_prev_day"] = prev("Volume")
+    cols["volume_avg_daily_90"] = roll("avg", "Volume", VOLUME_AVG_WINDOW)
+    cols["low_prev_day"] = prev("Low")
+    cols["high_prev_day"] = prev("High")
+    base, sd = roll("avg", "Close", BB_PERIOD), roll("stddev_pop", "Close", BB_PERIOD)
     cols["bb_base_daily"] = base
-    cols["bb_upper_daily"] = base + BB_K * sd
-    cols["bb_lower_daily"] = base - BB_K * sd
-    cols["rsi_daily"] = F.col("_rsi")
-    rsi_ma = rolling(F.avg, F.col("_rsi"), wt, RSI_MA_LENGTH)
+    cols["bb_upper_daily"] = f"({base} + {_d(BB_K)} * {sd})"
+    cols["bb_lower_daily"] = f"({base} - {_d(BB_K)} * {sd})"
+    rsi_ma = roll("avg", "_rsi", RSI_MA_LENGTH)
+    cols["rsi_daily"] = "_rsi"
     cols["rsi_ma_daily"] = rsi_ma
-    cols["rsi_gap_daily"] = F.col("_rsi") - rsi_ma
-    cols["vix_daily_last"] = shift(F.col("vix_close"), wt)
+    cols["rsi_gap_daily"] = f"(_rsi - {rsi_ma})"
+    cols["vix_daily_last"] = prev("vix_close")
     for h in HORIZON_KEYS:
-        if needs[h]:
-            cols.update(_candle_columns(h, periods))
+        cols.update(cand[h])
 
-    out = df.select("Date", "ticker", *[cols[n].cast("double").alias(n) for n in wanted])
+    out = df.selectExpr("Date", "ticker", *[f"CAST({cols[n]} AS DOUBLE) AS {n}" for n in wanted])
     if start_date is not None:
         out = trim_to_start(out, start_date)
     return out

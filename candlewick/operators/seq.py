@@ -45,61 +45,96 @@ def running(agg, x: Column, w: WindowSpec) -> Column:
     return F.when(x.isNotNull(), agg(x).over(frame))
 
 
-def ewm_mean(df: DataFrame, specs: Sequence[tuple[str, Column, float]],
-             keys: Sequence[str], order: str, max_rows_log2: int = 16) -> DataFrame:
+# ---------------------------------------------------------------- SQL-text forms
+# The indicator plans carry hundreds of window expressions; building them as
+# SQL text and projecting with ``selectExpr`` costs one driver->JVM call per
+# projection instead of several per expression.
+
+def over_sql(keys: Sequence[str], order: str, frame: str = "") -> str:
+    return f"OVER (PARTITION BY {', '.join(keys)} ORDER BY {order}{' ' + frame if frame else ''})"
+
+
+def frame_sql(start: int | None, end: int | None) -> str:
+    def bound(v, side):
+        if v is None:
+            return f"UNBOUNDED {side}"
+        if v == 0:
+            return "CURRENT ROW"
+        return f"{-v} PRECEDING" if v < 0 else f"{v} FOLLOWING"
+    return f"ROWS BETWEEN {bound(start, 'PRECEDING')} AND {bound(end, 'FOLLOWING')}"
+
+
+def shift_sql(x: str, keys: Sequence[str], order: str, k: int = 1) -> str:
+    fn = "lag" if k >= 0 else "lead"
+    return f"{fn}({x}, {abs(k)}) {over_sql(keys, order)}"
+
+
+def rolling_sql(agg: str, x: str, keys: Sequence[str], order: str, n: int,
+                min_periods: int | None = None, start: int | None = None, end: int = 0) -> str:
+    """SQL form of ``rolling``: NULL until the frame holds min_periods values."""
+    if start is None:
+        start = -(n - 1) + end
+    o = over_sql(keys, order, frame_sql(start, end))
+    return f"(CASE WHEN count({x}) {o} >= {n if min_periods is None else min_periods} THEN {agg}({x}) {o} END)"
+
+
+def running_sql(agg: str, x: str, keys: Sequence[str], order: str) -> str:
+    o = over_sql(keys, order, frame_sql(None, 0))
+    return f"(CASE WHEN {x} IS NOT NULL THEN {agg}({x}) {o} END)"
+
+
+def ewm_mean(df: DataFrame, specs: Sequence[tuple[str, str, float]],
+             keys: Sequence[str], order: str, max_rows_log2: int = 16, radix: int = 16) -> DataFrame:
     """Add ``ewm(alpha, adjust=False).mean()`` columns: y0 = x0, yt = a*xt + (1-a)*y(t-1).
 
-    specs: (output name, input column, alpha).  Rows before the first non-null
-    input give NULL; a NULL input after that carries the previous value.
+    specs: (output name, input SQL expression, alpha).  Rows before the first
+    non-null input give NULL; a NULL input after that carries the previous value.
 
     Each row is the affine map y -> A*y + B (seed row: A=0, B=x; later rows
-    A=1-a, B=a*x).  The prefix composition of those maps is built by recursive
-    doubling: after step s every row holds the composition of its 2**(s+1)
-    trailing maps, so ``max_rows_log2`` window passes (all with the same
-    partitioning and ordering, i.e. one sort) give the exact recurrence for
-    series of up to 2**max_rows_log2 rows.  Longer series fail loudly.  All
-    terms are products of factors in [0, 1] and non-negative sums, so the scan
-    is numerically stable (no r**-k growth).
+    A=1-a, B=a*x).  The prefix composition of those maps is built by a
+    radix-``radix`` scan: after pass s every row holds the composition of its
+    radix**(s+1) trailing maps (pass s composes the row's map with the maps
+    found d, 2d, ... (radix-1)d rows back, d = radix**s).  All passes share one
+    partitioning and ordering (one sort), and ceil(max_rows_log2 / log2(radix))
+    passes give the exact recurrence for series of up to 2**max_rows_log2
+    rows; longer series fail loudly.  Every term is a product of factors in
+    [0, 1] times a non-negative sum, so the scan is numerically stable.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    cols = []
-    tmp = []
-    for i, (name, x, alpha) in enumerate(specs):
-        a, b, seen = f"__ewm_a{i}", f"__ewm_b{i}", f"__ewm_s{i}"
-        tmp += [a, b, seen]
-        seen_c = F.count(x).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        cols += [seen_c.alias(seen)]
-    out = df.select("*", *cols)
+    bits = radix.bit_length() - 1
+    if 1 << bits != radix:
+        raise ValueError("radix must be a power of two")
+    passes = -(-max_rows_log2 // bits)
+    n = len(specs)
+    base = [f"`{c}`" for c in df.columns]
+    seen = [f"__ewm_s{i}" for i in range(n)]
+    run = over_sql(keys, order, frame_sql(None, 0))
+    out = df.selectExpr(*base, *[f"count({x}) {run} AS __ewm_s{i}" for i, (_, x, _) in enumerate(specs)])
     init = []
-    for i, (name, x, alpha) in enumerate(specs):
-        a, b, seen = f"__ewm_a{i}", f"__ewm_b{i}", f"__ewm_s{i}"
-        first = (F.col(seen) == 1) & x.isNotNull()
-        init += [
-            F.when(first, F.lit(0.0)).when(x.isNull(), F.lit(1.0))
-             .otherwise(F.lit(1.0 - alpha)).alias(a),
-            F.when(first, x.cast("double")).when(x.isNull(), F.lit(0.0))
-             .otherwise(x * float(alpha)).alias(b),
-        ]
-    out = out.select(*[c for c in out.columns if not c.startswith("__ewm_a") and not c.startswith("__ewm_b")], *init)
-    for s in range(max_rows_log2):
-        k = 1 << s
+    for i, (_, x, alpha) in enumerate(specs):
+        first = f"(__ewm_s{i} = 1 AND ({x}) IS NOT NULL)"
+        init += [f"CASE WHEN {first} THEN 0.0D WHEN ({x}) IS NULL THEN 1.0D ELSE {1.0 - alpha!r}D END AS __ewm_a{i}",
+                 f"CASE WHEN {first} THEN CAST({x} AS DOUBLE) WHEN ({x}) IS NULL THEN 0.0D "
+                 f"ELSE ({x}) * {float(alpha)!r}D END AS __ewm_b{i}"]
+    out = out.selectExpr(*base, *seen, *init)
+    o = over_sql(keys, order)
+    for s in range(passes):
+        d = radix ** s
         step = []
-        for i in range(len(specs)):
-            a, b = F.col(f"__ewm_a{i}"), F.col(f"__ewm_b{i}")
-            pa = F.coalesce(F.lag(a, k).over(w), F.lit(1.0))
-            pb = F.coalesce(F.lag(b, k).over(w), F.lit(0.0))
-            step += [(a * pa).alias(f"__ewm_a{i}"), (a * pb + b).alias(f"__ewm_b{i}")]
-        keep = [c for c in out.columns if not c.startswith("__ewm_a") and not c.startswith("__ewm_b")]
-        out = out.select(*keep, *step)
-    limit = 1 << max_rows_log2
-    guard = F.lag(F.lit(1), limit).over(w)
+        for i in range(n):
+            a, b = f"__ewm_a{i}", f"__ewm_b{i}"
+            la = [f"coalesce(lag({a}, {j * d}) {o}, 1.0D)" for j in range(1, radix)]
+            lb = [f"coalesce(lag({b}, {j * d}) {o}, 0.0D)" for j in range(1, radix)]
+            acc_b = lb[-1]
+            for j in range(radix - 3, -1, -1):
+                acc_b = f"({lb[j]} + {la[j]} * {acc_b})"
+            step += [f"{a} * {' * '.join(la)} AS {a}", f"{b} + {a} * {acc_b} AS {b}"]
+        out = out.selectExpr(*base, *seen, *step)
+    limit = radix ** passes
     final = []
-    for i, (name, x, alpha) in enumerate(specs):
-        val = F.when(F.col(f"__ewm_s{i}") > 0, F.col(f"__ewm_b{i}"))
+    for i, (name, _, _) in enumerate(specs):
+        val = f"CASE WHEN __ewm_s{i} > 0 THEN __ewm_b{i} END"
         if i == 0:
-            val = F.when(guard.isNotNull(), F.raise_error(F.lit(
-                f"ewm_mean: series longer than {limit} rows; raise max_rows_log2"
-            )).cast("double")).otherwise(val)
-        final.append(val.alias(name))
-    keep = [c for c in out.columns if not c.startswith("__ewm_")]
-    return out.select(*keep, *final)
+            val = (f"CASE WHEN lag(1, {limit}) {o} IS NOT NULL THEN CAST(raise_error("
+                   f"'ewm_mean: series longer than {limit} rows; raise max_rows_log2') AS DOUBLE) ELSE {val} END")
+        final.append(f"{val} AS `{name}`")
+    return out.selectExpr(*base, *final)

@@ -285,7 +285,7 @@ def engineered(horizon: str, periods: Sequence[int], available: Sequence[str]) -
                     f"least(greatest(greatest(4 - {dow}, 0) / {TRADING_DAYS_PER_CANDLE['weekly']}.0, 0.0), 1.0)"))
     elif spec["days_to_close"] == "days_to_close_monthly":
         left = ("len(list_filter(generate_series(CAST(Date + INTERVAL 1 DAY AS TIMESTAMP), "
-                "CAST(last_day(Date) AS TIMESTAMP), INTERVAL 1 DAY), x -> isodow(x) <= 5))")
+                "CAST(last_day(Date) AS TIMESTAMP), INTERVAL 1 DAY), lambda x: isodow(x) <= 5))")
         out.append(("days_to_close_monthly",
                     f"least(greatest({left} / {TRADING_DAYS_PER_CANDLE['monthly']}.0, 0.0), 1.0)"))
     return out
@@ -534,12 +534,12 @@ def association_cte(q: Sql, h: str, bins: int = MI_BINS) -> str:
     q.add(f"rk_{h}", f"""SELECT feature, value, t,
   rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS rv,
   rank() OVER (PARTITION BY feature ORDER BY t) + (count(*) OVER (PARTITION BY feature, t) - 1) / 2.0 AS rt,
-  least({bins - 1}, floor((rank() OVER (PARTITION BY feature ORDER BY value) - 1) * {bins} / (SELECT n FROM tn_{h}))) AS bx,
-  least({bins - 1}, floor((rank() OVER (PARTITION BY feature ORDER BY t) - 1) * {bins} / (SELECT n FROM tn_{h}))) AS by
+  least({bins - 1}, floor((rank() OVER (PARTITION BY feature ORDER BY value) - 1) * {bins} / (SELECT n FROM tn_{h}))) AS bin_x,
+  least({bins - 1}, floor((rank() OVER (PARTITION BY feature ORDER BY t) - 1) * {bins} / (SELECT n FROM tn_{h}))) AS bin_y
 FROM lg_{h}""")
-    q.add(f"jc_{h}", f"SELECT feature, bx, by, count(*) AS nxy FROM rk_{h} GROUP BY ALL")
+    q.add(f"jc_{h}", f"SELECT feature, bin_x, bin_y, count(*) AS nxy FROM rk_{h} GROUP BY ALL")
     q.add(f"mi_{h}", f"""SELECT feature, sum(nxy / n * ln(nxy * n / (nx * ny))) AS mutual_info FROM (
-  SELECT feature, nxy, sum(nxy) OVER (PARTITION BY feature, bx) AS nx, sum(nxy) OVER (PARTITION BY feature, by) AS ny,
+  SELECT feature, nxy, sum(nxy) OVER (PARTITION BY feature, bin_x) AS nx, sum(nxy) OVER (PARTITION BY feature, bin_y) AS ny,
   (SELECT n FROM tn_{h}) AS n FROM jc_{h}) GROUP BY feature""")
     return q.add(f"as_{h}", f"""SELECT r.feature, corr(r.value, r.t) AS pearson, corr(r.rv, r.rt) AS spearman, m.mutual_info,
   '{h}' AS horizon FROM rk_{h} r JOIN mi_{h} m USING (feature) GROUP BY r.feature, m.mutual_info""")

@@ -4,8 +4,8 @@
     orders   -> gauge ----> raw indicators -> pooled -> horizon raw
                                    -> features/labels -> split -> baseline -> metrics
 
-Nothing here triggers an action.  A caller that reuses a stage several times
-(bench, training loop) persists or checkpoints it.
+Nothing here triggers an action except ``stage``: the two stages read many
+times (features, split) are checkpointed once into the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..operators.features import drop_missing_anchor, engineer_horizon, pool_tickers, select_horizon_columns
 from ..operators.indicators import BACKEND_PERIODS, MODEL_PERIODS, raw_features
 from ..operators.labels import split_groups
+from ..session import ensure_checkpoint_dir
 from ..sources.bars import load_bars, load_gauge
 
 HORIZONS = ("daily", "weekly", "monthly")
@@ -50,9 +51,37 @@ def horizon_raw(spark: SparkSession, sf_dir: str, horizon: str) -> DataFrame:
     return drop_missing_anchor(select_horizon_columns(pooled(spark, sf_dir, FEATURE_PERIODS[horizon]), horizon))
 
 
+_STAGES: dict[tuple, DataFrame] = {}
+
+
+def stage(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """Materialize a stage that later stages read several times.
+
+    The DataFrame is written by a reliable ``checkpoint()`` into the shared
+    folder named by ``spark.checkpoint.dir`` (it survives executor loss and
+    cuts the lineage, so downstream plans stay small), once per session and
+    key.  ``clear_stages()`` forgets the handles.
+    """
+    ensure_checkpoint_dir(spark)
+    full = (spark.sparkContext.applicationId, *key)
+    hit = _STAGES.get(full)
+    if hit is None:
+        hit = build().checkpoint(eager=True)
+        _STAGES[full] = hit
+    return hit
+
+
+def clear_stages() -> None:
+    _STAGES.clear()
+
+
 def features(spark: SparkSession, sf_dir: str, horizon: str) -> DataFrame:
-    df, _ = engineer_horizon(horizon_raw(spark, sf_dir, horizon), horizon, FEATURE_PERIODS[horizon])
-    return df
+    """Engineered table of one horizon (materialized: read by the split,
+    folds, EDA and fits; calendar-sized, one row per ticker and trading day)."""
+    def build():
+        df, _ = engineer_horizon(horizon_raw(spark, sf_dir, horizon), horizon, FEATURE_PERIODS[horizon])
+        return df
+    return stage(spark, ("features", sf_dir, horizon), build)
 
 
 def feature_names(spark: SparkSession, sf_dir: str, horizon: str) -> list[str]:
@@ -61,7 +90,8 @@ def feature_names(spark: SparkSession, sf_dir: str, horizon: str) -> list[str]:
 
 
 def split(spark: SparkSession, sf_dir: str, horizon: str) -> DataFrame:
-    return split_groups(features(spark, sf_dir, horizon), horizon)
+    """Train/test tagged rows (materialized, read by every modelling stage)."""
+    return stage(spark, ("split", sf_dir, horizon), lambda: split_groups(features(spark, sf_dir, horizon), horizon))
 
 
 def all_horizons(fn, *args) -> DataFrame:
