@@ -215,18 +215,21 @@ BLOCKS = {
 def raw_features(bars: DataFrame, gauge: DataFrame | None,
                  periods: Sequence[int] = BACKEND_PERIODS,
                  start_date: str | None = None,
-                 blocks: Sequence[str] | None = None) -> DataFrame:
+                 blocks: Sequence[str] | None = None,
+                 columns: Sequence[str] | None = None) -> DataFrame:
     """All raw indicator columns for every ticker: ``Date, ticker, <catalogue>``.
 
-    ``blocks`` restricts the output to some of X1..X8 (see ``BLOCKS``); the
-    plan then only carries the windows those blocks need.  ``start_date`` trims
+    ``blocks`` restricts the output to some of X1..X8 (see ``BLOCKS``) and
+    ``columns`` to named catalogue columns; the plan then only carries the
+    windows, scans and period joins those columns need.  ``start_date`` trims
     rows (strict >) *after* all windows ran on the full history (B4).
     """
     periods = tuple(int(p) for p in periods)
     if any(p < 2 for p in periods):
         raise ValueError("moving-average periods must be >= 2")
     wanted = [n for n in _catalogue(periods)
-              if blocks is None or any(BLOCKS[b](n) for b in blocks)]
+              if (blocks is None or any(BLOCKS[b](n) for b in blocks))
+              and (columns is None or n in columns)]
 
     daily = daily_frame(bars, gauge).repartition("ticker")
     keys = ("ticker",)

@@ -84,7 +84,7 @@ def running_sql(agg: str, x: str, keys: Sequence[str], order: str) -> str:
 
 
 def ewm_mean(df: DataFrame, specs: Sequence[tuple[str, str, float]],
-             keys: Sequence[str], order: str, max_rows_log2: int = 16, radix: int = 16) -> DataFrame:
+             keys: Sequence[str], order: str, max_rows_log2: int = 16, radix: int = 4) -> DataFrame:
     """Add ``ewm(alpha, adjust=False).mean()`` columns: y0 = x0, yt = a*xt + (1-a)*y(t-1).
 
     specs: (output name, input SQL expression, alpha).  Rows before the first

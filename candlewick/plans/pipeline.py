@@ -15,8 +15,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.features import drop_missing_anchor, engineer_horizon, pool_tickers, select_horizon_columns
+from ..operators.features import (HORIZON_TOKENS, drop_missing_anchor, engineer_horizon, pool_tickers,
+                                  select_horizon_columns)
 from ..operators.indicators import BACKEND_PERIODS, MODEL_PERIODS, raw_features
+from ..operators.indicators import _catalogue as catalogue
 from ..operators.labels import split_groups
 from ..session import ensure_checkpoint_dir
 from ..sources.bars import load_bars, load_gauge
@@ -47,8 +49,13 @@ def pooled(spark: SparkSession, sf_dir: str, periods: Sequence[int] = MODEL_PERI
 
 
 def horizon_raw(spark: SparkSession, sf_dir: str, horizon: str) -> DataFrame:
-    """Extract (B2) + missing check (B7) for one horizon."""
-    return drop_missing_anchor(select_horizon_columns(pooled(spark, sf_dir, FEATURE_PERIODS[horizon]), horizon))
+    """Extract (B2) + missing check (B7) for one horizon.  Only the columns
+    of that horizon (and the daily close behind the anchor) are computed."""
+    periods = FEATURE_PERIODS[horizon]
+    toks = HORIZON_TOKENS[horizon]
+    cols = ["close_daily_last"] + [c for c in catalogue(periods) if any(t in c for t in toks)]
+    raw_h = raw_features(bars(spark, sf_dir), gauge(spark, sf_dir), periods, columns=cols)
+    return drop_missing_anchor(select_horizon_columns(pool_tickers(raw_h), horizon))
 
 
 _STAGES: dict[tuple, DataFrame] = {}
