@@ -223,6 +223,10 @@ def raw_features(bars: DataFrame, gauge: DataFrame | None,
     ``columns`` to named catalogue columns; the plan then only carries the
     windows, scans and period joins those columns need.  ``start_date`` trims
     rows (strict >) *after* all windows ran on the full history (B4).
+
+    ``bars`` may be raw bars or a prepared ``daily_frame`` (for example one
+    materialized and hash-partitioned by ticker), in which case ``gauge`` is
+    not used again.
     """
     periods = tuple(int(p) for p in periods)
     if any(p < 2 for p in periods):
@@ -231,7 +235,10 @@ def raw_features(bars: DataFrame, gauge: DataFrame | None,
               if (blocks is None or any(BLOCKS[b](n) for b in blocks))
               and (columns is None or n in columns)]
 
-    daily = daily_frame(bars, gauge).repartition("ticker")
+    if {"week_id", "month_id", "vix_close"} <= set(bars.columns):
+        daily = bars                      # already a prepared daily frame (see ``daily_frame``)
+    else:
+        daily = daily_frame(bars, gauge).repartition("ticker")
     keys = ("ticker",)
     prev = lambda x: shift_sql(x, keys, "Date")
     chg = f"(Close - {prev('Close')})"

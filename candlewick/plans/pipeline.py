@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.features import (HORIZON_TOKENS, drop_missing_anchor, engineer_horizon, pool_tickers,
                                   select_horizon_columns)
-from ..operators.indicators import BACKEND_PERIODS, MODEL_PERIODS, raw_features
+from ..operators.indicators import BACKEND_PERIODS, MODEL_PERIODS, daily_frame, raw_features
 from ..operators.indicators import _catalogue as catalogue
 from ..operators.labels import split_groups
 from ..session import ensure_checkpoint_dir
@@ -39,9 +39,19 @@ def gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_gauge(spark, sf_dir)
 
 
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars + candle keys + as-of gauge, hash-partitioned by ticker and
+    materialized once: the scan and aggregation of the line items run a single
+    time however many indicator branches read the result, and the ticker
+    partitioning survives the checkpoint, so later ticker windows need no
+    exchange."""
+    return stage(spark, ("daily", sf_dir),
+                 lambda: daily_frame(bars(spark, sf_dir), gauge(spark, sf_dir)).repartition("ticker"))
+
+
 def raw(spark: SparkSession, sf_dir: str, periods: Sequence[int] = BACKEND_PERIODS,
         blocks: Sequence[str] | None = None, start_date: str | None = None) -> DataFrame:
-    return raw_features(bars(spark, sf_dir), gauge(spark, sf_dir), periods, start_date, blocks)
+    return raw_features(daily(spark, sf_dir), None, periods, start_date, blocks)
 
 
 def pooled(spark: SparkSession, sf_dir: str, periods: Sequence[int] = MODEL_PERIODS) -> DataFrame:
@@ -54,7 +64,7 @@ def horizon_raw(spark: SparkSession, sf_dir: str, horizon: str) -> DataFrame:
     periods = FEATURE_PERIODS[horizon]
     toks = HORIZON_TOKENS[horizon]
     cols = ["close_daily_last"] + [c for c in catalogue(periods) if any(t in c for t in toks)]
-    raw_h = raw_features(bars(spark, sf_dir), gauge(spark, sf_dir), periods, columns=cols)
+    raw_h = raw_features(daily(spark, sf_dir), None, periods, columns=cols)
     return drop_missing_anchor(select_horizon_columns(pool_tickers(raw_h), horizon))
 
 

@@ -100,10 +100,9 @@ def _cards(spark, sf):
     return decide.forecast_card(on_grid)
 
 
-def _store_raw(spark, sf, bars=None):
-    bars = bars if bars is not None else P.bars(spark, sf)
+def _store_raw(spark, sf, daily=None):
     from ..operators.indicators import raw_features
-    return raw_features(bars, P.gauge(spark, sf), BACKEND_PERIODS)
+    return raw_features(daily if daily is not None else P.daily(spark, sf), None, BACKEND_PERIODS)
 
 
 def _snapshot_cutoff(spark, sf):
@@ -112,8 +111,7 @@ def _snapshot_cutoff(spark, sf):
 
 
 def _store(spark, sf):
-    bars = P.bars(spark, sf)
-    old = bars.where(F.col("Date") <= _snapshot_cutoff(spark, sf))
+    old = P.daily(spark, sf).where(F.col("Date") <= _snapshot_cutoff(spark, sf))
     return store.project_horizons(_store_raw(spark, sf, old))
 
 
