@@ -171,3 +171,47 @@ def model_metadata(full: DataFrame, horizon: str, features: Sequence[str], ticke
     return full.agg(F.count("*").cast("bigint").alias("n_rows"), F.max("Date").alias("last_trained_through")) \
         .select(F.lit(horizon).alias("horizon"), F.array(*[F.lit(c) for c in features]).alias("feature_columns"),
                 F.array(*[F.lit(t) for t in tickers]).alias("tickers"), "n_rows", "last_trained_through")
+
+
+def cross_validate(train_folds: DataFrame, features: Sequence[str], target: str, alpha: float,
+                   horizon: str, tickers: Sequence[str], rounds: int | None = None) -> dict:
+    """M4 + G17: group k-fold CV (``fold`` from ``labels.group_folds``) with
+    early stopping on each held-out fold; mean out-of-fold pinball, mean best
+    round (integer part) and the first fold's learning curve (M6)."""
+    folds = sorted(r[0] for r in train_folds.select("fold").distinct().collect() if r[0] is not None)
+    p = HORIZON_PARAMS[horizon]
+    budget = p["rounds"] if rounds is None else rounds
+    if len(folds) < 2:
+        return {"n_splits": 0, "mean_pinball": float("nan"), "fold_pinball": [],
+                "mean_best_iter": budget, "curve": []}
+    losses, best_iters, first_curve = [], [], []
+    for k in folds:
+        tr = train_folds.where(F.col("fold") != k)
+        va = train_folds.where(F.col("fold") == k)
+        model, curve = fit_quantile_boost(tr, features, target, alpha, horizon, tickers, budget, valid=va)
+        best = min(curve, key=lambda t: t[1]) if curve else (budget, float("nan"))
+        losses.append(best[1])
+        best_iters.append(best[0])
+        if not first_curve:
+            first_curve = curve
+    return {"n_splits": len(folds), "mean_pinball": sum(losses) / len(losses), "fold_pinball": losses,
+            "mean_best_iter": int(sum(best_iters) / len(best_iters)), "curve": first_curve}
+
+
+def rounds_for(cv_summary: dict | None, horizon: str) -> int:
+    """M7: reuse the CV-chosen round count, else the horizon's budget."""
+    if cv_summary and cv_summary.get("mean_best_iter"):
+        return int(cv_summary["mean_best_iter"])
+    return int(HORIZON_PARAMS[horizon]["rounds"])
+
+
+def build_final(split: DataFrame, features: Sequence[str], target: str, horizon: str,
+                tickers: Sequence[str], cv: dict[str, dict] | None = None):
+    """M8: refit every quantile on train + test (U2) with the CV round counts;
+    returns the models and their one-row metadata (A15)."""
+    from .labels import sample_weight
+    full = sample_weight(split.drop("weight") if "weight" in split.columns else split)
+    models = {q: fit_quantile_boost(full, features, target, a, horizon, tickers,
+                                    rounds_for((cv or {}).get(q), horizon))[0]
+              for q, a in QUANTILES.items()}
+    return models, model_metadata(full, horizon, features, tickers)

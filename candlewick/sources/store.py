@@ -108,6 +108,12 @@ def read_horizon(store: dict[str, DataFrame], horizon: str, start_date: str | No
     return df.orderBy("ticker", "Date")
 
 
+def unknown_tickers(requested: DataFrame, store_daily: DataFrame) -> DataFrame:
+    """Requested tickers absent from the store (left anti join on the
+    small distinct ticker lists); callers raise when it is non-empty."""
+    return requested.select("ticker").distinct().join(store_daily.select("ticker").distinct(), "ticker", "left_anti")
+
+
 def as_records(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Rows as (keys, struct of features) snapshot records."""
     feats = [c for c in df.columns if c not in keys]

@@ -84,3 +84,18 @@ def test_registered_query_matches_oracle(spark, sf, name):
     key = lambda df: sorted(map(str, df[cols].astype(str).itertuples(index=False)))
     assert len(got) == len(exp)
     assert key(got) == key(exp)
+
+
+def test_cross_validation_and_final_fit(spark, sf):
+    from candlewick.operators.labels import group_folds, sample_weight
+    from candlewick.operators.model import build_final, cross_validate
+    from candlewick.plans.oracle import feature_list
+    s = P.split(spark, sf, "monthly")
+    tickers = sorted(r[0] for r in s.select("ticker").distinct().collect())
+    train = sample_weight(group_folds(s.where(F.col("part") == "train"), n_splits=2))
+    cv = cross_validate(train, feature_list("monthly"), "target_monthly", 0.5, "monthly", tickers, rounds=3)
+    assert cv["n_splits"] == 2 and len(cv["fold_pinball"]) == 2 and 1 <= cv["mean_best_iter"] <= 3
+    models, meta = build_final(s, feature_list("monthly"), "target_monthly", "monthly", tickers,
+                               {q: cv for q in ("q10", "q50", "q90")})
+    m = meta.first()
+    assert m.n_rows == s.count() and set(models) == {"q10", "q50", "q90"}
