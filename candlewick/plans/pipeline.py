@@ -20,7 +20,7 @@ from ..operators.features import (HORIZON_TOKENS, drop_missing_anchor, engineer_
 from ..operators.indicators import BACKEND_PERIODS, MODEL_PERIODS, daily_frame, raw_features
 from ..operators.indicators import _catalogue as catalogue
 from ..operators.labels import split_groups
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, session_key
 from ..sources.bars import load_bars, load_gauge
 
 HORIZONS = ("daily", "weekly", "monthly")
@@ -80,7 +80,7 @@ def stage(spark: SparkSession, key: tuple, build) -> DataFrame:
     key.  ``clear_stages()`` forgets the handles.
     """
     ensure_checkpoint_dir(spark)
-    full = (spark.sparkContext.applicationId, *key)
+    full = (session_key(spark), *key)
     hit = _STAGES.get(full)
     if hit is None:
         hit = build().checkpoint(eager=True)
