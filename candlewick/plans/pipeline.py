@@ -4,12 +4,14 @@
     orders   -> gauge ----> raw indicators -> pooled -> horizon raw
                                    -> features/labels -> split -> baseline -> metrics
 
-Nothing here triggers an action except ``stage``: the two stages read many
-times (features, split) are checkpointed once into the shared checkpoint folder.
+Nothing here triggers an action except ``stage``: the stages read many times
+(daily bars, features, split) are written once to the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +22,7 @@ from ..operators.features import (HORIZON_TOKENS, drop_missing_anchor, engineer_
 from ..operators.indicators import BACKEND_PERIODS, MODEL_PERIODS, daily_frame, raw_features
 from ..operators.indicators import _catalogue as catalogue
 from ..operators.labels import split_groups
-from ..session import ensure_checkpoint_dir, session_key
+from ..session import ensure_checkpoint_dir, scratch_path, session_key
 from ..sources.bars import load_bars, load_gauge
 
 HORIZONS = ("daily", "weekly", "monthly")
@@ -69,21 +71,29 @@ def horizon_raw(spark: SparkSession, sf_dir: str, horizon: str) -> DataFrame:
 
 
 _STAGES: dict[tuple, DataFrame] = {}
+STAGE_MODE = os.environ.get("CANDLEWICK_STAGE_MODE", "checkpoint")   # or "parquet"
 
 
 def stage(spark: SparkSession, key: tuple, build) -> DataFrame:
     """Materialize a stage that later stages read several times.
 
-    The DataFrame is written by a reliable ``checkpoint()`` into the shared
-    folder named by ``spark.checkpoint.dir`` (it survives executor loss and
-    cuts the lineage, so downstream plans stay small), once per session and
-    key.  ``clear_stages()`` forgets the handles.
+    Default: a reliable ``checkpoint()`` into the shared folder named by
+    ``spark.checkpoint.dir``; with CANDLEWICK_STAGE_MODE=parquet the stage is
+    written there as a parquet table and read back (readers then get column
+    pruning and filter pushdown).  Either way the lineage is cut, so a lost
+    executor never recomputes the upstream scan, and the stage is built once
+    per session and key; ``clear_stages()`` forgets the handles.
     """
-    ensure_checkpoint_dir(spark)
     full = (session_key(spark), *key)
     hit = _STAGES.get(full)
     if hit is None:
-        hit = build().checkpoint(eager=True)
+        if STAGE_MODE == "checkpoint":
+            ensure_checkpoint_dir(spark)
+            hit = build().checkpoint(eager=True)
+        else:
+            path = scratch_path(spark, f"stages/{uuid.uuid4().hex}")
+            build().write.mode("overwrite").parquet(path)
+            hit = spark.read.parquet(path)
         _STAGES[full] = hit
     return hit
 

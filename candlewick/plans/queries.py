@@ -100,9 +100,10 @@ def _cards(spark, sf):
     return decide.forecast_card(on_grid)
 
 
-def _store_raw(spark, sf, daily=None):
+def _store_raw(spark, sf, daily=None, columns=None):
     from ..operators.indicators import raw_features
-    return raw_features(daily if daily is not None else P.daily(spark, sf), None, BACKEND_PERIODS)
+    return raw_features(daily if daily is not None else P.daily(spark, sf), None, BACKEND_PERIODS,
+                        columns=columns)
 
 
 def _snapshot_cutoff(spark, sf):
@@ -110,9 +111,9 @@ def _snapshot_cutoff(spark, sf):
     return P.gauge(spark, sf).select(F.max("Date")).scalar()
 
 
-def _store(spark, sf):
+def _store(spark, sf, columns=None):
     old = P.daily(spark, sf).where(F.col("Date") <= _snapshot_cutoff(spark, sf))
-    return store.project_horizons(_store_raw(spark, sf, old))
+    return store.project_horizons(_store_raw(spark, sf, old, columns))
 
 
 def q_bars_daily(spark, sf):
@@ -211,13 +212,15 @@ def q_latest_dates(spark, sf):
 
 
 def q_sync_status(spark, sf):
-    return store.sync_status(P.bars(spark, sf), _store(spark, sf)["daily"])
+    daily_cols = store.store_columns(BACKEND_PERIODS)["daily"]
+    return store.sync_status(P.daily(spark, sf), _store(spark, sf, daily_cols)["daily"])
 
 
 def q_incremental_upsert(spark, sf):
-    current = _store(spark, sf)["daily"]
-    status = store.sync_status(P.bars(spark, sf), current)
-    full = _store_raw(spark, sf)
+    daily_cols = store.store_columns(BACKEND_PERIODS)["daily"]
+    current = _store(spark, sf, daily_cols)["daily"]
+    status = store.sync_status(P.daily(spark, sf), current)
+    full = _store_raw(spark, sf, columns=daily_cols)
     delta = store.project_horizons(store.stale_delta(full, status))["daily"]
     return finish(store.upsert(current, delta))
 
