@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -122,9 +123,15 @@ def split(spark: SparkSession, sf_dir: str, horizon: str) -> DataFrame:
 
 
 def all_horizons(fn, *args) -> DataFrame:
-    """Union of one stage over the three horizons with a ``horizon`` column."""
-    out = None
-    for h in HORIZONS:
-        part = fn(h, *args).withColumn("horizon", F.lit(h))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    """Union of one stage over the three horizons with a ``horizon`` column.
+
+    The three per-horizon plans are built in parallel driver threads: building
+    them materializes their stages (Spark jobs), and concurrent jobs share the
+    executors instead of queueing behind each other's small stages.
+    """
+    with ThreadPoolExecutor(max_workers=len(HORIZONS)) as pool:
+        parts = list(pool.map(lambda h: fn(h, *args).withColumn("horizon", F.lit(h)), HORIZONS))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
     return out

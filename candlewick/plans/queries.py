@@ -158,11 +158,7 @@ def q_split_groups(spark, sf):
 
 
 def q_split_summary(spark, sf):
-    out = None
-    for h in HORIZONS:
-        s = split_summary(P.split(spark, sf, h), h)
-        out = s if out is None else out.unionByName(s)
-    return finish(out)
+    return finish(P.all_horizons(lambda h: split_summary(P.split(spark, sf, h), h)))
 
 
 def q_kfold(spark, sf):
