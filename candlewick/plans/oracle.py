@@ -364,17 +364,6 @@ def band_cte(q: Sql) -> str:
   {labels}[{pred_code('least(q10, q90)', 'greatest(q10, q90)')} + 1] AS recommendation FROM {s}""")
 
 
-def cards_cte(q: Sql) -> str:
-    b = band_cte(q)
-    name = ("concat_ws(' / ', map_extract(MAP {'A': 'Accepted', 'N': 'None', 'R': 'Returned'}, substr(ticker, 1, 1))[1], "
-            "map_extract(MAP {'F': 'Filled', 'O': 'Open'}, substr(ticker, 2, 1))[1])")
-    pct = lambda x: f"CAST(CAST(round({x}, 2) AS DECIMAL(18, 2)) AS VARCHAR)"
-    return q.add("cards", f"""SELECT horizon, ticker AS symbol, {name} AS name, Date, recommendation,
-  {pct('low')} || '% to ' || {pct('high')} || '%' AS range_text,
-  CAST(CAST(round(confidence * 100.0) AS BIGINT) AS VARCHAR) || '%' AS confidence_text, confidence
-FROM {b} QUALIFY row_number() OVER (PARTITION BY horizon, ticker ORDER BY Date DESC) = 1""")
-
-
 # ---------------------------------------------------------------- per-query SQL
 def _raw_block(blocks: Sequence[str], start: str | None = None) -> str:
     q = Sql()
