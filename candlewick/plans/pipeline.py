@@ -43,11 +43,9 @@ def gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars + candle keys + as-of gauge, hash-partitioned by ticker and
-    materialized once: the scan and aggregation of the line items run a single
-    time however many indicator branches read the result, and the ticker
-    partitioning survives the checkpoint, so later ticker windows need no
-    exchange."""
+    """Bars + candle keys + as-of gauge, materialized once: the scan and
+    aggregation of the line items run a single time however many indicator
+    branches read the result (calendar-sized: one row per ticker and day)."""
     return stage(spark, ("daily", sf_dir),
                  lambda: daily_frame(bars(spark, sf_dir), gauge(spark, sf_dir)).repartition("ticker"))
 
