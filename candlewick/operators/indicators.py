@@ -48,19 +48,26 @@ def gauge_asof(dates: DataFrame, gauge: DataFrame) -> DataFrame:
     """For every date in ``dates`` the last gauge Close at or before it.
 
     The gauge has its own calendar, so the bar dates and the gauge dates are
-    merged into one date-ordered calendar and the last known value is carried
-    forward.  The calendar has one row per distinct date (bounded by the number
-    of days spanned, ~250 per year), so this small table is ordered in one task
-    and later broadcast to the bars.
+    merged into one calendar and the last known value is carried forward
+    within each year (a window partitioned by year); a date before its year's
+    first gauge value takes the last value of the earlier years, found on a
+    table with one row per year.  The result has one row per bar date.
     """
     cal = dates.select("Date").distinct().select(
         "Date", F.lit(None).cast("double").alias("g"), F.lit(1).alias("src"))
     obs = gauge.where(F.col("Close").isNotNull()).select(
         "Date", F.col("Close").cast("double").alias("g"), F.lit(0).alias("src"))
-    w = Window.orderBy("Date", "src").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (cal.unionByName(obs)
-            .select("Date", "src", F.last("g", ignorenulls=True).over(w).alias("vix_close"))
-            .where(F.col("src") == 1).drop("src"))
+    u = cal.unionByName(obs).withColumn("_y", F.year("Date"))
+    in_year = Window.partitionBy("_y").orderBy("Date", "src").rowsBetween(Window.unboundedPreceding, 0)
+    per_year = (obs.withColumn("_y", F.year("Date")).groupBy("_y")
+                .agg(F.max_by("g", "Date").alias("_last")))
+    earlier = Window.orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)
+    years = (u.select("_y").distinct().join(per_year, "_y", "left")
+             .select("_y", F.last("_last", ignorenulls=True).over(earlier).alias("_carry")))
+    return (u.select("Date", "src", "_y", F.last("g", ignorenulls=True).over(in_year).alias("_v"))
+            .where(F.col("src") == 1)
+            .join(F.broadcast(years), "_y", "left")
+            .select("Date", F.coalesce(F.col("_v"), F.col("_carry")).alias("vix_close")))
 
 
 def daily_frame(bars: DataFrame, gauge: DataFrame | None) -> DataFrame:

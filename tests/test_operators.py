@@ -47,3 +47,13 @@ def test_unknown_horizon_rejected(spark, sf):
     from candlewick.operators.features import select_horizon_columns
     with pytest.raises(ValueError, match="Unknown horizon"):
         select_horizon_columns(load_bars(spark, sf), "hourly")
+
+
+def test_gauge_asof_carries_across_years(spark):
+    from candlewick.operators.indicators import gauge_asof
+    d = lambda s: pd.Timestamp(s).date()
+    dates = spark.createDataFrame([(d("2020-12-29"),), (d("2020-12-31"),), (d("2021-01-04"),),
+                                   (d("2022-03-01"),), (d("2022-03-03"),)], "Date date")
+    gauge = spark.createDataFrame([(d("2020-12-30"), 5.0), (d("2022-03-02"), 7.0)], "Date date, Close double")
+    got = {r.Date.isoformat(): r.vix_close for r in gauge_asof(dates, gauge).collect()}
+    assert got == {"2020-12-29": None, "2020-12-31": 5.0, "2021-01-04": 5.0, "2022-03-01": 5.0, "2022-03-03": 7.0}
