@@ -1,7 +1,8 @@
-"""Registered queries: name -> (spark, sf_dir) -> DataFrame, plus the DuckDB
-oracle SQL of each.  Every query reads the driver's tables (lineitem, orders)
-in full; double results are put on a 2**-20 grid on both sides so the two
-engines compare equal despite different summation orders."""
+"""Registered queries: name -> (spark, sf_dir) -> DataFrame (their DuckDB SQL
+lives in ``oracle``).  Every query reads the driver's tables (lineitem,
+orders) in full; double results are put on a comparison grid (float32, then
+multiples of 2**-20) so both engines compare equal despite different
+summation orders."""
 
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ from ..functions.calendar import period_id
 from ..functions.numeric import GRID
 from ..operators import decide, eda, evaluate, sampling
 from ..operators.features import ANCHOR, engineered_columns, select_horizon_columns, snapshot_validation
-from ..operators.indicators import BACKEND_PERIODS, BLOCKS, MODEL_PERIODS, _catalogue
+from ..operators.indicators import BACKEND_PERIODS, MODEL_PERIODS
 from ..operators.labels import build_label, group_folds, sample_weight, split_summary
 from ..operators.model import baseline_scores
 from ..sources import store
@@ -42,10 +43,6 @@ def finish(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def doubles(df: DataFrame) -> list[str]:
-    return [c for c, t in df.dtypes if t == "double"]
-
-
 # ---------------------------------------------------------------- spark side
 BLOCK_QUERIES = {"returns": "returns", "sma": "sma", "ema": "ema", "volume_block": "volume",
                  "range_block": "range", "bollinger": "bollinger", "rsi": "rsi", "vix_asof": "vix"}
