@@ -94,14 +94,16 @@ class QuantileBoostModel:
 def fit_quantile_boost(train: DataFrame, features: Sequence[str], target: str, alpha: float,
                        horizon: str, tickers: Sequence[str], rounds: int | None = None,
                        weight_col: str | None = "weight", valid: DataFrame | None = None,
-                       seed: int = SEED, checkpoint_every: int = 10) -> tuple[QuantileBoostModel, list]:
+                       seed: int = SEED, checkpoint_every: int = 1) -> tuple[QuantileBoostModel, list]:
     """M3/M4: gradient boosting of the pinball loss with Spark ML trees.
 
     Each round fits a one-tree ``RandomForestRegressor`` (row subsampling,
     per-node feature subsampling, ``leafCol``) to the pinball negative
     gradient, re-estimates each leaf as the weighted alpha-quantile of the
     residuals in it, and adds lr * leaf value.  Lineage is cut by a reliable
-    checkpoint every ``checkpoint_every`` rounds.  With ``valid`` the mean
+    checkpoint every ``checkpoint_every`` rounds (every round by default: the
+    table is calendar-sized and each round's jobs then start from it, which
+    measured ~40 % faster than every 10 rounds).  With ``valid`` the mean
     pinball loss per round is tracked (M6 learning curve) and training stops
     after ``EARLY_STOPPING_ROUNDS`` rounds without improvement.
     """

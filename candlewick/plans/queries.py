@@ -252,7 +252,7 @@ def q_store_read(spark, sf):
     return finish(store.read_horizon(st, "monthly", start_date="2000-01-01"))
 
 
-BOOST_CHECK_ROUNDS = 10   # boosting rounds per quantile in the registered check (library default: 400-600)
+BOOST_CHECK_ROUNDS = 25   # boosting rounds per quantile in the registered check (library default: 400-600)
 
 
 def q_quantile_boost(spark, sf, horizon: str = "monthly", rounds: int = BOOST_CHECK_ROUNDS):
