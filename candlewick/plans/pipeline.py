@@ -11,6 +11,7 @@ Nothing here triggers an action except ``stage``: the stages read many times
 from __future__ import annotations
 
 import os
+import threading
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Sequence
@@ -70,6 +71,8 @@ def horizon_raw(spark: SparkSession, sf_dir: str, horizon: str) -> DataFrame:
 
 
 _STAGES: dict[tuple, DataFrame] = {}
+_LOCKS: dict[tuple, threading.Lock] = {}
+_GUARD = threading.Lock()
 STAGE_MODE = os.environ.get("CANDLEWICK_STAGE_MODE", "checkpoint")   # or "parquet"
 
 
@@ -84,19 +87,25 @@ def stage(spark: SparkSession, key: tuple, build) -> DataFrame:
     per session and key; ``clear_stages()`` forgets the handles.
     """
     full = (session_key(spark), *key)
-    hit = _STAGES.get(full)
-    if hit is None:
-        if STAGE_MODE == "checkpoint":
-            ensure_checkpoint_dir(spark)
-            hit = build().checkpoint(eager=True)
-        else:
-            path = scratch_path(spark, f"stages/{uuid.uuid4().hex}")
-            build().write.mode("overwrite").parquet(path)
-            hit = spark.read.parquet(path)
-        _STAGES[full] = hit
+    with _GUARD:
+        lock = _LOCKS.setdefault(full, threading.Lock())
+    with lock:                        # concurrent callers of one stage wait for a single build
+        hit = _STAGES.get(full)
+        if hit is None:
+            hit = _build_stage(spark, build)
+            _STAGES[full] = hit
     return hit
 
 
+def _build_stage(spark: SparkSession, build) -> DataFrame:
+    if STAGE_MODE == "checkpoint":
+        ensure_checkpoint_dir(spark)
+        return build().checkpoint(eager=True)
+    path = scratch_path(spark, f"stages/{uuid.uuid4().hex}")
+    build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def clear_stages() -> None:
     _STAGES.clear()
 
