@@ -25,6 +25,8 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Stage checkpoints are deleted once their DataFrame handle is released.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
