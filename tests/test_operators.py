@@ -57,3 +57,18 @@ def test_gauge_asof_carries_across_years(spark):
     gauge = spark.createDataFrame([(d("2020-12-30"), 5.0), (d("2022-03-02"), 7.0)], "Date date, Close double")
     got = {r.Date.isoformat(): r.vix_close for r in gauge_asof(dates, gauge).collect()}
     assert got == {"2020-12-29": None, "2020-12-31": 5.0, "2021-01-04": 5.0, "2022-03-01": 5.0, "2022-03-03": 7.0}
+
+
+def test_ordered_position_exact_with_ties(spark):
+    """Bucketed ranking equals a plain sort even when many equal values straddle bucket edges."""
+    import numpy as np
+    from candlewick.operators.sampling import ordered_position
+    rng = np.random.default_rng(7)
+    n = 3000
+    pdf = pd.DataFrame({"g": rng.integers(0, 2, n).astype(str), "y": rng.integers(0, 40, n).astype(float),
+                        "k": np.arange(n)})
+    got = ordered_position(spark.createDataFrame(pdf), ["g"], "y", ["k"], buckets=16).toPandas()
+    exp = pdf.sort_values(["g", "y", "k"]).copy()
+    exp["position"] = exp.groupby("g").cumcount()
+    m = got.merge(exp, on=["g", "k"], suffixes=("", "_exp"))
+    assert len(m) == n and (m["position"] == m["position_exp"]).all()
