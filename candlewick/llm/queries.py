@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import exact, simhash
+from candlewick.llm import exact, packing, simhash
 from candlewick.llm.common import read_table
 
 
@@ -20,8 +21,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read_table(spark, sf_dir, "documents"), carry={"text_sha256": digest})
 
 
+def tokenizer_path() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_simhash_near_dedup, op9_exact_dedup)
+    f.__name__: f for f in (op4_simhash_near_dedup, op9_exact_dedup, op10_best_fit_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
