@@ -8,10 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import exact, packing, simhash
+from candlewick.llm import exact, langid, packing, simhash
 from candlewick.llm.common import read_table
 
 
+def remainder(divisor: int):
+    """crc32 of the doc_id as text, by a divisor; null ids have none."""
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = langid.identify_documents(docs, remainder(5) != 0)
+    return found.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(True)).alias("held_out"), "lang_pred", "score")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
 
@@ -30,7 +41,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_simhash_near_dedup, op9_exact_dedup, op10_best_fit_packing)
+    f.__name__: f for f in (op2_language_id, op4_simhash_near_dedup, op9_exact_dedup, op10_best_fit_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
