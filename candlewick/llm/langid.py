@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import slices, stage
+from candlewick.llm.common import slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
 NO_LANGUAGE = "und"
 #: The fit takes this many rows of each language at most (all rows of smaller ones), chosen by a hash of the id.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 3000
 #: Kept per language: the most frequent words, and n-grams of each order.
-TOP_WORDS, TOP_GRAMS = 40_000, 20_000
+TOP_WORDS, TOP_GRAMS = 30_000, 10_000
 ORDERS = (4, 3, 2, 1)
 #: Distinct words whose scores a task remembers before it starts anew.
 CACHE_WORDS = 400_000
@@ -37,7 +37,7 @@ def grams(word: str, n: int) -> list[str]:
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, order, gram, n) of each slice of texts; order 0 is the word itself."""
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(batches, "text"):
         seen: dict[str, Counter] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             seen.setdefault(lang, Counter()).update(words(text or ""))
@@ -65,60 +65,56 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
     known = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
     if not sizes:
-        return {"langs": [], "tables": {}}
+        return {"langs": []}
     shares = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, train_rows / n)))])
     low = F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < shares[F.col(lang_col)] * 1_000_003
     counted = known.filter(low).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(
         _counter, "lang string, n int, gram string, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
     order = Window.partitionBy("lang", "n").orderBy(F.desc("times"), "gram")
-    top = stage(counted.withColumn("all", F.sum("times").over(Window.partitionBy("lang", "n")))
-                .withColumn("rank", F.row_number().over(order))
-                .filter(F.col("rank") <= F.when(F.col("n") == 0, TOP_WORDS).otherwise(TOP_GRAMS)).drop("rank"), "frequencies")
-    langs = sorted(sizes)
-    at = {lang: i for i, lang in enumerate(langs)}
-    tables: dict[int, dict[str, np.ndarray]] = {n: {} for n in (0, *ORDERS)}
-    total = np.ones((max(ORDERS) + 1, len(langs)))
-    for r in top.toLocalIterator():
-        row = tables[r["n"]].setdefault(r["gram"], np.zeros(len(langs), np.float32))
-        row[at[r["lang"]]] = r["times"]
-        total[r["n"], at[r["lang"]]] = r["all"]
-    for n, table in tables.items():  # log frequencies; half an occurrence where a language never has it
-        for g, row in table.items():
-            table[g] = np.log((row + 0.5) / (total[n] + 1)).astype(np.float32)
-    return {"langs": langs, "tables": tables}
+    top = (counted.withColumn("all", F.sum("times").over(Window.partitionBy("lang", "n")))
+           .withColumn("rank", F.row_number().over(order))
+           .filter(F.col("rank") <= F.when(F.col("n") == 0, TOP_WORDS).otherwise(TOP_GRAMS)).drop("rank").toPandas())
+    langs, rows, index, at = sorted(sizes), [], {}, 0
+    for n in (0, *ORDERS):  # log frequencies; half an occurrence where a language never has it
+        part = top[top["n"] == n]
+        table = part.pivot(index="gram", columns="lang", values="times").reindex(columns=langs).fillna(0.0)
+        total = part.groupby("lang")["all"].first().reindex(langs).fillna(0.0)
+        row = np.log((table.to_numpy() + 0.5) / (total.to_numpy() + 1.0))
+        rows.append(row - row.mean(axis=1, keepdims=True))
+        index[n] = dict(zip(table.index, range(at, at + len(table)), strict=True))
+        at += len(table)
+    return {"langs": langs, "rows": np.concatenate(rows).astype(np.float32), "index": index}
 
 
 class Scorer:
     """Log frequency of a word in each language, less their mean: of the word if known, else of its longest known n-grams."""
 
     def __init__(self, model: dict):
-        self.tables, self.width = model["tables"], len(model["langs"])
+        self.model = model
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.rows = np.zeros((1024, self.width), np.float32)
-
-    def word(self, word: str) -> np.ndarray:
-        row = self.tables[0].get(word)
-        if row is None:
-            for n in ORDERS:
-                table = self.tables[n]
-                found = [table[g] for g in grams(word, n) if g in table]
-                if found:
-                    row = np.mean(found, axis=0)
-                    break
-            else:
-                return np.zeros(self.width, np.float32)
-        return row - row.mean()
+        self.index = dict(self.model["index"][0])
+        self.rows = self.model["rows"]
+        self.used = len(self.rows)
+
+    def backoff(self, word: str) -> np.ndarray | float:
+        for n in ORDERS:
+            table = self.model["index"][n]
+            found = [table[g] for g in grams(word, n) if g in table]
+            if found:
+                return np.add.reduce(self.rows[found]) / len(found)
+        return 0.0
 
     def sums(self, found: list[str]) -> np.ndarray:
         index = self.index
-        for w in set(found).difference(index):
-            if len(index) == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[len(index)] = self.word(w)
-            index[w] = len(index)
+        new = set(found).difference(index)
+        if self.used + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((len(self.rows) // 2 + len(new), self.rows.shape[1]), np.float32)])
+        for w in new:
+            self.rows[self.used] = self.backoff(w)
+            index[w] = self.used
+            self.used += 1
         at = np.fromiter(map(index.__getitem__, found), np.int64, len(found))
         total = self.rows[at].sum(axis=0, dtype=np.float64)
         if len(index) > CACHE_WORDS:
@@ -126,7 +122,7 @@ class Scorer:
         return total
 
 
-def identify(text: str | None, scorer: Scorer, langs: list[str]) -> tuple[str, float]:
+def identify(text: str | None, scorer: Scorer | None, langs: list[str]) -> tuple[str, float]:
     """(language, score): ``und`` and 0 without a letter or without a model."""
     found = words(text) if text else []
     if not found or not langs:
@@ -149,7 +145,7 @@ def predict(df: DataFrame, model: dict, text_col: str = "text"):
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = shared.value
-        scorer = Scorer(known)
+        scorer = Scorer(known) if known["langs"] else None
         for texts in batches:
             yield pd.DataFrame([identify(t, scorer, known["langs"]) for t in texts], columns=["lang_pred", "score"])
 

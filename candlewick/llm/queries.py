@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import exact, langid, packing, simhash
+from candlewick.llm import exact, langid, packing, simhash, toxicity
 from candlewick.llm.common import read_table
 
 
@@ -17,6 +17,14 @@ def remainder(divisor: int):
     return F.crc32(F.col("doc_id").cast("string")) % divisor
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels").filter(remainder(3) != 1))
+    return toxicity.tag(docs, model).select(
+        "doc_id", F.coalesce(remainder(3) == 1, F.lit(True)).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "spans")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = langid.identify_documents(docs, remainder(5) != 0)
@@ -41,7 +49,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_language_id, op4_simhash_near_dedup, op9_exact_dedup, op10_best_fit_packing)
+    f.__name__: f for f in (op1_toxicity, op2_language_id, op4_simhash_near_dedup, op9_exact_dedup, op10_best_fit_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
