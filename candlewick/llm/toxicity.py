@@ -17,8 +17,8 @@ from candlewick.llm.common import slices
 TOKEN = re.compile(r"\w+")
 #: The fit takes this many labelled texts of each class at most, none over TRAIN_CHARS characters.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 3000, 20_000
-#: A feature marks a toxic token if this many toxic texts have it, this many times the clean texts' share.
-MARK_TEXTS, MARK_RATIO = 8, 20.0
+#: A feature marks a toxic token if so many toxic texts have it, of at least this share, and this many times the clean texts' share.
+MARK_TEXTS, MARK_SHARE, MARK_RATIO = 4, 0.015, 20.0
 PREFIXES = (4, 5, 6)
 ROUNDS, STEP, DECAY = 25, 0.5, 1e-4
 CACHE_WORDS = 400_000
@@ -81,13 +81,22 @@ def _summary(odds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _distinct(texts: list[list[str]]) -> list[int]:
-    """One text of each that share the least hash of five words: copies must not count as separate evidence."""
-    seen = {}
+def _distinct(texts: list[list[str]], hashes: int = 8) -> list[int]:
+    """One text of each group that share a least hash of five words under any of several hashes.
+
+    Near copies must not count as separate evidence.
+    """
+    odd = np.random.default_rng(1).integers(0, 2**63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    seen: set[tuple[int, int]] = set()
+    kept = []
     for i, found in enumerate(texts):
         grams = (" ".join(found[j:j + 5]) for j in range(max(1, len(found) - 4)))
-        seen.setdefault(min(map(xxhash.xxh64_intdigest, grams)), i)
-    return sorted(seen.values())
+        h = np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64)
+        least = {(k, int(((h * m) >> np.uint64(11)).min())) for k, m in enumerate(odd)}
+        if not least & seen:
+            kept.append(i)
+        seen |= least
+    return kept
 
 
 def train(toxic: list[str], clean: list[str]) -> dict | None:
@@ -108,7 +117,7 @@ def train(toxic: list[str], clean: list[str]) -> dict | None:
         among[y].update({f for w in set(found) for f in features(w)})
     n_clean, n_toxic = int((label == 0).sum()), int(label.sum())
     marks = {f for f, n in among[1].items()
-             if n >= min(MARK_TEXTS, n_toxic) and n / n_toxic >= MARK_RATIO * (among[0][f] + 0.5) / n_clean}
+             if n >= max(min(MARK_TEXTS, n_toxic), MARK_SHARE * n_toxic) and n / n_toxic >= MARK_RATIO * (among[0][f] + 0.5) / n_clean}
 
     types: dict[str, int] = {}
     lengths = np.array([len(t) for t in texts])
