@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import exact, langid, packing, simhash, toxicity
+from candlewick.llm import exact, langid, mixing, packing, quality, simhash, toxicity
 from candlewick.llm.common import read_table
 
 
@@ -35,6 +35,18 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learnt from labelled rows whose crc32 leaves 0, 2 or 3 by 4; kept is what the pipeline keeps."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.fit(docs.filter(F.coalesce(remainder(4) != 1, F.lit(False))), read_table(spark, sf_dir, "labels"))
+    return docs.select("doc_id", F.coalesce(remainder(4) == 1, F.lit(True)).alias("held_out"), quality.score(docs, model).alias("s")).select(
+        "doc_id", "held_out", "s.*", (F.col("s.score") >= quality.REJECT_BELOW).alias("kept"))
+
+
+def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "source", "weight", "block", "block_order")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(exact.normalised("text"), 256)
     return exact.exact_groups(read_table(spark, sf_dir, "documents"), carry={"text_sha256": digest})
@@ -49,7 +61,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_language_id, op4_simhash_near_dedup, op9_exact_dedup, op10_best_fit_packing)
+    f.__name__: f for f in (op1_toxicity, op2_language_id, op4_simhash_near_dedup, op7_quality_classifier, op8_temperature_mixing, op9_exact_dedup, op10_best_fit_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {

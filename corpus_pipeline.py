@@ -6,8 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewick.llm import exact, simhash
+from candlewick.llm import exact, mixing, packing, quality, simhash
 from candlewick.llm.common import read_table, stage
+from candlewick.llm.queries import tokenizer_path
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,12 +26,25 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return simhash.drop_near_copies(docs)
 
 
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the weight of its source asks: a row per block that holds it."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in sequences of 2048 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality_filter),
     ("exact dedup", exact_dedup),
     ("simhash near-dedup", simhash_near_dedup),
+    ("mixing sources to target weights", source_mixing),
+    ("best-fit packing", best_fit_packing),
 ]
 
-#: The quality classifier and the tokenizer cannot be written in SQL.
+#: The classifier's fit and the tokenizer cannot be written in SQL.
 ORACLE_SQL = None
 
 
