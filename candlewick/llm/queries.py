@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import exact, langid, mixing, packing, pages, quality, simhash, toxicity
+from candlewick.llm import embeddings, exact, langid, mixing, packing, pages, quality, simhash, toxicity
 from candlewick.llm.common import read_table
 
 
@@ -31,6 +31,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_language_id, op4_simhash_near_dedup, op5_html_extraction, op7_quality_classifier, op8_temperature_mixing, op9_exact_dedup, op10_best_fit_packing)
+    f.__name__: f for f in (op1_toxicity, op2_language_id, op3_embedding_near_dedup, op4_simhash_near_dedup, op5_html_extraction, op7_quality_classifier, op8_temperature_mixing, op9_exact_dedup, op10_best_fit_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
