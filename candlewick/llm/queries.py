@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import embeddings, exact, langid, mixing, packing, pages, quality, simhash, toxicity
+from candlewick.llm import embeddings, exact, langid, mixing, packing, pages, quality, simhash, substring, toxicity
 from candlewick.llm.common import read_table
 
 
@@ -43,6 +43,11 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.cut_repeats(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "removed")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learnt from labelled rows whose crc32 leaves 0, 2 or 3 by 4; kept is what the pipeline keeps."""
     docs = read_table(spark, sf_dir, "documents")
@@ -69,7 +74,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_language_id, op3_embedding_near_dedup, op4_simhash_near_dedup, op5_html_extraction, op7_quality_classifier, op8_temperature_mixing, op9_exact_dedup, op10_best_fit_packing)
+    f.__name__: f for f in (op1_toxicity, op2_language_id, op3_embedding_near_dedup, op4_simhash_near_dedup, op5_html_extraction, op6_substring_dedup, op7_quality_classifier, op8_temperature_mixing, op9_exact_dedup, op10_best_fit_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
