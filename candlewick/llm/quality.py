@@ -17,7 +17,7 @@ from candlewick.llm.common import slices
 TRAIN_ROWS, POOL_ROWS = 6000, 12_000
 #: Rounds of exchange; in each a view hands over its surest rows of each class, no more than so many, none less sure.
 ROUNDS, HANDED, SURE = 5, 400, 0.95
-#: Every so many labelled rows are kept from the views to calibrate them.
+#: Every so many labelled rows of a class are kept from the views to calibrate them.
 CALIBRATE_EVERY = 4
 REJECT_BELOW = 0.5
 SOURCE_SLOTS, LANG_SLOTS = 64, 16
@@ -87,7 +87,9 @@ def train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.nd
 
     None without rows of both classes.
     """
-    held = np.arange(len(y)) % CALIBRATE_EVERY == 0
+    held = np.zeros(len(y), bool)
+    for label in (0, 1):
+        held[np.flatnonzero(y == label)[::CALIBRATE_EVERY]] = True
     if len(set(y[~held].tolist())) < 2 or len(set(y[held].tolist())) < 2:
         return None
     everything = [np.concatenate([v, p]) for v, p in zip(views, pool, strict=True)]

@@ -17,13 +17,14 @@ from candlewick.llm.common import slices
 TOKEN = re.compile(r"\w+")
 #: The fit takes this many labelled texts of each class at most, none over TRAIN_CHARS characters.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 3000, 20_000
-#: A feature marks a toxic token if so many toxic texts have it, of at least this share, and this many times the clean texts' share.
-MARK_TEXTS, MARK_SHARE, MARK_RATIO = 4, 0.015, 20.0
+#: A feature marks a toxic token if toxic texts have it this many times as often as clean ones, and so clearly that among all
+#: features fewer than MARK_CHANCE would do so by chance.
+MARK_RATIO, MARK_CHANCE = 20.0, 0.1
 PREFIXES = (4, 5, 6)
 ROUNDS, STEP, DECAY = 25, 0.5, 1e-4
 CACHE_WORDS = 400_000
 SPAN_AT = 0.5
-NO_TOKEN = -12.0
+NO_TOKEN, MANY = -12.0, 4.0
 
 
 def features(word: str) -> list[str]:
@@ -71,13 +72,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _summary(odds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Of each text: the highest marginal log odds, and the log of the expected count of toxic tokens."""
-    out = np.full((len(lengths), 2), NO_TOKEN)
+    """Of each text: the highest marginal log odds, and the expected count of toxic tokens, as its log and up to MANY."""
+    out = np.tile([NO_TOKEN, NO_TOKEN, 0.0], (len(lengths), 1))
     some = lengths > 0
     if some.any():
         start = np.concatenate([[0], np.cumsum(lengths[some])[:-1]])
+        count = np.add.reduceat(_sigmoid(odds), start)
         out[some, 0] = np.clip(np.maximum.reduceat(odds, start), NO_TOKEN, -NO_TOKEN)
-        out[some, 1] = np.log(np.add.reduceat(_sigmoid(odds), start) + np.exp(NO_TOKEN))
+        out[some, 1], out[some, 2] = np.log(count + np.exp(NO_TOKEN)), np.minimum(count, MANY)
     return out
 
 
@@ -99,12 +101,27 @@ def _distinct(texts: list[list[str]], hashes: int = 8) -> list[int]:
     return kept
 
 
-def train(toxic: list[str], clean: list[str]) -> dict | None:
+def _marks(among: tuple[Counter, Counter], n_toxic: int, n_clean: int) -> set[str]:
+    """Features that toxic texts have far too often for chance: a bound on the binomial tail, for as many tries as features."""
+    share, bound = n_toxic / (n_toxic + n_clean), np.log(max(1, len(among[0] | among[1])) / MARK_CHANCE)
+    found = set()
+    for f, n in among[1].items():
+        m = among[0][f]
+        if n / n_toxic >= MARK_RATIO * (m + 0.5) / n_clean:
+            seen = n / (n + m)
+            if n * np.log(seen / share) + (m * np.log((1 - seen) / (1 - share)) if m else 0.0) >= bound:
+                found.add(f)
+    return found
+
+
+def train(toxic: list[str], clean: list[str], share: float = 0.5) -> dict | None:
     """The field's weights, and the logistic curve that turns a text's marginals into its score.
 
     Token labels: in toxic texts, tokens with a feature that toxic texts have
     far more often than clean ones; every other token, and all of clean texts,
     is labelled other. The field is fitted to them by maximum likelihood.
+    ``share`` is that of toxic texts among all labelled ones, to which the
+    curve is weighted.
     """
     texts = [TOKEN.findall(t.lower()) for t in toxic + clean]
     label = np.array([1] * len(toxic) + [0] * len(clean))
@@ -116,8 +133,7 @@ def train(toxic: list[str], clean: list[str]) -> dict | None:
     for found, y in zip(texts, label.tolist(), strict=True):
         among[y].update({f for w in set(found) for f in features(w)})
     n_clean, n_toxic = int((label == 0).sum()), int(label.sum())
-    marks = {f for f, n in among[1].items()
-             if n >= max(min(MARK_TEXTS, n_toxic), MARK_SHARE * n_toxic) and n / n_toxic >= MARK_RATIO * (among[0][f] + 0.5) / n_clean}
+    marks = _marks(among, n_toxic, n_clean)
 
     types: dict[str, int] = {}
     lengths = np.array([len(t) for t in texts])
@@ -153,14 +169,14 @@ def train(toxic: list[str], clean: list[str]) -> dict | None:
         weight, bias, move = (p + STEP * g / np.sqrt(s) for p, g, s in zip((weight, bias, move), slopes, speed, strict=True))
 
     fore, back = forward_backward(((weight[of] * own).sum(axis=1) + bias)[token], filled, move)
-    curve = _logistic(_summary(fore + back, lengths), label)
+    curve = _logistic(_summary(fore + back, lengths), label, share)
     return {"weights": {f: float(weight[i]) for f, i in columns.items() if abs(weight[i]) > 1e-3}, "bias": float(bias), "move": move, "curve": curve}
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Logistic regression by Newton's steps with a small ridge; the classes weigh the same."""
+def _logistic(x: np.ndarray, y: np.ndarray, part: float, rounds: int = 50) -> np.ndarray:
+    """Logistic regression by Newton's steps with a small ridge; class 1 has this part of the weight."""
     x = np.c_[np.ones(len(x)), x]
-    share = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    share = np.where(y == 1, part / max(y.mean(), 1e-9), (1 - part) / max(1 - y.mean(), 1e-9))
     w = np.zeros(x.shape[1])
     ridge = 1e-2 * np.eye(len(w)) * len(x)
     for _ in range(rounds):
@@ -219,6 +235,9 @@ def fit(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str =
     rows of max_chars characters at most, which alone come to the driver.
     None if either class is missing.
     """
+    sizes = {r[0]: r[1] for r in labels.filter(F.col(label_col).isin(0, 1)).groupBy(label_col).count().collect()}
+    if len(sizes) < 2:
+        return None
     parts = []
     for value, limit in ((1, n_toxic), (0, n_clean)):
         rows = labels.filter(F.col(label_col) == value).select(F.col(id_col).alias("_l_id")).distinct()
@@ -226,7 +245,7 @@ def fit(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str =
         texts = (df.join(F.broadcast(pick), F.col(id_col) == F.col("_l_id")).filter(F.length(text_col) <= max_chars)
                  .select(F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("h")).orderBy("h").limit(limit).toPandas())
         parts.append(texts["t"].tolist())
-    return train(*parts)
+    return train(*parts, sizes[1] / (sizes[0] + sizes[1]))
 
 
 def tag(df: DataFrame, model: dict | None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
