@@ -56,8 +56,9 @@ def source_weights(docs: DataFrame, source_col: str = "source", target_entropy:
     ``target_entropy`` of the most that so many sources can have; if a source
     would then be repeated over ``max_repeats`` times, it is raised until none
     is. With a = 1 sources keep their shares; that is taken when even it
-    repeats too often (a budget above max_repeats corpora). A null source is a
-    source of its own.
+    repeats too often (a budget above max_repeats corpora). Repeats are rounded
+    to a millionth, the exponent's precision. A null source is a source of its
+    own.
     """
     totals = stage(docs.groupBy(F.col(source_col).alias("source")).agg(
         F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).coalesce(4), "sources")
@@ -73,7 +74,7 @@ def source_weights(docs: DataFrame, source_col: str = "source", target_entropy:
     z = raised.agg(F.sum("w")).first()[0] or 1.0
     weight = F.col("w") / F.lit(z)
     return raised.select("source", "n_docs", "n_tokens", "share", F.lit(exponent).alias("exponent"), weight.alias("weight"),
-                         (F.lit(budget) * weight / F.col("share")).alias("repeats"))
+                         F.round(F.lit(budget) * weight / F.col("share"), 6).alias("repeats"))
 
 
 def _raise(sources: DataFrame, budget: float, low: float, limit: float) -> float:
