@@ -34,9 +34,6 @@ RSI_MA_LENGTH = 14                          # RSI moving-average length
 VOLUME_AVG_WINDOW = 90                      # daily volume average window
 DEFAULT_START = "2000-01-01"                # default trim cutoff (strict >)
 
-# Longest series each EWM scan accepts (2**n rows); longer input raises.
-EWM_LOG2 = {"daily": 16, "weekly": 13, "monthly": 11}
-
 HORIZON_KEYS = {"weekly": ("week_id", "week"), "monthly": ("month_id", "month")}
 
 
@@ -126,7 +123,7 @@ def period_table(daily: DataFrame, horizon: str, periods: Sequence[int]) -> Data
     g = g.selectExpr("*", f"{_pct('pc', prev('pc'))} AS pret", f"{_clip0(chg)} AS gain", f"{_clip0('-' + chg)} AS loss")
     specs = [(f"ema{p}", "pc", span_alpha(p)) for p in periods]
     specs += [("G", "gain", RSI_ALPHA), ("L", "loss", RSI_ALPHA)]
-    g = ewm_mean(g, specs, keys, pid, EWM_LOG2[horizon])
+    g = ewm_mean(g, specs, keys, pid)
     g = g.selectExpr("*", f"{_rsi('G', 'L')} AS crsi")
     closed = lambda x, n: rolling_sql("sum", x, keys, o, n, start=-n, end=-1)
     out = ["ticker", pid,
@@ -257,7 +254,7 @@ def raw_features(bars: DataFrame, gauge: DataFrame | None,
     if any(n.startswith("rsi_") and n.endswith("daily") for n in wanted):
         specs += [("_G", "_gain", RSI_ALPHA), ("_L", "_loss", RSI_ALPHA)]
     if specs:
-        df = ewm_mean(df, specs, keys, "Date", EWM_LOG2["daily"])
+        df = ewm_mean(df, specs, keys, "Date")
     extra = [f"CAST(NULL AS DOUBLE) AS {c}" for c in ("_G", "_L") if c not in df.columns]
     df = df.selectExpr("*", *extra)
     df = df.selectExpr("*", f"{_rsi('_G', '_L')} AS _rsi")

@@ -8,6 +8,7 @@ volume of the raw data behind it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -18,11 +19,6 @@ def series_window(keys: Sequence[str] = ("ticker",), order: str = "Date") -> Win
     return Window.partitionBy(*keys).orderBy(order)
 
 
-def shift(x: Column | str, w: WindowSpec, k: int = 1) -> Column:
-    """pandas ``shift(k)``: k > 0 looks back, k < 0 looks forward."""
-    return F.lag(x, k).over(w) if k >= 0 else F.lead(x, -k).over(w)
-
-
 def rolling(agg, x: Column, w: WindowSpec, n: int, min_periods: int | None = None,
             start: int | None = None, end: int = 0) -> Column:
     """pandas ``rolling(n, min_periods)`` over the frame [start, end] rows.
@@ -39,12 +35,6 @@ def rolling(agg, x: Column, w: WindowSpec, n: int, min_periods: int | None = Non
     return F.when(F.count(x).over(frame) >= need, agg(x).over(frame))
 
 
-def running(agg, x: Column, w: WindowSpec) -> Column:
-    """pandas ``cumsum/cummin/cummax``: skips NULLs, NULL at a NULL row."""
-    frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return F.when(x.isNotNull(), agg(x).over(frame))
-
-
 # ---------------------------------------------------------------- SQL-text forms
 # The indicator plans carry hundreds of window expressions; building them as
 # SQL text and projecting with ``selectExpr`` costs one driver->JVM call per
@@ -83,58 +73,48 @@ def running_sql(agg: str, x: str, keys: Sequence[str], order: str) -> str:
     return f"(CASE WHEN {x} IS NOT NULL THEN {agg}({x}) {o} END)"
 
 
-def ewm_mean(df: DataFrame, specs: Sequence[tuple[str, str, float]],
-             keys: Sequence[str], order: str, max_rows_log2: int = 16, radix: int = 4) -> DataFrame:
+def ewm_mean(df: DataFrame, specs: Sequence[tuple[str, str, float]], keys: Sequence[str], order: str) -> DataFrame:
     """Add ``ewm(alpha, adjust=False).mean()`` columns: y0 = x0, yt = a*xt + (1-a)*y(t-1).
 
     specs: (output name, input SQL expression, alpha).  Rows before the first
     non-null input give NULL; a NULL input after that carries the previous value.
 
-    Each row is the affine map y -> A*y + B (seed row: A=0, B=x; later rows
-    A=1-a, B=a*x).  The prefix composition of those maps is built by a
-    radix-``radix`` scan: after pass s every row holds the composition of its
-    radix**(s+1) trailing maps (pass s composes the row's map with the maps
-    found d, 2d, ... (radix-1)d rows back, d = radix**s).  All passes share one
-    partitioning and ordering (one sort), and ceil(max_rows_log2 / log2(radix))
-    passes give the exact recurrence for series of up to 2**max_rows_log2
-    rows; longer series fail loudly.  Every term is a product of factors in
-    [0, 1] times a non-negative sum, so the scan is numerically stable.
+    A series is cut into blocks of rows.  After k non-null inputs of its block
+    a row's value is (1-a)^k * carry + the block's own weighted inputs, which
+    are one running sum of x * (1-a)^-k: exact up to rounding as long as the
+    power stays in a double's range, which sets the length of a block.  The
+    last values of the blocks (one row per block, not per input row) are folded
+    in order per series and the carry of each block is joined back.  There is
+    no bound on the length of a series, and every output stands alone, so
+    pruning some of them changes none of the others.
     """
-    bits = radix.bit_length() - 1
-    if 1 << bits != radix:
-        raise ValueError("radix must be a power of two")
-    passes = -(-max_rows_log2 // bits)
-    n = len(specs)
+    if any(not 0 < a < 1 for _, _, a in specs):
+        raise ValueError("alpha must lie between 0 and 1")
+    size = min(512, *(int(800 / -math.log2(1 - a)) for _, _, a in specs))
     base = [f"`{c}`" for c in df.columns]
-    seen = [f"__ewm_s{i}" for i in range(n)]
+    n = range(len(specs))
     run = over_sql(keys, order, frame_sql(None, 0))
-    out = df.selectExpr(*base, *[f"count({x}) {run} AS __ewm_s{i}" for i, (_, x, _) in enumerate(specs)])
-    init = []
-    for i, (_, x, alpha) in enumerate(specs):
-        first = f"(__ewm_s{i} = 1 AND ({x}) IS NOT NULL)"
-        init += [f"CASE WHEN {first} THEN 0.0D WHEN ({x}) IS NULL THEN 1.0D ELSE {1.0 - alpha!r}D END AS __ewm_a{i}",
-                 f"CASE WHEN {first} THEN CAST({x} AS DOUBLE) WHEN ({x}) IS NULL THEN 0.0D "
-                 f"ELSE ({x}) * {float(alpha)!r}D END AS __ewm_b{i}"]
-    out = out.selectExpr(*base, *seen, *init)
-    o = over_sql(keys, order)
-    for s in range(passes):
-        d = radix ** s
-        step = []
-        for i in range(n):
-            a, b = f"__ewm_a{i}", f"__ewm_b{i}"
-            la = [f"coalesce(lag({a}, {j * d}) {o}, 1.0D)" for j in range(1, radix)]
-            lb = [f"coalesce(lag({b}, {j * d}) {o}, 0.0D)" for j in range(1, radix)]
-            acc_b = lb[-1]
-            for j in range(radix - 3, -1, -1):
-                acc_b = f"({lb[j]} + {la[j]} * {acc_b})"
-            step += [f"{a} * {' * '.join(la)} AS {a}", f"{b} + {a} * {acc_b} AS {b}"]
-        out = out.selectExpr(*base, *seen, *step)
-    limit = radix ** passes
+    out = df.selectExpr(*base, f"CAST(floor((row_number() {over_sql(keys, order)} - 1) / {size}) AS INT) AS __ewm_block",
+                        *[f"count({x}) {run} AS __ewm_s{i}" for i, (_, x, _) in enumerate(specs)])
+    block = over_sql([*keys, "__ewm_block"], order, frame_sql(None, 0))
+    seen = ["__ewm_block", *[f"__ewm_s{i}" for i in n]]
+    out = out.selectExpr(*base, *seen, *[f"count({x}) {block} AS __ewm_k{i}" for i, (_, x, _) in enumerate(specs)])
+    part = []
+    for i, (_, x, a) in enumerate(specs):
+        weight = f"(CASE WHEN __ewm_s{i} = 1 THEN 1.0D ELSE {float(a)!r}D END)"
+        part.append(f"coalesce(sum(CAST({x} AS DOUBLE) * {weight} * pow({1.0 - a!r}D, -__ewm_k{i})) {block}, 0.0D) "
+                    f"* pow({1.0 - a!r}D, __ewm_k{i}) AS __ewm_b{i}")
+    out = out.selectExpr(*base, *seen, *[f"__ewm_k{i}" for i in n], *part)
+    ends = out.groupBy(*keys, "__ewm_block").agg(*[F.expr(e) for i, (_, _, a) in enumerate(specs) for e in (
+        f"pow({1.0 - a!r}D, max(__ewm_k{i})) AS a{i}", f"max_by(__ewm_b{i}, {order}) AS b{i}")])
+    maps = ", ".join(f"a{i}, b{i}" for i in n)
+    folded = ends.groupBy(*keys).agg(F.expr(f"sort_array(collect_list(struct(__ewm_block, {maps})))").alias("__ewm_ends"))
+    carry = [f"aggregate(__ewm_ends, struct(0.0D AS y, CAST(array() AS ARRAY<DOUBLE>) AS before), "
+             f"(s, e) -> struct(e.a{i} * s.y + e.b{i} AS y, concat(s.before, array(s.y)) AS before), s -> s.before) AS c{i}" for i in n]
+    carries = (folded.selectExpr(*keys, *carry).selectExpr(*keys, f"inline(arrays_zip({', '.join(f'c{i}' for i in n)}, "
+                                                            "sequence(0, size(c0) - 1)))")
+               .toDF(*keys, *[f"__ewm_c{i}" for i in n], "__ewm_block"))
     final = []
-    for i, (name, _, _) in enumerate(specs):
-        val = f"CASE WHEN __ewm_s{i} > 0 THEN __ewm_b{i} END"
-        if i == 0:
-            val = (f"CASE WHEN lag(1, {limit}) {o} IS NOT NULL THEN CAST(raise_error("
-                   f"'ewm_mean: series longer than {limit} rows; raise max_rows_log2') AS DOUBLE) ELSE {val} END")
-        final.append(f"{val} AS `{name}`")
-    return out.selectExpr(*base, *final)
+    for i, (name, _, a) in enumerate(specs):
+        final.append(f"CASE WHEN __ewm_s{i} > 0 THEN pow({1.0 - a!r}D, __ewm_k{i}) * __ewm_c{i} + __ewm_b{i} END AS `{name}`")
+    return out.join(carries, [*keys, "__ewm_block"]).selectExpr(*base, *final)

@@ -48,17 +48,27 @@ def test_ewm_scan_matches_pandas(spark, p):
     pdf = pd.DataFrame({"k": "a", "i": np.arange(n), "x": x})
     df = spark.createDataFrame(pdf)
     alpha = 2.0 / (p + 1) if p != 14 else 1.0 / 14
-    out = ewm_mean(df, [("y", "x", alpha)], ("k",), "i", max_rows_log2=10).orderBy("i").toPandas()
+    out = ewm_mean(df, [("y", "x", alpha)], ("k",), "i").orderBy("i").toPandas()
     exp = pd.Series(x).ewm(alpha=alpha, adjust=False).mean().to_numpy()
     got = out["y"].astype(float).to_numpy()
     assert np.isnan(got[:3]).all()
     np.testing.assert_allclose(got[3:], exp[3:], rtol=1e-12)
 
 
-def test_ewm_scan_guard(spark):
-    df = spark.range(40).selectExpr("'a' AS k", "id AS i", "CAST(id AS DOUBLE) AS x")
-    with pytest.raises(Exception, match="longer than"):
-        ewm_mean(df, [("y", "x", 0.5)], ("k",), "i", max_rows_log2=4).collect()
+def test_ewm_of_a_long_series_whichever_output_is_read(spark):
+    n = 70_000
+    rng = np.random.default_rng(0)
+    x, z = rng.lognormal(3, 0.5, n), rng.normal(0, 1, n)
+    z[rng.integers(0, n, 500)] = np.nan
+    z[:700] = np.nan
+    df = spark.createDataFrame(pd.DataFrame({"k": "a", "i": np.arange(n), "x": x, "z": z})).selectExpr("k", "i", "x", "nanvl(z, null) AS z")
+    out = ewm_mean(df, [("y", "x", 2 / 201), ("g", "z", 1 / 14), ("f", "x", 2 / 3)], ("k",), "i")
+    seen = pd.Series(z).dropna().ewm(alpha=1 / 14, adjust=False).mean()
+    want = {"y": pd.Series(x).ewm(alpha=2 / 201, adjust=False).mean(), "g": seen.reindex(range(n)).ffill(),
+            "f": pd.Series(x).ewm(alpha=2 / 3, adjust=False).mean()}
+    for name, values in want.items():
+        got = out.select("i", name).orderBy("i").toPandas()[name].astype(float).to_numpy()
+        np.testing.assert_allclose(got, values.to_numpy(), rtol=1e-12, atol=1e-13)
 
 
 def test_rsi_edge_cases(spark):
