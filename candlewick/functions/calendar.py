@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 HORIZONS = ("daily", "weekly", "monthly")
 
 
+def known_horizon(horizon: str) -> str:
+    """The horizon itself, if it is one of the three."""
+    if horizon not in HORIZONS:
+        raise ValueError(f"no such horizon: {horizon!r}; there are {', '.join(HORIZONS)}")
+    return horizon
+
+
 def week_id(date: Column) -> Column:
     """ISO year * 100 + ISO week (2021-01-03 -> 202053)."""
     return (F.extract(F.lit("YEAROFWEEK"), date) * 100 + F.weekofyear(date)).cast("int")
@@ -25,13 +32,8 @@ def weekday0(date: Column) -> Column:
 
 def period_id(date: Column, horizon: str) -> Column:
     """Candle key of a horizon; daily candles are keyed by the date itself."""
-    if horizon == "weekly":
-        return week_id(date)
-    if horizon == "monthly":
-        return month_id(date)
-    if horizon == "daily":
-        return F.date_format(date, "yyyyMMdd").cast("int")
-    raise ValueError(f"Unknown horizon '{horizon}'. Use 'daily', 'weekly', or 'monthly'.")
+    by_day = F.date_format(date, "yyyyMMdd").cast("int")
+    return {"daily": by_day, "weekly": week_id(date), "monthly": month_id(date)}[known_horizon(horizon)]
 
 
 def weekdays_to_month_end(date: Column) -> Column:

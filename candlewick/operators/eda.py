@@ -1,8 +1,7 @@
 """Data-quality and association reports.
 
 All statistics are single-pass aggregates or per-feature windows over a long
-(feature, value) table: features are processed in parallel, one task each at
-most, and nothing is collected to the driver.
+(feature, value) table, ranked range by range; nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .labels import pct_2dp
+from .sampling import value_ranks
 
 MI_BINS = 10          # equal-frequency bins per variable for mutual information
 TOP_N_ASSOCIATION = 25
@@ -69,42 +69,27 @@ def clean_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(c) for c in cols]).where(F.expr(cond))
 
 
-def _avg_rank(long: DataFrame, key: str, value: str) -> DataFrame:
-    """Tie-averaged rank (1-based) and min rank of every distinct value per key.
-
-    Works on the distinct (key, value) table with its multiplicities: rank of
-    v = #values < v + (#values == v + 1) / 2.
-    """
-    w = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    d = long.groupBy(key, value).agg(F.count("*").alias("_cnt"))
-    below = F.coalesce(F.sum("_cnt").over(w), F.lit(0))
-    return d.select(key, value, (below + (F.col("_cnt") + 1) / 2.0).alias("_avg_rank"),
-                    (below + 1).alias("_min_rank"))
-
-
 def association(df: DataFrame, features: Sequence[str], target: str, bins: int = MI_BINS) -> DataFrame:
     """Pearson, Spearman and binned mutual information of each feature
     with the label, on rows complete in all features and the label.
 
     Mutual information uses ``bins`` equal-frequency bins per variable (bin of
     a value from its min rank) and natural logs; it replaces the reference's
-    k-NN estimator and is meant for ranking features.
+    k-NN estimator and is meant for ranking features.  Ranks are taken in ranges
+    of the values (``value_ranks``), so no task holds a whole feature.
     """
     feats = list(features)
     clean = clean_rows(df, feats + [target])
     n = clean.select(F.count("*")).scalar()
-    tr = _avg_rank(clean.select(F.lit("_target").alias("feature"), F.col(target).alias("_t")), "feature", "_t") \
-        .select("_t", F.col("_avg_rank").alias("_t_rank"), F.col("_min_rank").alias("_t_min"))
-    ranked = clean.withColumn("_t", F.col(target)).join(tr, "_t")
+    ranked = value_ranks(clean.withColumns({"_all": F.lit(0), "_t": F.col(target)}), ["_all"], "_t", "_t_rank", "_t_min")
+    ranked = ranked.checkpoint()      # read by the sizes and by the rows of each range
     long = ranked.select("_t", "_t_rank", "_t_min",
                          F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"))
                                              for f in feats])).alias("kv")) \
         .select("_t", "_t_rank", "_t_min", "kv.feature", "kv.value")
-    vr = _avg_rank(long, "feature", "value")
     binned = lambda r: F.least(F.lit(bins - 1), F.floor((r - 1) * bins / n)).cast("int")
-    j = (long.join(vr, ["feature", "value"])
-         .select("feature", "value", "_t", "_avg_rank", "_t_rank",
-                 binned(F.col("_min_rank")).alias("bx"), binned(F.col("_t_min")).alias("by")))
+    j = value_ranks(long, ["feature"], "value", "_avg_rank", "_min_rank").select(
+        "feature", "value", "_t", "_avg_rank", "_t_rank", binned(F.col("_min_rank")).alias("bx"), binned(F.col("_t_min")).alias("by")).checkpoint()
     stats = j.groupBy("feature").agg(
         _pair_corr(F.col("value"), F.col("_t")).alias("pearson"),
         _pair_corr(F.col("_avg_rank"), F.col("_t_rank")).alias("spearman"))
@@ -114,7 +99,7 @@ def association(df: DataFrame, features: Sequence[str], target: str, bins: int =
     mi = (joint.select("feature", "nxy", F.sum("nxy").over(px).alias("nx"), F.sum("nxy").over(py).alias("ny"))
           .groupBy("feature")
           .agg(F.sum((F.col("nxy") / n) * F.log(F.col("nxy") * n / (F.col("nx") * F.col("ny")))).alias("mutual_info")))
-    return stats.join(mi, "feature").select("feature", "pearson", "spearman", "mutual_info")
+    return stats.join(mi, "feature").select("feature", "pearson", "spearman", "mutual_info").orderBy(F.desc("mutual_info"), "feature")
 
 
 def top_association(report: DataFrame, n: int = TOP_N_ASSOCIATION, by: Sequence[str] = ()) -> DataFrame:

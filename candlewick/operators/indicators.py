@@ -6,7 +6,7 @@ Plan shape (one lazy plan for all tickers at once):
     bars --(hash by ticker)--> daily windows (W(t), W(candle))
         \\-> groupBy(ticker, week)  -> period windows W(p) -/ join (ticker, week)
         \\-> groupBy(ticker, month) -> period windows W(p) -/ join (ticker, month)
-    gauge -> as-of calendar (one row per date) -broadcast-/ join Date
+    gauge -> as-of calendar (one row per date) -/ join Date
 
 The period aggregates and the joins reuse the ticker hash partitioning of the
 daily frame, so the only exchange of bar rows is the one on ticker.  Every
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_id, week_id
-from ..sources.bars import cut_after_last_close, drop_missing_close
+from ..sources.bars import drop_missing_close
 from .seq import ewm_mean, frame_sql, over_sql, rolling_sql, running_sql, shift_sql
 
 # Fixed values of the indicator definitions.
@@ -63,19 +63,18 @@ def gauge_asof(dates: DataFrame, gauge: DataFrame) -> DataFrame:
              .select("_y", F.last("_last", ignorenulls=True).over(earlier).alias("_carry")))
     return (u.select("Date", "src", "_y", F.last("g", ignorenulls=True).over(in_year).alias("_v"))
             .where(F.col("src") == 1)
-            .join(F.broadcast(years), "_y", "left")
+            .join(years, "_y", "left")
             .select("Date", F.coalesce(F.col("_v"), F.col("_carry")).alias("vix_close")))
 
 
 def daily_frame(bars: DataFrame, gauge: DataFrame | None) -> DataFrame:
     """X0 plus the gauge: cleaned bars with candle keys and the as-of gauge close."""
-    df = cut_after_last_close(drop_missing_close(bars))
-    df = df.select("ticker", "Date", "Open", "High", "Low", "Close", "Volume",
+    df = drop_missing_close(bars).select("ticker", "Date", "Open", "High", "Low", "Close", "Volume",
                    week_id(F.col("Date")).alias("week_id"),
                    month_id(F.col("Date")).alias("month_id"))
     if gauge is None:
         return df.withColumn("vix_close", F.lit(None).cast("double"))
-    return df.join(F.broadcast(gauge_asof(df, gauge)), "Date", "left")
+    return df.join(gauge_asof(df, gauge), "Date", "left")
 
 
 def _d(v: float) -> str:

@@ -17,15 +17,12 @@ def _idiv(a, b):
     return F.floor(a / b).cast("bigint")
 
 
-def ordered_position(df: DataFrame, by: Sequence[str], y: str, tie: Sequence[str],
-                     buckets: int = 64) -> DataFrame:
-    """0-based position of every row in (y, *tie) order within its group,
-    computed without putting a whole group in one task.
+def in_buckets(df: DataFrame, by: Sequence[str], y: str, buckets: int = 64) -> DataFrame:
+    """Add ``_b`` (ordered range of y within the group), ``_off`` (rows of the
+    group in lower ranges) and ``_n`` (rows of the group).
 
-    Approximate quantile edges of y cut each group into ``buckets`` ordered
-    ranges (a value equal to an edge goes to the lower range, so equal y stay
-    together); bucket sizes give each bucket's offset, and rows are ranked
-    inside their bucket.  The edges only balance the work: positions are exact.
+    Approximate quantile edges cut each group; a value equal to an edge goes
+    to the lower range, so equal values share one.
     """
     fr = [i / buckets for i in range(1, buckets)]
     edges = df.groupBy(*by).agg(F.percentile_approx(F.col(y), fr, 10000).alias("_edges"))
@@ -35,8 +32,29 @@ def ordered_position(df: DataFrame, by: Sequence[str], y: str, tie: Sequence[str
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.select(*by, "_b", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
                         F.sum("_cnt").over(Window.partitionBy(*by)).alias("_n"))
+    return b.join(offs, [*by, "_b"])
+
+
+def value_ranks(df: DataFrame, by: Sequence[str], y: str, average: str, least: str, buckets: int = 64) -> DataFrame:
+    """Add the tie-averaged and the least 1-based rank of y within its group, ranked range by range."""
+    inside = Window.partitionBy(*by, "_b").orderBy(y)
+    ties = Window.partitionBy(*by, "_b", y)
+    first = F.rank().over(inside) + F.col("_off")
+    return (in_buckets(df, by, y, buckets).withColumns({least: first, average: first + (F.count("*").over(ties) - 1) / 2.0})
+            .drop("_b", "_off", "_n"))
+
+
+def ordered_position(df: DataFrame, by: Sequence[str], y: str, tie: Sequence[str],
+                     buckets: int = 64) -> DataFrame:
+    """0-based position of every row in (y, *tie) order within its group,
+    computed without putting a whole group in one task.
+
+    Range sizes give each range's offset, and rows are ranked inside their
+    range.  The edges only balance the work: positions are exact.
+    """
+    b = in_buckets(df, by, y, buckets)
     inside = Window.partitionBy(*by, "_b").orderBy(F.col(y), *[F.col(c) for c in tie])
-    return (b.join(offs, [*by, "_b"])
+    return (b
             .withColumn("position", (F.row_number().over(inside) - 1 + F.col("_off")).cast("int"))
             .drop("_b", "_off"))
 

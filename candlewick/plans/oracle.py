@@ -2,20 +2,69 @@
 
 The SQL is an independent formulation of the same semantics: EWM by a
 recursive CTE over row numbers, the gauge by an ASOF join, in-candle values by
-window frames, Spearman ranks by ``rank()``.  Column names come from the same
-catalogue as the Spark side; the values do not.
+window frames, Spearman ranks by ``rank()``.  It takes nothing from the code
+under test.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from ..operators.eda import MI_BINS, TOP_N_ASSOCIATION
-from ..operators.evaluate import ACTUAL_CLASSES, NOMINAL_COVERAGE, PRED_CLASSES, QUANTILES
-from ..operators.features import HORIZON_SPEC, HORIZON_TOKENS, REALIZED_VOL_WINDOW, TRADING_DAYS_PER_CANDLE
-from ..operators.indicators import BACKEND_PERIODS, BLOCKS, MODEL_PERIODS, _catalogue
-from ..sources.store import store_columns
-from .pipeline import FEATURE_PERIODS, HORIZONS
+# Written out here, not taken from the code under test: what the results must have.
+HORIZONS = ("daily", "weekly", "monthly")
+BACKEND_PERIODS, MODEL_PERIODS = (10, 50, 100, 150, 200), (20, 50, 100, 150, 200)
+FEATURE_PERIODS = {"daily": MODEL_PERIODS, "weekly": MODEL_PERIODS, "monthly": (10, 20, 50)}
+QUANTILES, NOMINAL_COVERAGE = {"q10": 0.1, "q50": 0.5, "q90": 0.9}, 0.8
+PRED_CLASSES, ACTUAL_CLASSES = ("Short", "Stay-out", "Long"), ("Below band", "Within band", "Above band")
+REALIZED_VOL_WINDOW = {"daily": 21, "weekly": 13, "monthly": 12}
+TRADING_DAYS_PER_CANDLE = {"weekly": 5, "monthly": 21}
+
+BLOCKS = {
+    "returns": """close_daily_last pct_change_daily_last close_weekly_last pct_change_week_current pct_change_week_prev
+        close_monthly_last pct_change_month_current pct_change_month_prev""",
+    "sma": "sma_daily_{p} sma_weekly_{p} sma_monthly_{p}",
+    "ema": "ema_daily_{p} ema_weekly_{p} ema_monthly_{p}",
+    "volume_block": """volume_prev_day volume_avg_daily_90 volume_week_current volume_week_prev volume_month_current
+        volume_month_prev""",
+    "range_block": """low_prev_day high_prev_day low_week_current high_week_current low_week_prev high_week_prev
+        low_month_current high_month_current low_month_prev high_month_prev""",
+    "bollinger": """bb_base_daily bb_upper_daily bb_lower_daily bb_base_weekly bb_upper_weekly bb_lower_weekly
+        bb_base_monthly bb_upper_monthly bb_lower_monthly""",
+    "rsi": """rsi_daily rsi_ma_daily rsi_gap_daily rsi_weekly rsi_ma_weekly rsi_gap_weekly rsi_monthly rsi_ma_monthly
+        rsi_gap_monthly""",
+    "vix_asof": "vix_daily_last vix_weekly_last vix_monthly_last",
+}
+# Engineered features by query, and for each horizon (volume pair, range pair, return, cycles, passed through).
+FEATURE_BLOCKS = {"dist_features": "dist_", "bb_features": "bb_pctb_ bb_width_", "rel_volume": "rel_vol_", "range_pct": "range_pct_",
+                  "realized_vol": "realized_vol_", "cyclical": "dow_ month_sin month_cos", "days_to_close": "days_to_close_"}
+HORIZON_SPEC = {
+    "daily": {"rel_vol": ("rel_vol_daily", "volume_prev_day", "volume_avg_daily_90"),
+              "range": ("range_pct_daily", "high_prev_day", "low_prev_day"), "rvol": ("realized_vol_daily", "pct_change_daily_last"),
+              "days_to_close": None, "cyclical": ("dow", "month"),
+              "passthrough": ["pct_change_daily_last", "rsi_daily", "rsi_ma_daily", "rsi_gap_daily", "vix_daily_last"]},
+    "weekly": {"rel_vol": ("rel_vol_week_current", "volume_week_current", "volume_week_prev"),
+               "range": ("range_pct_week_prev", "high_week_prev", "low_week_prev"), "rvol": ("realized_vol_weekly", "pct_change_week_prev"),
+               "days_to_close": "days_to_close_weekly", "cyclical": ("month",),
+               "passthrough": ["pct_change_week_current", "pct_change_week_prev", "rsi_weekly", "rsi_ma_weekly", "rsi_gap_weekly",
+                               "vix_weekly_last"]},
+    "monthly": {"rel_vol": ("rel_vol_month_current", "volume_month_current", "volume_month_prev"),
+                "range": ("range_pct_month_prev", "high_month_prev", "low_month_prev"),
+                "rvol": ("realized_vol_monthly", "pct_change_month_prev"),
+                "days_to_close": "days_to_close_monthly", "cyclical": ("month",),
+                "passthrough": ["pct_change_month_current", "pct_change_month_prev", "rsi_monthly", "rsi_ma_monthly", "rsi_gap_monthly",
+                                "vix_monthly_last"]},
+}
+
+
+def catalogue(periods: Sequence[int], blocks: Sequence[str] = tuple(BLOCKS)) -> list[str]:
+    """Columns of the blocks: lists with a {p} once per period."""
+    return [c.format(p=p) for b in blocks for p in (periods if "{p}" in BLOCKS[b] else [0]) for c in BLOCKS[b].split()]
+
+
+def is_of(column: str, horizon: str) -> bool:
+    """Daily columns say _daily or _prev_day, the others _week or _month (and so _weekly, _monthly)."""
+    return any(t in column for t in {"daily": ("_daily", "_prev_day"), "weekly": ("_week",), "monthly": ("_month",)}[horizon])
+
 
 GRID = "1048576.0"
 
@@ -89,11 +138,13 @@ def ewm_cte(q: Sql, name: str, src: str, series: Sequence[tuple[str, str, float]
 # ---------------------------------------------------------------- sources
 def bars_cte(q: Sql) -> str:
     price = "l_extendedprice / l_quantity"
-    key = "(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)"
-    return q.add("bars", f"""SELECT l_returnflag || l_linestatus AS ticker, CAST(l_shipdate AS DATE) AS Date,
+    key = "(l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+    day = "CAST(l_shipdate AS DATE)"
+    return q.add("bars", f"""SELECT l_returnflag || l_linestatus AS ticker,
+  CAST({day} - greatest(isodow({day}) - 5, 0)::INTEGER AS DATE) AS Date,
   arg_min({price}, {key}) AS Open, max({price}) AS High, min({price}) AS Low,
   arg_max({price}, {key}) AS Close, CAST(sum(l_quantity) AS DOUBLE) AS Volume
-FROM lineitem WHERE isodow(CAST(l_shipdate AS DATE)) <= 5 GROUP BY 1, 2""")
+FROM lineitem GROUP BY 1, 2""")
 
 
 def gauge_cte(q: Sql) -> str:
@@ -203,16 +254,12 @@ FROM {d0} GROUP BY ticker, {pid}""")
     c["rsi_ma_daily"] = rma
     c["rsi_gap_daily"] = f"d.rsi_d - {rma}"
     c["vix_daily_last"] = f"lag(d.vix_close) {over(*T)}"
-    sel = ", ".join(f"CAST({c[n]} AS DOUBLE) AS {n}" for n in _catalogue(periods))
+    sel = ", ".join(f"CAST({c[n]} AS DOUBLE) AS {n}" for n in catalogue(periods))
     return q.add(name, f"""SELECT d.Date, d.ticker, {sel}
 FROM d3{tag} d LEFT JOIN pw{tag} w ON d.ticker = w.ticker AND d.week_id = w.pid
 LEFT JOIN pm{tag} m ON d.ticker = m.ticker AND d.month_id = m.pid""")
 
 
-def block_columns(periods: Sequence[int], blocks: Sequence[str]) -> list[str]:
-    return [n for n in _catalogue(periods) if any(BLOCKS[b](n) for b in blocks)]
-
-
 def final(cols: Sequence[str], src: str, doubles: Sequence[str], where: str = "") -> str:
     items = [grid(c) + f" AS {c}" if c in doubles else c for c in cols]
     return f"SELECT {', '.join(items)} FROM {src}{' WHERE ' + where if where else ''}"
@@ -238,8 +285,7 @@ def pooled_cte(q: Sql, periods: Sequence[int]) -> str:
 
 
 def horizon_cols(periods: Sequence[int], horizon: str) -> list[str]:
-    toks = HORIZON_TOKENS[horizon]
-    return [c for c in _catalogue(periods) if any(t in c for t in toks)]
+    return [c for c in catalogue(periods) if is_of(c, horizon)]
 
 
 def horizon_raw_cte(q: Sql, horizon: str, periods: Sequence[int] | None = None) -> str:
@@ -368,7 +414,7 @@ def band_cte(q: Sql) -> str:
 def _raw_block(blocks: Sequence[str], start: str | None = None) -> str:
     q = Sql()
     raw = raw_cte(q, BACKEND_PERIODS)
-    cols = block_columns(BACKEND_PERIODS, blocks)
+    cols = catalogue(BACKEND_PERIODS, blocks)
     where = f"Date > DATE '{start}'" if start else ""
     return q.render(final(["Date", "ticker", *cols], raw, cols, where))
 
@@ -387,14 +433,23 @@ def sql_bars_daily() -> str:
 def sql_horizon_split() -> str:
     q = Sql()
     p = pooled_cte(q, MODEL_PERIODS)
-    cols = horizon_cols(MODEL_PERIODS, "weekly")
-    return q.render(final(["Date", "ticker", "anchor_close_daily", *cols], p, ["anchor_close_daily", *cols]))
+    return q.render(_by_horizon(p, {h: ["anchor_close_daily", *horizon_cols(MODEL_PERIODS, h)] for h in HORIZONS}))
+
+
+def _by_horizon(src: str, columns: dict[str, list[str]], where: str = "") -> str:
+    """One row per horizon and source row; columns that a horizon lacks are null."""
+    return " UNION ALL BY NAME ".join(
+        f"(SELECT '{h}' AS horizon, x.* FROM ({final(['Date', 'ticker', *cols], src, cols, where)}) x)" for h, cols in columns.items())
+
+
+def store_columns() -> dict[str, list[str]]:
+    return {h: [c for c in catalogue(BACKEND_PERIODS) if is_of(c, h)] for h in HORIZONS}
 
 
 def sql_null_validation() -> str:
     q = Sql()
     raw = raw_cte(q, BACKEND_PERIODS)
-    cols = _catalogue(BACKEND_PERIODS)
+    cols = catalogue(BACKEND_PERIODS)
     names = ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in cols)
     n = " + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in cols)
     return q.render(f"SELECT ticker, Date, concat_ws(',', {names}) AS null_features, CAST({n} AS BIGINT) AS n_nulls, "
@@ -419,18 +474,18 @@ def sql_missing_report() -> str:
 def sql_pool_tickers() -> str:
     q = Sql()
     p = pooled_cte(q, MODEL_PERIODS)
-    cols = _catalogue(MODEL_PERIODS) + ["anchor_close_daily"]
+    cols = catalogue(MODEL_PERIODS) + ["anchor_close_daily"]
     return q.render(final(["Date", "ticker", *cols], p, cols))
 
 
-def sql_feature_block(pred) -> str:
+def sql_feature_block(prefixes: str) -> str:
     q = Sql()
     p = pooled_cte(q, MODEL_PERIODS)
-    avail = ["Date", "ticker", "anchor_close_daily"] + _catalogue(MODEL_PERIODS)
+    avail = ["Date", "ticker", "anchor_close_daily"] + catalogue(MODEL_PERIODS)
     cols: dict[str, str] = {}
     for h in HORIZONS:
         for n, e in engineered(h, MODEL_PERIODS, avail):
-            if pred(n) and n not in cols:
+            if n.startswith(tuple(prefixes.split())) and n not in cols:
                 cols[n] = e
     q.add("fb", f"SELECT Date, ticker, {', '.join(f'CAST({e} AS DOUBLE) AS {n}' for n, e in cols.items())} FROM {p}")
     return q.render(final(["Date", "ticker", *cols], "fb", list(cols)))
@@ -512,12 +567,12 @@ def sql_corr_matrix() -> str:
     return q.render(_union(parts))
 
 
-def association_cte(q: Sql, h: str, bins: int = MI_BINS) -> str:
+def association_cte(q: Sql, h: str, bins: int = 10) -> str:
     f = features_cte(q, h)
     feats = feature_list(h)
     t = f"target_{h}"
     items = ", ".join(f"{{'feature': '{a}', 'value': CAST({a} AS DOUBLE)}}" for a in feats)
-    q.add(f"cl_{h}", f"SELECT {', '.join(feats)}, {t} AS t FROM {f}")
+    q.add(f"cl_{h}", f"SELECT {', '.join(f'round(CAST({c} AS DOUBLE), 9) AS {c}' for c in feats)}, round({t}, 9) AS t FROM {f}")
     q.add(f"tn_{h}", f"SELECT count(*) AS n FROM cl_{h}")
     q.add(f"lg_{h}", f"SELECT t, unnest([{items}], recursive := true) FROM cl_{h}")
     q.add(f"rk_{h}", f"""SELECT feature, value, t,
@@ -541,12 +596,12 @@ def sql_association() -> str:
     return q.render(_union(parts))
 
 
-def sql_association_top(n: int = TOP_N_ASSOCIATION) -> str:
+def sql_association_top(n: int = 10) -> str:
     q = Sql()
     parts = [f"SELECT feature, {grid('pearson')} AS pearson, {grid('spearman')} AS spearman, "
-             f"{grid('mutual_info')} AS mutual_info, horizon FROM {association_cte(q, h)}" for h in HORIZONS]
+             f"mutual_info AS mi, {grid('mutual_info')} AS mutual_info, horizon FROM {association_cte(q, h)}" for h in HORIZONS]
     q.add("asg", _union(parts))
-    return q.render(f"SELECT * FROM asg QUALIFY row_number() OVER (PARTITION BY horizon ORDER BY mutual_info DESC, feature) <= {n}")
+    return q.render(f"SELECT * EXCLUDE (mi) FROM asg QUALIFY row_number() OVER (PARTITION BY horizon ORDER BY mi DESC, feature) <= {n}")
 
 
 SCORED_COLS = ["horizon", "Date", "ticker", "y", "q10", "q50", "q90"]
@@ -626,23 +681,21 @@ def sql_sync_status() -> str:
     b = bars_cte(q)
     return q.render(f"""SELECT s.ticker, s.source_latest, d.db_latest, coalesce(s.source_latest = d.db_latest, false) AS is_synced
 FROM (SELECT ticker, max(Date) AS source_latest FROM {b} GROUP BY ticker) s
-LEFT JOIN (SELECT ticker, max(Date) AS db_latest FROM {b} WHERE Date <= {_cutoff()} GROUP BY ticker) d USING (ticker)""")
+LEFT JOIN (SELECT ticker, max(Date) AS db_latest FROM {b} WHERE Date <= {_cutoff()} OR ticker LIKE 'A%' GROUP BY ticker) d USING (ticker)""")
 
 
 def sql_incremental_upsert() -> str:
-    """After the sync the daily table equals the indicators on full history
+    """After the sync the tables equal the indicators on full history
     (features at a date only depend on rows up to it)."""
     q = Sql()
     raw = raw_cte(q, BACKEND_PERIODS)
-    cols = store_columns(BACKEND_PERIODS)["daily"]
-    return q.render(final(["ticker", "Date", *cols], raw, cols))
+    return q.render(_by_horizon(raw, store_columns()))
 
 
 def sql_store_read() -> str:
     q = Sql()
     raw = raw_cte(q, BACKEND_PERIODS)
-    cols = store_columns(BACKEND_PERIODS)["monthly"]
-    return q.render(final(["ticker", "Date", *cols], raw, cols, "Date >= DATE '2000-01-01'"))
+    return q.render(_by_horizon(raw, store_columns(), "Date >= DATE '2000-01-01'"))
 
 
 def sql_retrain_flag() -> str:
@@ -733,17 +786,16 @@ FROM rg CROSS JOIN range(0, {bins}) b(bin) LEFT JOIN hc ON hc.horizon = rg.horiz
 
 
 def oracle_sql() -> dict[str, str]:
-    from .queries import BLOCK_QUERIES, FEATURE_BLOCKS
     out = {"bars_daily": sql_bars_daily()}
-    for name, b in BLOCK_QUERIES.items():
-        out[name] = _raw_block([b])
+    for name in BLOCKS:
+        out[name] = _raw_block([name])
     out["horizon_split"] = sql_horizon_split()
     out["trim_start"] = _raw_block(["returns"], "2000-01-01")
     out["null_validation"] = sql_null_validation()
     out["missing_report"] = sql_missing_report()
     out["pool_tickers"] = sql_pool_tickers()
-    for name, pred in FEATURE_BLOCKS.items():
-        out[name] = sql_feature_block(pred)
+    for name, prefixes in FEATURE_BLOCKS.items():
+        out[name] = sql_feature_block(prefixes)
     for h in HORIZONS:
         out[f"features_{h}"] = sql_features(h)
     for h in HORIZONS:

@@ -29,14 +29,23 @@ from ..sources.bars import load_bars, load_gauge
 
 HORIZONS = ("daily", "weekly", "monthly")
 
-# Moving-average periods per horizon for the modelling stages.  Monthly uses
-# 10/20/50: the driver's tables hold ~83 months, so 100+ month averages would
-# be NULL on every row and empty the monthly table.
-FEATURE_PERIODS = {"daily": MODEL_PERIODS, "weekly": MODEL_PERIODS, "monthly": (10, 20, 50)}
-
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_bars(spark, sf_dir)
+    """The daily bars, materialized once: what every branch reads instead of the line items."""
+    return stage(spark, ("bars", sf_dir, *inputs(spark, sf_dir)), lambda: load_bars(spark, sf_dir))
+
+
+def inputs(spark: SparkSession, sf_dir: str) -> tuple:
+    """Path, size and time of every input file: a stage is built anew when they change."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    seen = []
+    for name in ("lineitem", "orders"):
+        path = jvm.org.apache.hadoop.fs.Path(os.path.join(sf_dir, f"{name}.parquet"))
+        files = path.getFileSystem(conf).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(seen))
 
 
 def gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +56,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars + candle keys + as-of gauge, materialized once: the scan and
     aggregation of the line items run a single time however many indicator
     branches read the result (calendar-sized: one row per ticker and day)."""
-    return stage(spark, ("daily", sf_dir),
+    return stage(spark, ("daily", sf_dir, *inputs(spark, sf_dir)),
                  lambda: daily_frame(bars(spark, sf_dir), gauge(spark, sf_dir)).repartition("ticker"))
 
 
@@ -60,39 +69,43 @@ def pooled(spark: SparkSession, sf_dir: str, periods: Sequence[int] = MODEL_PERI
     return pool_tickers(raw(spark, sf_dir, periods))
 
 
-def horizon_raw(spark: SparkSession, sf_dir: str, horizon: str) -> DataFrame:
+def horizon_raw(spark: SparkSession, sf_dir: str, horizon: str, periods: Sequence[int] = MODEL_PERIODS) -> DataFrame:
     """Extract (B2) + missing check (B7) for one horizon.  Only the columns
     of that horizon (and the daily close behind the anchor) are computed."""
-    periods = FEATURE_PERIODS[horizon]
     toks = HORIZON_TOKENS[horizon]
     cols = ["close_daily_last"] + [c for c in catalogue(periods) if any(t in c for t in toks)]
     raw_h = raw_features(daily(spark, sf_dir), None, periods, columns=cols)
     return drop_missing_anchor(select_horizon_columns(pool_tickers(raw_h), horizon))
 
 
-_STAGES: dict[tuple, DataFrame] = {}
+_STAGES: dict[tuple, object] = {}
 _LOCKS: dict[tuple, threading.Lock] = {}
 _GUARD = threading.Lock()
-STAGE_MODE = os.environ.get("CANDLEWICK_STAGE_MODE", "checkpoint")   # or "parquet"
+STAGE_MODE = os.environ.get("CANDLEWICK_STAGE_MODE", "parquet")   # or "checkpoint"
 
 
 def stage(spark: SparkSession, key: tuple, build) -> DataFrame:
     """Materialize a stage that later stages read several times.
 
-    Default: a reliable ``checkpoint()`` into the shared folder named by
-    ``spark.checkpoint.dir``; with CANDLEWICK_STAGE_MODE=parquet the stage is
-    written there as a parquet table and read back (readers then get column
-    pruning and filter pushdown).  Either way the lineage is cut, so a lost
+    Default: a parquet table in the shared folder named by
+    ``spark.checkpoint.dir``, so that readers get column pruning and filter
+    pushdown; with CANDLEWICK_STAGE_MODE=checkpoint a reliable ``checkpoint()``
+    there, which keeps the partitioning.  Either way the lineage is cut, so a lost
     executor never recomputes the upstream scan, and the stage is built once
     per session and key; ``clear_stages()`` forgets the handles.
     """
+    return once(spark, key, lambda: _build_stage(spark, build))
+
+
+def once(spark: SparkSession, key: tuple, build):
+    """The result of ``build``, called the first time that a key is asked for in a session."""
     full = (session_key(spark), *key)
     with _GUARD:
         lock = _LOCKS.setdefault(full, threading.Lock())
     with lock:                        # concurrent callers of one stage wait for a single build
         hit = _STAGES.get(full)
         if hit is None:
-            hit = _build_stage(spark, build)
+            hit = build()
             _STAGES[full] = hit
     return hit
 
@@ -110,23 +123,17 @@ def clear_stages() -> None:
     _STAGES.clear()
 
 
-def features(spark: SparkSession, sf_dir: str, horizon: str) -> DataFrame:
+def features(spark: SparkSession, sf_dir: str, horizon: str, periods: Sequence[int] = MODEL_PERIODS) -> DataFrame:
     """Engineered table of one horizon (materialized: read by the split,
     folds, EDA and fits; calendar-sized, one row per ticker and trading day)."""
-    def build():
-        df, _ = engineer_horizon(horizon_raw(spark, sf_dir, horizon), horizon, FEATURE_PERIODS[horizon])
-        return df
-    return stage(spark, ("features", sf_dir, horizon), build)
-
-
-def feature_names(spark: SparkSession, sf_dir: str, horizon: str) -> list[str]:
-    _, names = engineer_horizon(horizon_raw(spark, sf_dir, horizon), horizon, FEATURE_PERIODS[horizon])
-    return names
+    key = ("features", sf_dir, horizon, tuple(periods), *inputs(spark, sf_dir))
+    return stage(spark, key, lambda: engineer_horizon(horizon_raw(spark, sf_dir, horizon, periods), horizon, periods)[0])
 
 
-def split(spark: SparkSession, sf_dir: str, horizon: str) -> DataFrame:
+def split(spark: SparkSession, sf_dir: str, horizon: str, periods: Sequence[int] = MODEL_PERIODS) -> DataFrame:
     """Train/test tagged rows (materialized, read by every modelling stage)."""
-    return stage(spark, ("split", sf_dir, horizon), lambda: split_groups(features(spark, sf_dir, horizon), horizon))
+    key = ("split", sf_dir, horizon, tuple(periods), *inputs(spark, sf_dir))
+    return stage(spark, key, lambda: split_groups(features(spark, sf_dir, horizon, periods), horizon))
 
 
 def all_horizons(fn, *args) -> DataFrame:

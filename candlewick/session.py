@@ -50,7 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
     On a cluster this setting names a shared, fault-tolerant folder and is used
-    as is.  Only when it is unset (local tests) a scratch folder is created.
+    as is.  Only a local session may leave it unset, as tests do, and gets a
+    scratch folder; elsewhere a machine's own folder would not be seen by the
+    other machines, and an error is raised.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -60,6 +62,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not path and sc is not None:
         path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "") or ""
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="candlewick-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc is not None and sc.getCheckpointDir() is None:

@@ -7,8 +7,9 @@ Close, Volume.  Never one table per ticker.
 from __future__ import annotations
 
 import os
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,27 +35,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def trading_day(date: Column) -> Column:
+    """Saturdays and Sundays count to the Friday before them."""
+    return F.date_sub(date, F.greatest(weekday0(date) - 4, F.lit(0)))
+
+
+def line_order(*parts: tuple[str, int]) -> Column:
+    """One decimal that orders like the (column, digits) parts in turn.
+
+    A decimal is a fixed-width aggregation buffer, so that min_by and max_by
+    over it stay hash aggregates, which a struct key would not. A value that
+    needs more digits than its part has raises an error.
+    """
+    key, width = F.lit(0).cast("decimal(38,0)"), sum(digits for _, digits in parts)
+    fits = F.lit(True)
+    for column, digits in parts:
+        width -= digits
+        fits &= F.col(column).between(0, 10 ** digits - 1)
+        key += F.col(column).cast(f"decimal({digits},0)") * F.lit(Decimal(10 ** width))
+    too_wide = F.raise_error(F.lit("line_order: a key is negative or has too many digits")).cast("decimal(38,0)")
+    return F.when(fits, key.cast("decimal(38,0)")).otherwise(too_wide)
+
+
 def bars_from_lineitem(lineitem: DataFrame) -> DataFrame:
     """Six daily series from the driver's line items (FIXTURES.md mapping).
 
-    ticker = returnflag || linestatus, Date = ship date (Mon-Fri only),
+    ticker = returnflag || linestatus, Date = the trading day of the ship date,
     price = extendedprice / quantity; Open/Close = price of the first/last line
-    of the day by the long line key; High/Low = max/min price; Volume = sum of
-    quantity.  One partial+final hash aggregate: each map task pre-aggregates to
-    at most (#tickers x #dates) rows, so a ticker holding a third of all lines
-    costs no more shuffle than any other.
+    of the day by order, line number, part and supplier; High/Low = max/min
+    price; Volume = sum of quantity.  One partial and one final hash aggregate:
+    each map task pre-aggregates to at most (#tickers x #dates) rows, so a
+    ticker holding a third of all lines costs no more shuffle than any other.
     """
-    day = F.to_date(F.col("l_shipdate"))
     price = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
-    key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                   "l_extendedprice", "l_quantity")
-    lines = (
-        lineitem
-        .select(F.concat("l_returnflag", "l_linestatus").alias("ticker"),
-                day.alias("Date"), price.alias("price"), key.alias("k"),
-                F.col("l_quantity"))
-        .where(weekday0(F.col("Date")) < 5)
-    )
+    key = line_order(("l_orderkey", 13), ("l_linenumber", 2), ("l_partkey", 12), ("l_suppkey", 10))
+    lines = lineitem.select(F.concat("l_returnflag", "l_linestatus").alias("ticker"),
+                            trading_day(F.to_date("l_shipdate")).alias("Date"), price.alias("price"), key.alias("k"), "l_quantity")
     return lines.groupBy("ticker", "Date").agg(
         F.min_by("price", "k").alias("Open"),
         F.max("price").alias("High"),

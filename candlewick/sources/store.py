@@ -16,14 +16,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.calendar import HORIZONS, known_horizon
 from ..operators.features import split_by_horizon
+from ..operators.indicators import BACKEND_PERIODS, DEFAULT_START, raw_features
 
-HORIZONS = ("daily", "weekly", "monthly")
 KEYS = ("ticker", "Date")
 
 
-def store_columns(periods: Sequence[int] = (10, 50, 100, 150, 200)) -> dict[str, list[str]]:
-    """Fixed column lists of the three store tables for the given MA periods."""
+def store_columns(periods: Sequence[int] = BACKEND_PERIODS) -> dict[str, list[str]]:
+    """Column lists of the three store tables for the given MA periods (fixed values)."""
     ma = lambda kind, h: [f"{kind}_{h}_{p}" for p in periods]
     return {
         "daily": ["close_daily_last", "pct_change_daily_last", *ma("sma", "daily"), *ma("ema", "daily"),
@@ -45,35 +46,45 @@ def store_columns(periods: Sequence[int] = (10, 50, 100, 150, 200)) -> dict[str,
     }
 
 
-def store_schema(horizon: str, periods: Sequence[int] = (10, 50, 100, 150, 200)) -> T.StructType:
+def store_schema(horizon: str, periods: Sequence[int] = BACKEND_PERIODS) -> T.StructType:
     """Key columns + DOUBLE value columns of one horizon table."""
-    cols = store_columns(periods)[check(horizon)]
+    cols = store_columns(periods)[known_horizon(horizon)]
     return T.StructType([T.StructField("ticker", T.StringType(), False),
                          T.StructField("Date", T.DateType(), False)]
                         + [T.StructField(c, T.DoubleType()) for c in cols])
 
 
-def check(horizon: str) -> str:
-    if horizon not in HORIZONS:
-        raise ValueError(f"Unknown horizon '{horizon}'. Use 'daily', 'weekly', or 'monthly'.")
-    return horizon
-
-
 def normalize_ticker(t):
     """B18: '.' -> '_', '^' removed (storage-safe ticker name)."""
     return F.regexp_replace(F.regexp_replace(t, r"\.", "_"), r"\^", "")
 
 
-def init_tables(spark: SparkSession, root: str, periods=(10, 50, 100, 150, 200)) -> None:
-    """Create the three empty tables if absent."""
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, asked of the file system that its scheme names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def init_tables(spark: SparkSession, root: str, periods: Sequence[int] = BACKEND_PERIODS) -> None:
+    """Create the empty tables that are absent; a table that is there keeps its rows."""
     for h in HORIZONS:
         path = os.path.join(root, h)
-        if not os.path.exists(path):
-            spark.createDataFrame([], store_schema(h, periods)).write.mode("overwrite") \
-                .partitionBy("ticker").parquet(path)
+        if not exists(spark, path):
+            spark.createDataFrame([], store_schema(h, periods)).write.mode("ignore").partitionBy("ticker").parquet(path)
+
+
+def open_store(spark: SparkSession, root: str, periods: Sequence[int] = BACKEND_PERIODS) -> dict[str, DataFrame]:
+    """The three tables of an initialised store."""
+    return {h: spark.read.schema(store_schema(h, periods)).parquet(os.path.join(root, h)) for h in HORIZONS}
+
+
+def write_horizons(tables: dict[str, DataFrame], root: str) -> None:
+    """A11 (write half): replace the partitions of the tickers that the tables hold."""
+    for h, table in tables.items():
+        write_stage(table, os.path.join(root, h), ["ticker"])
 
 
-def project_horizons(features: DataFrame, periods=(10, 50, 100, 150, 200)) -> dict[str, DataFrame]:
+def project_horizons(features: DataFrame, periods: Sequence[int] = BACKEND_PERIODS) -> dict[str, DataFrame]:
     """A11 (projection half): available columns of each store table, missing -> NULL."""
     cols = store_columns(periods)
     parts = split_by_horizon(features, keys=("Date", "ticker"))
@@ -88,19 +99,51 @@ def project_horizons(features: DataFrame, periods=(10, 50, 100, 150, 200)) -> di
 
 def upsert(table: DataFrame, delta: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """A10: keyed merge, the delta wins on equal keys; columns missing on either
-    side are NULL.  Idempotent: merging the same delta twice changes nothing."""
-    t = table.withColumn("_src", F.lit(0))
-    d = delta.withColumn("_src", F.lit(1))
-    u = t.unionByName(d, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.col("_src").desc())
-    return u.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "_src")
+    side are NULL.  Idempotent: merging the same delta twice changes nothing.
+    Rows of the delta that share a key are one row; which of them is undefined."""
+    new = delta.dropDuplicates(list(keys))
+    return table.join(new.select(*keys), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def merge_features(spark: SparkSession, root: str, daily: DataFrame, tickers: DataFrame, periods: Sequence[int] = BACKEND_PERIODS,
+                   corrected_from: DataFrame | None = None, default_start: str = DEFAULT_START) -> None:
+    """Recompute the named ``tickers`` on their full history (semi-join below
+    the windows) and merge into each table the rows after its last date and,
+    where ``corrected_from(ticker, _from)`` names an earlier bar, from there on.
+
+    A table without rows of a ticker starts after ``default_start``.  Only
+    partitions of those tickers are rewritten.
+    """
+    init_tables(spark, root, periods)
+    store = open_store(spark, root, periods)
+    tables = project_horizons(raw_features(daily.join(tickers, "ticker", "left_semi"), None, periods), periods)
+    for h in HORIZONS:
+        current = store[h].join(tickers, "ticker", "left_semi")
+        after = tickers.join(current.groupBy("ticker").agg(F.max("Date").alias("_last")), "ticker", "left").select(
+            "ticker", F.coalesce("_last", F.to_date(F.lit(default_start))).alias("_after"))
+        rows = tables[h].join(after, "ticker")
+        new = F.col("Date") > F.col("_after")
+        if corrected_from is not None:
+            rows = rows.join(corrected_from, "ticker", "left")
+            new |= (F.col("Date") >= F.col("_from")) & (F.col("Date") > F.to_date(F.lit(default_start)))
+        delta = rows.where(new).select(*store[h].columns)
+        merged = upsert(current, delta).select(*store[h].columns).checkpoint()  # the partitions below are overwritten from this
+        write_horizons({h: merged}, root)
+
+
+def sync_store(spark: SparkSession, root: str, daily: DataFrame, periods: Sequence[int] = BACKEND_PERIODS) -> None:
+    """D7 in one batch: bring the tables of every stale ticker up to ``daily``; synced ones cost nothing."""
+    init_tables(spark, root, periods)
+    status = sync_status(daily, open_store(spark, root, periods)["daily"])
+    stale = status.where(~F.col("is_synced")).select("ticker").checkpoint()  # it reads what is rewritten
+    merge_features(spark, root, daily, stale, periods)
 
 
 def read_horizon(store: dict[str, DataFrame], horizon: str, start_date: str | None = None,
                  ticker: str | None = None) -> DataFrame:
     """A8 + A13: one horizon table, optional ``Date >= start`` (pushed to the
     scan) and ticker partition filter, ordered by date at the sink."""
-    df = store[check(horizon)]
+    df = store[known_horizon(horizon)]
     if ticker is not None:
         df = df.where(F.col("ticker") == ticker)
     if start_date:
@@ -139,15 +182,6 @@ def sync_status(source_bars: DataFrame, store_daily: DataFrame) -> DataFrame:
     return src.join(db, "ticker", "left").select("ticker", "source_latest", "db_latest", synced.alias("is_synced"))
 
 
-def stale_delta(features_full: DataFrame, status: DataFrame, default_start: str = "2000-01-01") -> DataFrame:
-    """D7 core: rows of stale tickers newer than their store high-water mark
-    (strict >; an empty store starts after ``default_start``).  The features
-    were computed on full history, the filter sits above the windows."""
-    stale = status.where(~F.col("is_synced")).select(
-        "ticker", F.coalesce(F.col("db_latest"), F.to_date(F.lit(default_start))).alias("_hwm"))
-    return features_full.join(stale, "ticker", "inner").where(F.col("Date") > F.col("_hwm")).drop("_hwm")
-
-
 def retrain_flag(trained_through: DataFrame, bars: DataFrame, horizon_key) -> DataFrame:
     """Retraining is due when the models' last trained date is older than
     the newest *closed* candle of the data.
@@ -155,15 +189,10 @@ def retrain_flag(trained_through: DataFrame, bars: DataFrame, horizon_key) -> Da
     trained_through: (horizon, last_trained_through).  horizon_key(h) gives the
     candle id column expression of a horizon over ``Date``.
     """
-    rows = []
-    for h in HORIZONS:
-        pid = horizon_key(h)
-        b = bars.select("ticker", "Date", pid.alias("_p"))
-        last_p = F.max("_p").over(Window.partitionBy("ticker"))
-        closed = b.withColumn("_lp", last_p).where(F.col("_p") < F.col("_lp")) \
-            .agg(F.max("Date").alias("latest_closed")).withColumn("horizon", F.lit(h))
-        rows.append(closed)
-    closed = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    ids = bars.select("ticker", "Date", *[horizon_key(h).alias(f"_{h}") for h in HORIZONS])
+    last = Window.partitionBy("ticker")
+    ids = ids.select("Date", *[F.when(F.col(f"_{h}") < F.max(f"_{h}").over(last), F.col("Date")).alias(h) for h in HORIZONS])
+    closed = ids.agg(*[F.max(h).alias(h) for h in HORIZONS]).unpivot([], list(HORIZONS), "horizon", "latest_closed")
     flag = F.coalesce(F.col("last_trained_through") < F.col("latest_closed"), F.lit(True))
     return closed.join(trained_through, "horizon", "left").select(
         "horizon", "last_trained_through", "latest_closed", flag.alias("retrain_needed"))

@@ -7,9 +7,9 @@ New daily bars land as parquet files in ``source_dir``.  Each micro-batch
    ticker) with a keyed merge, so replaying an epoch changes nothing;
 2. recomputes the raw indicators of the *touched tickers only* on their full
    history (semi-join before the windows);
-3. keeps rows newer than each ticker's store high-water mark and upserts
-   them into the three horizon tables (``store_dir/<horizon>``), rewriting
-   only the touched ticker partitions (dynamic partition overwrite).
+3. merges into the three horizon tables (``store_dir/<horizon>``) the rows
+   after each ticker's last date and, where a batch corrects an earlier bar,
+   every row from that bar on; only touched ticker partitions are rewritten.
 
 The stream's checkpoint lives in the shared checkpoint folder, so a restarted
 job resumes after the last committed epoch.
@@ -23,44 +23,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.indicators import BACKEND_PERIODS, raw_features
+from ..operators.indicators import BACKEND_PERIODS, daily_frame
 from ..session import scratch_path
 from ..sources.bars import BAR_SCHEMA
-from ..sources.store import HORIZONS, project_horizons, upsert
-
-
-def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    if os.path.exists(path):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
-
-
-def _write_partitions(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(path)
+from ..sources.store import exists, merge_features, upsert, write_stage
 
 
 def sync_batch(batch: DataFrame, store_dir: str, gauge: DataFrame | None,
                periods: Sequence[int] = BACKEND_PERIODS) -> None:
     """One micro-batch of the sync (also usable as a plain batch step)."""
     spark = batch.sparkSession
-    touched = batch.select("ticker").distinct()
-    bars_path = os.path.join(store_dir, "bars")
-    old_bars = _read_or_empty(spark, bars_path, BAR_SCHEMA)
-    hist = upsert(old_bars.join(touched, "ticker", "left_semi"), batch.select(*BAR_SCHEMA.fieldNames()))
-    hist = hist.checkpoint()          # the partitions below are overwritten from this
-    _write_partitions(hist, bars_path)
-
-    feats = raw_features(hist, gauge, periods)
-    tables = project_horizons(feats, periods)
-    for h in HORIZONS:
-        path = os.path.join(store_dir, h)
-        schema = tables[h].schema
-        current = _read_or_empty(spark, path, schema).join(touched, "ticker", "left_semi")
-        hwm = current.groupBy("ticker").agg(F.max("Date").alias("_hwm"))
-        delta = (tables[h].join(hwm, "ticker", "left")
-                 .where(F.col("_hwm").isNull() | (F.col("Date") > F.col("_hwm"))).drop("_hwm"))
-        merged = upsert(current, delta).select(*schema.fieldNames()).checkpoint()
-        _write_partitions(merged, path)
+    first = batch.groupBy("ticker").agg(F.min("Date").alias("_from")).checkpoint()
+    touched = first.select("ticker")
+    path = os.path.join(store_dir, "bars")
+    known = exists(spark, path)
+    old = spark.read.schema(BAR_SCHEMA).parquet(path) if known else spark.createDataFrame([], BAR_SCHEMA)
+    bars = upsert(old.join(touched, "ticker", "left_semi"), batch.select(*BAR_SCHEMA.fieldNames()))
+    bars = bars.checkpoint()          # the partitions below are overwritten from this
+    write_stage(bars, path, ["ticker"])
+    merge_features(spark, store_dir, daily_frame(bars, gauge), touched, periods, first)
 
 
 def start_sync(spark: SparkSession, source_dir: str, store_dir: str, gauge: DataFrame | None = None,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from candlewick.operators.evaluate import actual_band_class, confusion_matrix, metric_columns, predicted_recommendation
 from candlewick.operators.indicators import BACKEND_PERIODS, raw_features
 from candlewick.plans import pipeline as P
+from candlewick.plans.queries import PERIODS
 from candlewick.sources import store
 from candlewick.sources.bars import load_bars, load_gauge
 
@@ -26,7 +27,7 @@ def test_truncation_invariance(spark, sf):
 
 @pytest.mark.parametrize("horizon", ["daily", "weekly", "monthly"])
 def test_split_whole_candles_newest_in_test(spark, sf, horizon):
-    s = P.split(spark, sf, horizon)
+    s = P.split(spark, sf, horizon, PERIODS[horizon])
     both = s.groupBy("group_id").agg(F.countDistinct("part").alias("n")).where("n > 1").count()
     assert both == 0
     firsts = s.groupBy("ticker", "group_id", "part").agg(F.min("Date").alias("first"))
@@ -90,7 +91,7 @@ def test_cross_validation_and_final_fit(spark, sf):
     from candlewick.operators.labels import group_folds, sample_weight
     from candlewick.operators.model import build_final, cross_validate
     from candlewick.plans.oracle import feature_list
-    s = P.split(spark, sf, "monthly")
+    s = P.split(spark, sf, "monthly", PERIODS["monthly"])
     tickers = sorted(r[0] for r in s.select("ticker").distinct().collect())
     train = sample_weight(group_folds(s.where(F.col("part") == "train"), n_splits=2))
     cv = cross_validate(train, feature_list("monthly"), "target_monthly", 0.5, "monthly", tickers, rounds=3)
