@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.calendar import HORIZONS, known_horizon
 from ..operators.features import split_by_horizon
-from ..operators.indicators import BACKEND_PERIODS, DEFAULT_START, raw_features
+from ..operators.indicators import BACKEND_PERIODS, raw_features, trim_to_start
 
 KEYS = ("ticker", "Date")
 
@@ -106,26 +106,27 @@ def upsert(table: DataFrame, delta: DataFrame, keys: Sequence[str] = KEYS) -> Da
 
 
 def merge_features(spark: SparkSession, root: str, daily: DataFrame, tickers: DataFrame, periods: Sequence[int] = BACKEND_PERIODS,
-                   corrected_from: DataFrame | None = None, default_start: str = DEFAULT_START) -> None:
+                   corrected_from: DataFrame | None = None, default_start: str | None = None) -> None:
     """Recompute the named ``tickers`` on their full history (semi-join below
     the windows) and merge into each table the rows after its last date and,
     where ``corrected_from(ticker, _from)`` names an earlier bar, from there on.
 
-    A table without rows of a ticker starts after ``default_start``.  Only
-    partitions of those tickers are rewritten.
+    With a ``default_start``, tables hold later dates only; batch and stream
+    share this rule.  Only partitions of those tickers are rewritten.
     """
+    features = raw_features(daily.join(tickers, "ticker", "left_semi"), None, periods)
+    tables = project_horizons(trim_to_start(features, default_start) if default_start else features, periods)
     init_tables(spark, root, periods)
     store = open_store(spark, root, periods)
-    tables = project_horizons(raw_features(daily.join(tickers, "ticker", "left_semi"), None, periods), periods)
     for h in HORIZONS:
         current = store[h].join(tickers, "ticker", "left_semi")
         after = tickers.join(current.groupBy("ticker").agg(F.max("Date").alias("_last")), "ticker", "left").select(
-            "ticker", F.coalesce("_last", F.to_date(F.lit(default_start))).alias("_after"))
+            "ticker", "_last")
         rows = tables[h].join(after, "ticker")
-        new = F.col("Date") > F.col("_after")
+        new = F.col("_last").isNull() | (F.col("Date") > F.col("_last"))
         if corrected_from is not None:
             rows = rows.join(corrected_from, "ticker", "left")
-            new |= (F.col("Date") >= F.col("_from")) & (F.col("Date") > F.to_date(F.lit(default_start)))
+            new |= F.col("Date") >= F.col("_from")
         delta = rows.where(new).select(*store[h].columns)
         merged = upsert(current, delta).select(*store[h].columns).checkpoint()  # the partitions below are overwritten from this
         write_horizons({h: merged}, root)

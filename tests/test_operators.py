@@ -45,7 +45,7 @@ def test_missing_report_counts_and_order(spark):
 
 def test_unknown_horizon_rejected(spark, sf):
     from candlewick.operators.features import select_horizon_columns
-    with pytest.raises(ValueError, match="Unknown horizon"):
+    with pytest.raises(ValueError, match="no such horizon"):
         select_horizon_columns(load_bars(spark, sf), "hourly")
 
 
