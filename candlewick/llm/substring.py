@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from candlewick.llm.common import partitions, word_blocks
 
 WINDOW = 35
-#: Segments (groups of documents hashed at one time) and ranges of hash values, per shuffle partition.
-SEGMENTS, RANGES = 4, 2
+#: Segments (groups of documents hashed at one time) per shuffle partition; there are as many ranges of hash values as partitions.
+#: A segment sends one message to each range, so both numbers stay low: messages are their product, like the blocks of any shuffle.
+SEGMENTS = 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 _MESSAGE = "range int, segment int, kind int, n int, data binary"
@@ -247,7 +248,7 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     An empty table gives no row. Other columns are not read.
     """
     n = partitions(df.sparkSession)
-    ranges, segments = n * RANGES, n * SEGMENTS
+    ranges, segments = n, n * SEGMENTS
     kind = df.schema[id_col].dataType.simpleString()
     key = F.xxhash64(id_col, text_col)
     docs = df.select(F.pmod(key, F.lit(segments)).cast("int").alias("segment"), key.alias("key"), F.col(id_col).alias("id"),
