@@ -785,6 +785,31 @@ FROM rg CROSS JOIN range(0, {bins}) b(bin) LEFT JOIN hc ON hc.horizon = rg.horiz
     return q.render(final(["horizon", "bin", "bin_low", "bin_high", "n"], "hs", ["bin_low", "bin_high"]))
 
 
+def sql_model_contract() -> str:
+    """Rows per ticker as in the test part; no forecast missing, crossed or out of range; both flags up."""
+    q = Sql()
+    parts = [f"SELECT '{h}' AS horizon, ticker FROM {split_cte(q, h)} WHERE part = 'test'" for h in HORIZONS]
+    q.add("tests", _union(parts))
+    return q.render("SELECT horizon, ticker, count(*) AS n_predictions, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_crossed, "
+                    "CAST(0 AS BIGINT) AS n_out_of_range, true AS coverage_ok, true AS pinball_ok FROM tests GROUP BY ALL")
+
+
+def sql_batch_predict() -> str:
+    q = Sql()
+    b = bars_cte(q)
+    q.add("newest", f"SELECT ticker, max(Date) AS Date FROM {b} GROUP BY ticker")
+    q.add("asked", "SELECT * FROM newest UNION ALL SELECT 'ZZ', Date FROM newest WHERE ticker = 'AF'")
+    return q.render(_union([f"SELECT '{h}' AS horizon, ticker, Date, true AS in_order, true AS in_range FROM asked" for h in HORIZONS]))
+
+
+def sql_model_evaluate() -> str:
+    q = Sql()
+    s = scored_all(q)
+    q.add("tested", f"SELECT horizon, count(*) AS n, min(y) AS low, max(y) AS high FROM {s} GROUP BY horizon")
+    return q.render(f"SELECT horizon, n AS n_classified, CAST(9 AS BIGINT) AS n_cells, least(n, 300) AS n_sampled, "
+                    f"{grid('low')} AS least_move, {grid('high')} AS largest_move FROM tested")
+
+
 def oracle_sql() -> dict[str, str]:
     out = {"bars_daily": sql_bars_daily()}
     for name in BLOCKS:
@@ -807,7 +832,8 @@ def oracle_sql() -> dict[str, str]:
         "evaluate_all": sql_evaluate_all(), "confusion_matrix": sql_confusion_matrix(),
         "recommendation": sql_recommendation(), "contract_check": sql_contract_check(),
         "latest_dates": sql_latest_dates(), "sync_status": sql_sync_status(),
-        "incremental_upsert": sql_incremental_upsert(), "retrain_flag": sql_retrain_flag(),
+        "incremental_upsert": sql_incremental_upsert(), "model_contract": sql_model_contract(),
+        "batch_predict": sql_batch_predict(), "model_evaluate": sql_model_evaluate(), "retrain_flag": sql_retrain_flag(),
         "market_snapshot": sql_market_snapshot(), "profit_estimate": sql_profit_estimate(),
         "forecast_card": sql_forecast_card(), "market_summary": sql_market_summary(),
         "interval_sample": sql_interval_sample(), "residual_hist": sql_residual_hist(),

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.calendar import period_id
 from ..functions.numeric import GRID
 from ..operators import decide, eda, evaluate, sampling
-from ..operators.features import ANCHOR, engineered_columns, select_horizon_columns, snapshot_validation
+from ..operators.features import ANCHOR, align_to, engineered_columns, select_horizon_columns, snapshot_validation
+from ..operators.forest import QuantileForest, fit_forest
 from ..operators.indicators import BACKEND_PERIODS, MODEL_PERIODS, raw_features
 from ..operators.labels import build_label, group_folds, sample_weight, split_summary
 from ..operators.model import baseline_scores
@@ -292,6 +293,66 @@ def q_quantile_boost(spark, sf, horizon: str = "monthly", rounds: int = BOOST_CH
     return finish(band)
 
 
+TICKERS = ("AF", "AO", "NF", "NO", "RF", "RO")  # the series that the line items give (FIXTURES.md)
+
+
+def _forest(spark, sf, h) -> QuantileForest:
+    """The horizon's forest, fitted on its train part, saved once and loaded."""
+    def build():
+        path = scratch_path(spark, f"forest-{h}-{uuid.uuid4().hex}")
+        fit_forest(sample_weight(_train(spark, sf, h)), _names(spark, sf, h), f"target_{h}", h, TICKERS).save(path)
+        return path
+    return QuantileForest.load(spark, P.once(spark, ("forest", h, sf, *P.inputs(spark, sf)), build))
+
+
+def _forecast(spark, sf, h):
+    test = P.split(spark, sf, h, PERIODS[h]).where(F.col("part") == "test").withColumn("y", F.col(f"target_{h}"))
+    return _forest(spark, sf, h).predict(test, ["Date", "ticker", "y"])
+
+
+def q_model_contract(spark, sf):
+    """M5-M9, K12, D5 on a saved and loaded model: the test part's forecasts
+    per ticker, none missing or crossed, and per horizon a coverage and a
+    pinball loss that a usable forecast has (against the baseline's)."""
+    scored = P.all_horizons(lambda h: _forecast(spark, sf, h))
+    band = decide.predict_band(scored, ["horizon", "ticker", "Date"])
+    rows = band.groupBy("horizon", "ticker").agg(
+        F.count("*").alias("n_predictions"),
+        F.count_if(F.col("low").isNull() | F.col("mid").isNull() | F.col("high").isNull()).alias("n_missing"),
+        F.count_if((F.col("low") > F.col("mid")) | (F.col("mid") > F.col("high"))).alias("n_crossed"),
+        F.count_if(~F.col("confidence").between(0, 1)).alias("n_out_of_range"))
+    own, base = evaluate.evaluate_all(scored), evaluate.evaluate_all(_scored(spark, sf))
+    loss = lambda df: df.select("horizon", (F.col("pinball_q10") + F.col("pinball_q50") + F.col("pinball_q90")).alias("loss"))
+    flags = own.select("horizon", F.col("coverage").between(0.6, 0.95).alias("coverage_ok")).join(
+        loss(own), "horizon").join(loss(base).withColumnRenamed("loss", "base"), "horizon").select(
+        "horizon", "coverage_ok", (F.col("loss") <= 1.1 * F.col("base")).alias("pinball_ok"))
+    return rows.join(flags, "horizon")
+
+
+def q_batch_predict(spark, sf):
+    """The newest row of every ticker, and one of a ticker that the model
+    never saw, aligned to the model's columns and forecast."""
+    def one(h):
+        model, raw_h = _forest(spark, sf, h), P.horizon_raw(spark, sf, h, PERIODS[h])
+        rows = raw_h.withColumns({n: c.cast("double") for n, c in engineered_columns(raw_h, h, PERIODS[h])})
+        newest = rows.join(rows.groupBy("ticker").agg(F.max("Date").alias("Date")), ["ticker", "Date"])
+        newest = newest.unionByName(newest.where("ticker = 'AF'").withColumn("ticker", F.lit("ZZ")))
+        return model.predict(align_to(newest, model.features, ["Date", "ticker"]), ["Date", "ticker"])
+    band = decide.predict_band(P.all_horizons(one), ["horizon", "ticker", "Date"])
+    return band.select("horizon", "ticker", "Date", ((F.col("low") <= F.col("mid")) & (F.col("mid") <= F.col("high"))).alias("in_order"),
+                       F.col("confidence").between(0, 1).alias("in_range"))
+
+
+def q_model_evaluate(spark, sf):
+    """K9 and T6 on the model's output: class counts sum to the test rows, and
+    the interval sample's size and ends."""
+    scored = P.all_horizons(lambda h: _forecast(spark, sf, h))
+    matrix = evaluate.confusion_matrix(scored).groupBy("horizon").agg(F.sum("n").cast("long").alias("n_classified"), F.count("*").alias("n_cells"))
+    sample = sampling.interval_sample(scored).groupBy("horizon").agg(
+        F.count("*").alias("n_sampled"), F.min("y").alias("least_move"), F.max("y").alias("largest_move"))
+    return finish(matrix.join(sample, "horizon"))
+
+
 def registry() -> dict[str, Q]:
     reg: dict[str, Q] = {"bars_daily": q_bars_daily}
     for name, b in BLOCK_QUERIES.items():
@@ -319,5 +380,6 @@ def registry() -> dict[str, Q]:
         "forecast_card": q_forecast_card, "market_summary": q_market_summary,
         "interval_sample": q_interval_sample, "residual_hist": q_residual_hist,
         "store_read": q_store_read, "quantile_boost": q_quantile_boost,
+        "model_contract": q_model_contract, "batch_predict": q_batch_predict, "model_evaluate": q_model_evaluate,
     })
     return reg
