@@ -23,7 +23,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
        of narrow keys.
     2. Only rows whose (length, prefix) group has another member get the full
        SHA-256. Groups are equal hashes; a hot group costs each map task one
-       partial row.
+       partial row. The groups are written and joined back by broadcast while
+       they are few, else by a join whose hot keys AQE splits.
     3. The row with the most code points in the original text stays, then the
        least id (null ids last).
 
@@ -47,9 +48,9 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = stage(marked.select(*narrow, F.when(F.col("_again"), F.sha2("_norm", 256)).alias("_full")), "hashed")
 
     best = F.max(F.struct("_chars", F.col("_id").isNotNull().alias("_has"), (-F.col("_id")).alias("_neg")))
-    groups = rows.filter("_full is not null").groupBy("_full").agg(best.alias("_best"), F.count("*").alias("_size"))
+    groups = stage(rows.filter("_full is not null").groupBy("_full").agg(best.alias("_best"), F.count("*").alias("_size")), "groups")
     out = [F.col(f"_c_{k}").alias(k) for k in carry]
-    many = rows.join(groups, "_full").select(
+    many = rows.join(small_side(groups), "_full").select(
         F.col("_id").alias(id_col), (-F.col("_best._neg")).alias("keep_id"), F.col("_size").alias("group_size"),
         (F.col("_id").eqNullSafe(-F.col("_best._neg")) & (F.col("_chars") == F.col("_best._chars"))).alias("kept"), *out)
     one = rows.filter("_full is null").select(
