@@ -60,19 +60,51 @@ class QuantileForest:
 
 
 def fit_forest(train: DataFrame, features: Sequence[str], target: str, horizon: str, tickers: Sequence[str],
-               weight_col: str = "weight") -> QuantileForest:
+               weight_col: str = "weight", trees: int = TREES) -> QuantileForest:
     """Grow the trees on the weighted rows and take each leaf's weighted label quantiles."""
     p = HORIZON_PARAMS[horizon]
     rows = model_frame(train, features, tickers)
-    trees = RandomForestRegressor(
-        featuresCol="_features", labelCol=target, weightCol=weight_col, numTrees=TREES, maxDepth=p["max_depth"],
+    grown = RandomForestRegressor(
+        featuresCol="_features", labelCol=target, weightCol=weight_col, numTrees=trees, maxDepth=p["max_depth"],
         minInstancesPerNode=p["min_leaf"], subsamplingRate=p["subsample"], featureSubsetStrategy=str(p["colsample"]),
         leafCol="_leafv", predictionCol="_mean", seed=SEED).fit(rows)
     last = model_metadata(train, horizon, features, tickers).first()["last_trained_through"]
-    model = QuantileForest(trees, None, horizon, features, tickers, last)
+    model = QuantileForest(grown, None, horizon, features, tickers, last)
     times = F.greatest(F.lit(1), F.round(F.col(weight_col) * WEIGHT_STEPS)).cast("long")
     placed = model._placed(train, [F.col(target).alias("_y"), times.alias("_times")])
     levels = F.array(*[F.lit(a) for a in QUANTILES.values()])
     found = placed.groupBy("_tree", "_leaf").agg(F.percentile("_y", levels, F.col("_times")).alias("_q"))
     model.leaves = found.select("_tree", "_leaf", *[F.col("_q")[i].alias(q) for i, q in enumerate(QUANTILES)])
     return model
+
+
+def learning_curve(folds: DataFrame, features: Sequence[str], target: str, horizon: str, tickers: Sequence[str], n_folds: int,
+                   weight_col: str = "weight", steps: Sequence[int] = (10, 20, 30, 40, 50, TREES)) -> DataFrame:
+    """A row (fold, trees, quantile, pinball) for each of the
+    ``n_folds`` folds: fitted on the others, weighted pinball loss on the fold
+    with the first ``trees`` trees.  ``folds`` has the columns fold and
+    weight_col (``labels.group_folds``, ``labels.sample_weight``)."""
+    parts = []
+    for k in range(n_folds):
+        model = fit_forest(folds.where(F.col("fold") != k), features, target, horizon, tickers, weight_col)
+        held = folds.where(F.col("fold") == k).withColumn("_row", F.monotonically_increasing_id())
+        own = ["_row", F.col(target).alias("_y"), F.col(weight_col).alias("_w")]
+        placed = model._placed(held, own).join(model.leaves, ["_tree", "_leaf"])
+        means = {(m, q): F.avg(F.when(F.col("_tree") < m, F.col(q))) for m in steps for q in QUANTILES}
+        rows = placed.groupBy("_row", "_y", "_w").agg(*[c.alias(f"{q}_{m}") for (m, q), c in means.items()])
+        losses = []
+        for m, q in means:
+            miss = F.col("_y") - F.col(f"{q}_{m}")
+            loss = F.greatest(QUANTILES[q] * miss, (QUANTILES[q] - 1) * miss)
+            losses.append(F.struct(F.lit(m).alias("trees"), F.lit(q).alias("quantile"),
+                                   (F.sum(loss * F.col("_w")) / F.sum("_w")).alias("pinball")))
+        parts.append(rows.agg(F.array(*losses).alias("_l")).select(F.lit(k).alias("fold"), F.inline("_l")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def best_trees(curve: DataFrame) -> int:
+    """M7: the number of trees with the least mean loss over folds and quantiles."""
+    return curve.groupBy("trees").agg(F.avg("pinball").alias("loss")).orderBy("loss", "trees").first()["trees"]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,24 +37,17 @@ def baseline_scores(split: DataFrame, target: str, by: Sequence[str] = ("ticker"
     return test.join(q, list(by), "left").select("Date", *by, F.col(target).alias("y"), *QUANTILES.keys())
 
 
-# ---------------------------------------------------------------- M1-M9: quantile boosting on Spark ML
-import math  # noqa: E402
-
-from pyspark.ml.feature import StringIndexerModel, VectorAssembler  # noqa: E402
-from pyspark.ml.functions import vector_to_array  # noqa: E402
-from pyspark.ml.regression import RandomForestRegressor  # noqa: E402
-from pyspark.sql import Window  # noqa: E402
-
+# ---------------------------------------------------------------- frame and metadata of the fitted model
 # Per-horizon boosting budget (rounds, learning rate, depth
-# limit, minimum rows per leaf, row and column subsampling), seed, early-stop
-# patience.  Leaf-count and L1/L2 penalties have no Spark ML counterpart.
+# limit, minimum rows per leaf, row and column subsampling) and seed.  The
+# forest takes the tree limits and the subsampling; rounds, learning rate,
+# early stopping, leaf-count and L1/L2 penalties have no counterpart in it.
 HORIZON_PARAMS = {
     "daily": {"rounds": 600, "lr": 0.03, "max_depth": 5, "min_leaf": 40, "subsample": 0.8, "colsample": 0.8},
     "weekly": {"rounds": 500, "lr": 0.025, "max_depth": 6, "min_leaf": 60, "subsample": 0.8, "colsample": 0.8},
     "monthly": {"rounds": 400, "lr": 0.02, "max_depth": 4, "min_leaf": 80, "subsample": 0.7, "colsample": 0.7},
 }
 SEED = 42
-EARLY_STOPPING_ROUNDS = 50
 
 
 def model_frame(df: DataFrame, features: Sequence[str], tickers: Sequence[str]) -> DataFrame:
@@ -67,162 +61,8 @@ def model_frame(df: DataFrame, features: Sequence[str], tickers: Sequence[str])
                            handleInvalid="keep").transform(out)
 
 
-def _leaf_quantiles(df: DataFrame, alpha: float) -> dict[int, float]:
-    """Weighted alpha-quantile of the residual in every leaf (<= 2**depth rows
-    come back to the driver)."""
-    w = Window.partitionBy("_leaf").orderBy("_r")
-    tot = Window.partitionBy("_leaf")
-    q = (df.select("_leaf", "_r", "_w",
-                   F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_cw"),
-                   F.sum("_w").over(tot).alias("_tw"))
-         .where(F.col("_cw") >= alpha * F.col("_tw"))
-         .groupBy("_leaf").agg(F.min("_r").alias("v")))
-    return {int(r["_leaf"]): float(r["v"]) for r in q.collect()}
-
-
-class QuantileBoostModel:
-    """Additive model: init + lr * sum of per-tree leaf values."""
-
-    def __init__(self, alpha, init, lr, trees, tickers, features):
-        self.alpha, self.init, self.lr, self.trees = alpha, init, lr, trees
-        self.tickers, self.features = list(tickers), list(features)
-
-    def predict(self, df: DataFrame, out: str = "prediction", checkpoint_every: int = 25) -> DataFrame:
-        """M9: add the prediction column (leaf lookups are literal maps)."""
-        cur = model_frame(df, self.features, self.tickers).withColumn(out, F.lit(self.init))
-        for i, (tree, values) in enumerate(self.trees):
-            leaf = tree.transform(cur).withColumn("_leaf", vector_to_array(F.col("_leafv")).getItem(0).cast("int"))
-            lookup = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))])
-            cur = leaf.withColumn(out, F.col(out) + self.lr * F.coalesce(F.element_at(lookup, F.col("_leaf")), F.lit(0.0))) \
-                .drop("_leafv", "_leaf", "_tree_pred")
-            if checkpoint_every and (i + 1) % checkpoint_every == 0:
-                cur = cur.checkpoint()
-        return cur.drop("_features", "_ticker_idx")
-
-
-def fit_quantile_boost(train: DataFrame, features: Sequence[str], target: str, alpha: float,
-                       horizon: str, tickers: Sequence[str], rounds: int | None = None,
-                       weight_col: str | None = "weight", valid: DataFrame | None = None,
-                       seed: int = SEED, checkpoint_every: int = 1) -> tuple[QuantileBoostModel, list]:
-    """M3/M4: gradient boosting of the pinball loss with Spark ML trees.
-
-    Each round fits a one-tree ``RandomForestRegressor`` (row subsampling,
-    per-node feature subsampling, ``leafCol``) to the pinball negative
-    gradient, re-estimates each leaf as the weighted alpha-quantile of the
-    residuals in it, and adds lr * leaf value.  Lineage is cut by a reliable
-    checkpoint every ``checkpoint_every`` rounds (every round by default: the
-    table is calendar-sized and each round's jobs then start from it, which
-    measured ~40 % faster than every 10 rounds).  With ``valid`` the mean
-    pinball loss per round is tracked (M6 learning curve) and training stops
-    after ``EARLY_STOPPING_ROUNDS`` rounds without improvement.
-    """
-    p = HORIZON_PARAMS[horizon]
-    rounds = p["rounds"] if rounds is None else rounds
-    w = F.col(weight_col) if weight_col and weight_col in train.columns else F.lit(1.0)
-    base = model_frame(train, features, tickers).select("_features", F.col(target).alias("_y"), w.alias("_w"))
-    init = float(base.agg(F.percentile("_y", alpha)).first()[0])
-    cur = base.withColumn("_f", F.lit(init))
-    vcur = None
-    if valid is not None:
-        vcur = model_frame(valid, features, tickers).select("_features", F.col(target).alias("_y")) \
-            .withColumn("_f", F.lit(init))
-    trees, curve, best, best_round = [], [], math.inf, 0
-    for m in range(rounds):
-        grad = F.when(F.col("_y") - F.col("_f") >= 0, F.lit(alpha)).otherwise(F.lit(alpha - 1.0))
-        fit_df = cur.withColumn("_g", grad)
-        rf = RandomForestRegressor(featuresCol="_features", labelCol="_g", weightCol="_w", numTrees=1,
-                                   maxDepth=p["max_depth"], minInstancesPerNode=p["min_leaf"],
-                                   subsamplingRate=p["subsample"], bootstrap=False,
-                                   featureSubsetStrategy=str(p["colsample"]), seed=seed + m,
-                                   leafCol="_leafv", predictionCol="_tree_pred")
-        tree = rf.fit(fit_df)
-        leafed = tree.transform(fit_df).withColumn("_leaf", vector_to_array(F.col("_leafv")).getItem(0).cast("int")) \
-            .withColumn("_r", F.col("_y") - F.col("_f"))
-        values = _leaf_quantiles(leafed, alpha)
-        trees.append((tree, values))
-        lookup = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))])
-        step = p["lr"] * F.coalesce(F.element_at(lookup, F.col("_leaf")), F.lit(0.0))
-        cur = leafed.withColumn("_f", F.col("_f") + step).select("_features", "_y", "_w", "_f")
-        if vcur is not None:
-            vcur = tree.transform(vcur).withColumn("_f", F.col("_f") + p["lr"] * F.coalesce(
-                F.element_at(lookup, vector_to_array(F.col("_leafv")).getItem(0).cast("int")), F.lit(0.0))) \
-                .select("_features", "_y", "_f")
-        if (m + 1) % checkpoint_every == 0:
-            cur = cur.checkpoint()
-            vcur = vcur.checkpoint() if vcur is not None else None
-        if vcur is not None:
-            e = F.col("_y") - F.col("_f")
-            loss = vcur.agg(F.avg(F.when(e >= 0, alpha * e).otherwise((alpha - 1) * e))).first()[0]
-            curve.append((m + 1, float(loss)))
-            if loss < best:
-                best, best_round = loss, m + 1
-            elif m + 1 - best_round >= EARLY_STOPPING_ROUNDS:
-                trees = trees[:best_round]
-                break
-    return QuantileBoostModel(alpha, init, p["lr"], trees, tickers, features), curve
-
-
-def fit_quantiles(train: DataFrame, features: Sequence[str], target: str, horizon: str,
-                  tickers: Sequence[str], rounds: int | None = None) -> dict[str, QuantileBoostModel]:
-    """M5/M8: one model per quantile level (shared features and label)."""
-    return {q: fit_quantile_boost(train, features, target, a, horizon, tickers, rounds)[0]
-            for q, a in QUANTILES.items()}
-
-
-def predict_quantiles(models: dict[str, QuantileBoostModel], df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """M9: q10/q50/q90 columns on every row (three additive models)."""
-    out = df
-    for q, m in models.items():
-        out = m.predict(out, out=q)
-    return out.select(*keep, *models.keys())
-
-
 def model_metadata(full: DataFrame, horizon: str, features: Sequence[str], tickers: Sequence[str]) -> DataFrame:
     """One-row metadata (feature order, tickers, rows, last trained date)."""
     return full.agg(F.count("*").cast("bigint").alias("n_rows"), F.max("Date").alias("last_trained_through")) \
         .select(F.lit(horizon).alias("horizon"), F.array(*[F.lit(c) for c in features]).alias("feature_columns"),
                 F.array(*[F.lit(t) for t in tickers]).alias("tickers"), "n_rows", "last_trained_through")
-
-
-def cross_validate(train_folds: DataFrame, features: Sequence[str], target: str, alpha: float,
-                   horizon: str, tickers: Sequence[str], rounds: int | None = None) -> dict:
-    """M4 + G17: group k-fold CV (``fold`` from ``labels.group_folds``) with
-    early stopping on each held-out fold; mean out-of-fold pinball, mean best
-    round (integer part) and the first fold's learning curve (M6)."""
-    folds = sorted(r[0] for r in train_folds.select("fold").distinct().collect() if r[0] is not None)
-    p = HORIZON_PARAMS[horizon]
-    budget = p["rounds"] if rounds is None else rounds
-    if len(folds) < 2:
-        return {"n_splits": 0, "mean_pinball": float("nan"), "fold_pinball": [],
-                "mean_best_iter": budget, "curve": []}
-    losses, best_iters, first_curve = [], [], []
-    for k in folds:
-        tr = train_folds.where(F.col("fold") != k)
-        va = train_folds.where(F.col("fold") == k)
-        model, curve = fit_quantile_boost(tr, features, target, alpha, horizon, tickers, budget, valid=va)
-        best = min(curve, key=lambda t: t[1]) if curve else (budget, float("nan"))
-        losses.append(best[1])
-        best_iters.append(best[0])
-        if not first_curve:
-            first_curve = curve
-    return {"n_splits": len(folds), "mean_pinball": sum(losses) / len(losses), "fold_pinball": losses,
-            "mean_best_iter": int(sum(best_iters) / len(best_iters)), "curve": first_curve}
-
-
-def rounds_for(cv_summary: dict | None, horizon: str) -> int:
-    """M7: reuse the CV-chosen round count, else the horizon's budget."""
-    if cv_summary and cv_summary.get("mean_best_iter"):
-        return int(cv_summary["mean_best_iter"])
-    return int(HORIZON_PARAMS[horizon]["rounds"])
-
-
-def build_final(split: DataFrame, features: Sequence[str], target: str, horizon: str,
-                tickers: Sequence[str], cv: dict[str, dict] | None = None):
-    """M8: refit every quantile on train + test (U2) with the CV round counts;
-    returns the models and their one-row metadata (A15)."""
-    from .labels import sample_weight
-    full = sample_weight(split.drop("weight") if "weight" in split.columns else split)
-    models = {q: fit_quantile_boost(full, features, target, a, horizon, tickers,
-                                    rounds_for((cv or {}).get(q), horizon))[0]
-              for q, a in QUANTILES.items()}
-    return models, model_metadata(full, horizon, features, tickers)

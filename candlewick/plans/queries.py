@@ -275,24 +275,6 @@ def q_store_read(spark, sf):
     return finish(_union({h: store.read_horizon(tables, h, start_date="2000-01-01") for h in HORIZONS}))
 
 
-BOOST_CHECK_ROUNDS = 25   # boosting rounds per quantile in the registered check (library default: 400-600)
-
-
-def q_quantile_boost(spark, sf, horizon: str = "monthly", rounds: int = BOOST_CHECK_ROUNDS):
-    """M1-M9 + D1: Spark ML quantile boosting fitted on the weighted train
-    part, q10/q50/q90 and the decision band on every test row (no SQL oracle:
-    rows-only check)."""
-    from ..operators.model import fit_quantiles, predict_quantiles
-    s = P.split(spark, sf, horizon, PERIODS[horizon])
-    train = sample_weight(s.where(F.col("part") == "train"))
-    test = s.where(F.col("part") == "test")
-    tickers = [r[0] for r in s.select("ticker").distinct().orderBy("ticker").collect()]
-    models = fit_quantiles(train, _names(spark, sf, horizon), f"target_{horizon}", horizon, tickers, rounds)
-    pred = predict_quantiles(models, test.withColumn("y", F.col(f"target_{horizon}")), ["Date", "ticker", "y"])
-    band = decide.predict_band(pred.withColumn("horizon", F.lit(horizon)), ["horizon", "ticker", "Date", "y"])
-    return finish(band)
-
-
 TICKERS = ("AF", "AO", "NF", "NO", "RF", "RO")  # the series that the line items give (FIXTURES.md)
 
 
@@ -379,7 +361,6 @@ def registry() -> dict[str, Q]:
         "market_snapshot": q_market_snapshot, "profit_estimate": q_profit_estimate,
         "forecast_card": q_forecast_card, "market_summary": q_market_summary,
         "interval_sample": q_interval_sample, "residual_hist": q_residual_hist,
-        "store_read": q_store_read, "quantile_boost": q_quantile_boost,
-        "model_contract": q_model_contract, "batch_predict": q_batch_predict, "model_evaluate": q_model_evaluate,
+        "store_read": q_store_read, "model_contract": q_model_contract, "batch_predict": q_batch_predict, "model_evaluate": q_model_evaluate,
     })
     return reg

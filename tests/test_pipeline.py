@@ -87,16 +87,23 @@ def test_registered_query_matches_oracle(spark, sf, name):
     assert key(got) == key(exp)
 
 
-def test_cross_validation_and_final_fit(spark, sf):
+def test_learning_curve_final_fit_and_saved_model(spark, sf, tmp_path):
+    from candlewick.operators.forest import QuantileForest, best_trees, fit_forest, learning_curve
     from candlewick.operators.labels import group_folds, sample_weight
-    from candlewick.operators.model import build_final, cross_validate
-    from candlewick.plans.oracle import feature_list
+    from candlewick.plans.queries import TICKERS
     s = P.split(spark, sf, "monthly", PERIODS["monthly"])
-    tickers = sorted(r[0] for r in s.select("ticker").distinct().collect())
-    train = sample_weight(group_folds(s.where(F.col("part") == "train"), n_splits=2))
-    cv = cross_validate(train, feature_list("monthly"), "target_monthly", 0.5, "monthly", tickers, rounds=3)
-    assert cv["n_splits"] == 2 and len(cv["fold_pinball"]) == 2 and 1 <= cv["mean_best_iter"] <= 3
-    models, meta = build_final(s, feature_list("monthly"), "target_monthly", "monthly", tickers,
-                               {q: cv for q in ("q10", "q50", "q90")})
-    m = meta.first()
-    assert m.n_rows == s.count() and set(models) == {"q10", "q50", "q90"}
+    names = [c for c in s.columns if c.startswith(("dist_", "rsi_", "pct_"))]
+    train = sample_weight(group_folds(s.where(F.col("part") == "train"), n_splits=2)).checkpoint()
+    curve = learning_curve(train, names, "target_monthly", "monthly", TICKERS, 2, steps=(1, 10)).checkpoint()
+    assert curve.count() == 2 * 2 * 3 and curve.where("pinball IS NULL OR pinball <= 0").count() == 0
+    trees = best_trees(curve)
+    assert trees in (1, 10)
+    model = fit_forest(train, names, "target_monthly", "monthly", TICKERS, trees=trees)
+    model.save(str(tmp_path))
+    loaded = QuantileForest.load(spark, str(tmp_path))
+    assert loaded.features == names and loaded.trained_through == train.agg(F.max("Date")).first()[0]
+    test = s.where(F.col("part") == "test")
+    one, two = (m.predict(test, ["Date", "ticker"]).orderBy("ticker", "Date").collect() for m in (model, loaded))
+    assert len(one) == len(two) == test.count()
+    assert all(a[:2] == b[:2] and a[2:] == pytest.approx(b[2:]) for a, b in zip(one, two, strict=True))
+    assert all(r.q10 <= r.q50 <= r.q90 for r in one)
