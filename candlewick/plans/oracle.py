@@ -810,6 +810,68 @@ def sql_model_evaluate() -> str:
                     f"{grid('low')} AS least_move, {grid('high')} AS largest_move FROM tested")
 
 
+def sql_removed_counts() -> str:
+    q = Sql()
+    b = bars_cte(q)
+    q.add("gaps", f"SELECT ticker, Date, CASE WHEN NOT ((ticker = 'AF' AND Date > DATE '2001-06-30') OR day(Date) = 13) THEN Close END AS Close FROM {b}")
+    q.add("ends", "SELECT ticker, max(Date) FILTER (WHERE Close IS NOT NULL) AS last FROM gaps GROUP BY ticker")
+    q.add("n", "SELECT count(*) AS a, count(*) FILTER (WHERE Date <= last) AS b, count(Close) AS c FROM gaps JOIN ends USING (ticker)")
+    return q.render("SELECT 'after last close' AS step, a AS rows_before, b AS rows_after, a - b AS removed FROM n "
+                    "UNION ALL SELECT 'missing close', b, c, b - c FROM n")
+
+
+def sql_unknown_tickers() -> str:
+    q = Sql()
+    b = bars_cte(q)
+    return q.render(f"SELECT DISTINCT ticker[1] || '_' || ticker[2] AS ticker FROM {b}")
+
+
+BAR_COLUMNS = ["Open", "High", "Low", "Close", "Volume"]
+
+
+def sql_history_filter() -> str:
+    q = Sql()
+    return q.render(final(["ticker", "Date", *BAR_COLUMNS], bars_cte(q), BAR_COLUMNS, "Date >= DATE '1998-01-01'"))
+
+
+def sql_non_finite() -> str:
+    q = Sql()
+    q.add("nf", f"SELECT * REPLACE (CASE WHEN day(Date) NOT IN (13, 14) THEN Close END AS Close) FROM {bars_cte(q)}")
+    return q.render(final(["ticker", "Date", *BAR_COLUMNS], "nf", BAR_COLUMNS))
+
+
+def sql_embargo() -> str:
+    q = Sql()
+    parts = []
+    for h in HORIZONS:
+        s = split_cte(q, h)
+        q.add(f"ec_{h}", f"SELECT ticker, group_id, count(*) AS n, min(Date) AS first FROM {s} WHERE part = 'train' GROUP BY ALL")
+        q.add(f"ef_{h}", f"""SELECT *, (row_number() OVER (PARTITION BY ticker ORDER BY n DESC, group_id) - 1)
+  % least(5, (SELECT count(*) FROM ec_{h})) AS fold FROM ec_{h}""")
+        q.add(f"en_{h}", f"""SELECT ticker, group_id, fold, lag(fold) OVER w AS before, lead(fold) OVER w AS after FROM ef_{h}
+WINDOW w AS (PARTITION BY ticker ORDER BY first)""")
+        parts.append(f"""SELECT '{h}' AS horizon, s.Date, s.ticker, s.group_id FROM {s} s JOIN en_{h} e USING (ticker, group_id)
+WHERE s.part = 'train' AND e.fold <> 0 AND coalesce(e.before, 9) <> 0 AND coalesce(e.after, 9) <> 0""")
+    return q.render(_union(parts))
+
+
+def sql_stage_handoff() -> str:
+    q = Sql()
+    return q.render(_union([f"SELECT '{h}' AS horizon, Date, ticker, group_id, part FROM {split_cte(q, h)}" for h in HORIZONS]))
+
+
+def sql_model_metadata() -> str:
+    q = Sql()
+    return q.render(_union([f"SELECT '{h}' AS horizon, count(*) AS n_rows, max(Date) AS last_trained_through, "
+                            f"CAST({len(feature_list(h))} AS INTEGER) AS n_features FROM {split_cte(q, h)} WHERE part = 'train'" for h in HORIZONS]))
+
+
+def sql_snapshot_records() -> str:
+    q = Sql()
+    cols = ["close_daily_last", "close_weekly_last", "close_monthly_last"]
+    return q.render(final(["ticker", "Date", *cols], raw_cte(q, BACKEND_PERIODS), cols))
+
+
 def oracle_sql() -> dict[str, str]:
     out = {"bars_daily": sql_bars_daily()}
     for name in BLOCKS:
@@ -832,7 +894,10 @@ def oracle_sql() -> dict[str, str]:
         "evaluate_all": sql_evaluate_all(), "confusion_matrix": sql_confusion_matrix(),
         "recommendation": sql_recommendation(), "contract_check": sql_contract_check(),
         "latest_dates": sql_latest_dates(), "sync_status": sql_sync_status(),
-        "incremental_upsert": sql_incremental_upsert(), "model_contract": sql_model_contract(),
+        "incremental_upsert": sql_incremental_upsert(), "model_contract": sql_model_contract(), "removed_counts": sql_removed_counts(),
+        "unknown_tickers": sql_unknown_tickers(), "history_filter": sql_history_filter(), "non_finite": sql_non_finite(),
+        "embargo": sql_embargo(), "stage_handoff": sql_stage_handoff(), "report_sink": sql_split_summary(),
+        "model_metadata": sql_model_metadata(), "snapshot_records": sql_snapshot_records(),
         "batch_predict": sql_batch_predict(), "model_evaluate": sql_model_evaluate(), "retrain_flag": sql_retrain_flag(),
         "market_snapshot": sql_market_snapshot(), "profit_estimate": sql_profit_estimate(),
         "forecast_card": sql_forecast_card(), "market_summary": sql_market_summary(),

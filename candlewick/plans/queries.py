@@ -16,13 +16,25 @@ from pyspark.sql import functions as F
 from ..functions.calendar import period_id
 from ..functions.numeric import GRID
 from ..operators import decide, eda, evaluate, sampling
-from ..operators.features import ANCHOR, align_to, engineered_columns, select_horizon_columns, snapshot_validation
+from ..operators.features import (
+    align_to,
+    ANCHOR,
+    engineered_columns,
+    history_filter,
+    non_finite_to_null,
+    numeric_columns,
+    removed_counts,
+    select_horizon_columns,
+    snapshot_validation,
+    union_tables,
+)
 from ..operators.forest import QuantileForest, fit_forest
 from ..operators.indicators import BACKEND_PERIODS, MODEL_PERIODS, raw_features
-from ..operators.labels import build_label, group_folds, sample_weight, split_summary
-from ..operators.model import baseline_scores
+from ..operators.labels import build_label, embargo, group_folds, sample_weight, split_summary
+from ..operators.model import baseline_scores, model_metadata
 from ..session import scratch_path
 from ..sources import store
+from ..sources.bars import cut_after_last_close, drop_missing_close
 from . import pipeline as P
 
 HORIZONS = P.HORIZONS
@@ -335,6 +347,71 @@ def q_model_evaluate(spark, sf):
     return finish(matrix.join(sample, "horizon"))
 
 
+def q_removed_counts(spark, sf):
+    """B5, B6, G7 on bars with gaps: AF has no close after June 2001, no ticker one on the 13th."""
+    gap = ((F.col("ticker") == "AF") & (F.col("Date") > F.to_date(F.lit("2001-06-30")))) | (F.dayofmonth("Date") == 13)
+    bars = P.bars(spark, sf).withColumn("Close", F.when(~gap, F.col("Close")))
+    cut = cut_after_last_close(bars)
+    return removed_counts(bars, cut, "after last close").unionByName(removed_counts(cut, drop_missing_close(cut), "missing close"))
+
+
+def q_unknown_tickers(spark, sf):
+    """Names as a feed writes them (^A.F), normalised; what the store does not know under that name."""
+    own = P.bars(spark, sf).select("ticker").distinct()
+    fed = own.select(store.normalize_ticker(F.concat(F.lit("^"), F.substring("ticker", 1, 1), F.lit("."), F.substring("ticker", 2, 1))).alias("ticker"))
+    return store.unknown_tickers(fed.unionByName(own), P.bars(spark, sf))
+
+
+def q_history_filter(spark, sf):
+    return finish(history_filter(P.bars(spark, sf), "monthly", "1998-01-01"))
+
+
+def q_non_finite(spark, sf):
+    """Infinite on the 13th and no number on the 14th, made missing in every numeric column."""
+    day = F.dayofmonth("Date")
+    bars = P.bars(spark, sf).withColumn("Close", F.when(day == 13, float("inf")).when(day == 14, float("nan")).otherwise(F.col("Close")))
+    return finish(non_finite_to_null(bars, numeric_columns(bars)))
+
+
+def q_embargo(spark, sf):
+    """I7 with one candle: training candles of the other folds that do not touch a candle of fold 0."""
+    def one(h):
+        folds = group_folds(_train(spark, sf, h))
+        return embargo(folds.where("fold <> 0"), folds.where("fold = 0"), 1).select("Date", "ticker", "group_id")
+    return P.all_horizons(one)
+
+
+def q_stage_handoff(spark, sf):
+    """The split written as a partitioned stage, its parts read by themselves and stacked."""
+    def one(h):
+        path = scratch_path(spark, f"handoff-{h}-{uuid.uuid4().hex}")
+        store.write_stage(P.split(spark, sf, h, PERIODS[h]).select("Date", "ticker", "group_id", "part"), path, ["part"])
+        return union_tables([store.read_stage(spark, path, part=p) for p in ("train", "test")])
+    return P.all_horizons(one)
+
+
+def q_report_sink(spark, sf):
+    """The split summary written as CSV and read back."""
+    path = scratch_path(spark, f"report-{uuid.uuid4().hex}")
+    report = P.all_horizons(lambda h: split_summary(P.split(spark, sf, h, PERIODS[h]), h))
+    store.write_report(report, path)
+    return finish(spark.read.schema(report.schema).option("header", "true").csv(path))
+
+
+def q_model_metadata(spark, sf):
+    """A15, G11."""
+    one = lambda h: model_metadata(_train(spark, sf, h), h, _names(spark, sf, h), TICKERS)
+    return P.all_horizons(one).select("horizon", "n_rows", "last_trained_through", F.size("feature_columns").alias("n_features"))
+
+
+def q_snapshot_records(spark, sf):
+    """One struct per horizon and record; a field of each."""
+    tables = _store(spark, sf, "whole", P.daily)
+    records = {h: store.as_records(t).withColumnRenamed("features", h) for h, t in tables.items()}
+    joined = records["daily"].join(records["weekly"], list(store.KEYS)).join(records["monthly"], list(store.KEYS))
+    return finish(joined.select("ticker", "Date", "daily.close_daily_last", "weekly.close_weekly_last", "monthly.close_monthly_last"))
+
+
 def registry() -> dict[str, Q]:
     reg: dict[str, Q] = {"bars_daily": q_bars_daily}
     for name, b in BLOCK_QUERIES.items():
@@ -361,6 +438,10 @@ def registry() -> dict[str, Q]:
         "market_snapshot": q_market_snapshot, "profit_estimate": q_profit_estimate,
         "forecast_card": q_forecast_card, "market_summary": q_market_summary,
         "interval_sample": q_interval_sample, "residual_hist": q_residual_hist,
-        "store_read": q_store_read, "model_contract": q_model_contract, "batch_predict": q_batch_predict, "model_evaluate": q_model_evaluate,
+        "store_read": q_store_read, "removed_counts": q_removed_counts,
+        "unknown_tickers": q_unknown_tickers, "history_filter": q_history_filter,
+        "non_finite": q_non_finite, "embargo": q_embargo, "stage_handoff": q_stage_handoff, "report_sink": q_report_sink,
+        "model_metadata": q_model_metadata, "snapshot_records": q_snapshot_records,
+        "model_contract": q_model_contract, "batch_predict": q_batch_predict, "model_evaluate": q_model_evaluate,
     })
     return reg

@@ -217,6 +217,6 @@ def read_stage(spark: SparkSession, path: str, **partition_values) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Small report tables (one file, latest run only)."""
-    w = df.coalesce(1).write.mode("overwrite")
+    """Report tables, latest run only."""
+    w = df.write.mode("overwrite")
     (w.option("header", "true").csv(path) if fmt == "csv" else w.json(path))
