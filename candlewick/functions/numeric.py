@@ -25,29 +25,10 @@ def pct_change(cur: Column, prev: Column) -> Column:
     return (safe_div(cur, prev) - 1.0) * 100.0
 
 
-def clip_lower(x: Column, lo: float = 0.0) -> Column:
-    """Like pandas ``clip(lower=lo)``: NULL stays NULL (``greatest`` would not)."""
-    return F.when(x < lo, lit_d(lo)).otherwise(x)
-
-
 def clip(x: Column, lo: float, hi: float) -> Column:
     return F.when(x < lo, lit_d(lo)).when(x > hi, lit_d(hi)).otherwise(x)
 
 
-def rsi_from(avg_gain: Column, avg_loss: Column) -> Column:
-    """100 - 100 / (1 + gain / loss) with pandas' limits.
-
-    loss = 0 and gain > 0 gives 100 (gain/0 = inf); loss = gain = 0 gives NULL
-    (0/0 = NaN); either input missing gives NULL.
-    """
-    return (
-        F.when(avg_gain.isNull() | avg_loss.isNull(), F.lit(None).cast("double"))
-        .when((avg_loss == 0) & (avg_gain == 0), F.lit(None).cast("double"))
-        .when(avg_loss == 0, lit_d(100.0))
-        .otherwise(100.0 - 100.0 / (1.0 + avg_gain / avg_loss))
-    )
-
-
 def nan_to_null(x: Column) -> Column:
     """NaN and +/-inf become NULL."""
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(None).cast("double")).otherwise(x)
@@ -57,8 +38,3 @@ def nan_to_null(x: Column) -> Column:
 # rounded to a multiple of 2**-20, an exact binary scaling, so two engines that
 # differ only in the last bits of a sum land on the same value.
 GRID = 1048576.0
-
-
-def on_grid(x: Column) -> Column:
-    r = F.round(x.cast("float").cast("double") * GRID, 0)
-    return F.when(r == 0, F.lit(0.0)).otherwise(r / GRID)

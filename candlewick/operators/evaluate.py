@@ -82,10 +82,3 @@ def confusion_matrix(scored: DataFrame, by: Sequence[str] = ("horizon",),
     return (spine.join(counts, [*by, "pred", "actual"], "left")
             .select(*by, "pred", "actual", labels_p.alias("pred_label"), labels_a.alias("actual_label"),
                     F.coalesce(F.col("n"), F.lit(0).cast("bigint")).alias("n")))
-
-
-def confusion_accuracy(matrix: DataFrame, by: Sequence[str] = ("horizon",)) -> DataFrame:
-    """K10 from a long matrix: trace / total, 0 when empty."""
-    tot = F.sum("n")
-    diag = F.sum(F.when(F.col("pred") == F.col("actual"), F.col("n")).otherwise(F.lit(0)))
-    return matrix.groupBy(*by).agg(F.when(tot > 0, diag / tot).otherwise(F.lit(0.0)).alias("confusion_accuracy"))
