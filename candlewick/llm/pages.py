@@ -40,25 +40,28 @@ LINKED = 0.5
 
 
 class _Page(HTMLParser):
-    """Blocks of a page that are not furniture: their text, tag path, share of linked text, and whether an article holds them."""
+    """Blocks of a page that are not furniture: their text, tag path, share of linked text, outermost article (0 for none), and whether they head."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, str, bool]] = []  # tag, name in the path, opens furniture
-        self.skipped = self.links = self.articles = 0
-        self.blocks: list[tuple[str, str, float, bool, bool]] = []
+        self.skipped = self.links = self.articles = self.outermost = 0
+        self.blocks: list[tuple[str, str, float, int, bool]] = []
         self.parts: list[str] = []
         self.linked = 0
 
     def _furniture(self, tag: str, attrs: dict) -> bool:
         if tag in NEVER or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
             return True
-        if tag in ("html", "body", "article", "main"):
+        if tag in ("html", "body"):
             return False
         if tag == "header":
             return not self.articles
         if re.search(r"display\s*:\s*none", attrs.get("style", "")):
             return True
+        if tag in ("article", "main"):  # their names also tell layout and topics (has-sidebar, tag-social): the first word counts
+            first = {w[0].lower() for n in f"{attrs.get('class', '')} {attrs.get('id', '')}".split() if (w := WORD_IN_NAME.findall(n))}
+            return bool(first & FURNITURE) and not (tag == "main" and first & ARTICLE_WORDS)
         words = {w.lower() for w in WORD_IN_NAME.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
         return bool(words & FURNITURE) or "header" in words and not words & ARTICLE_WORDS and not self.articles
 
@@ -67,7 +70,7 @@ class _Page(HTMLParser):
         if text:
             path = "/".join(name for tag, name, _ in self.stack if tag not in INLINE)
             leaf = next((tag for tag, _, _ in reversed(self.stack) if tag not in INLINE), "")
-            self.blocks.append((text, path, self.linked / len(text), self.articles > 0, leaf in HEADINGS))
+            self.blocks.append((text, path, self.linked / len(text), self.outermost if self.articles else 0, leaf in HEADINGS))
         self.parts, self.linked = [], 0
 
     def _pop_to(self, at: int) -> None:
@@ -101,6 +104,7 @@ class _Page(HTMLParser):
         self.stack.append((tag, name, furniture))
         self.skipped += furniture
         self.links += tag == "a"
+        self.outermost += tag in ("article", "main") and not self.articles
         self.articles += tag in ("article", "main")
 
     def handle_startendtag(self, tag: str, attrs) -> None:
@@ -125,7 +129,7 @@ class _Page(HTMLParser):
                 self.linked += len(data)
 
 
-def path_ratios(blocks: list[tuple[str, str, float, bool, bool]]) -> dict[str, float]:
+def path_ratios(blocks: list[tuple[str, str, float, int, bool]]) -> dict[str, float]:
     """Fused ratio of each tag path.
 
     Text length and punctuation are summed over the blocks of a path and
@@ -154,9 +158,10 @@ def main_text(html: str | None) -> str:
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
     styles and comments are left out as the page's elements and their names
-    mark them. Of the rest, paths over the threshold are content; what stands
-    beside them in the same article element, and headings beside them in the
-    same parent, belong to it. Null and empty pages have the empty text.
+    mark them. Of the rest, paths over the threshold are content on every
+    page; what stands beside them in the same article element, and headings
+    beside them in the same parent, belong to it. Null and empty pages have
+    the empty text.
     """
     if not html:
         return ""
@@ -170,10 +175,10 @@ def main_text(html: str | None) -> str:
     ratio = path_ratios(blocks)
     least = THRESHOLD * max(ratio.values())
     content = {p for p, r in ratio.items() if r and r >= least}
-    marked = any(inside and path in content for _, path, _, inside, _ in blocks)
+    articles = {article for _, path, _, article, _ in blocks if article and path in content}
     parents = {p.rpartition("/")[0] for p in content}
-    return "\n".join(text for text, path, _, inside, heading in blocks
-                     if (inside if marked else path in content or heading and path.rpartition("/")[0] in parents))
+    return "\n".join(text for text, path, _, article, heading in blocks
+                     if path in content or article in articles or heading and path.rpartition("/")[0] in parents)
 
 
 def extract(df: DataFrame, html_col: str = "html") -> DataFrame:

@@ -29,6 +29,31 @@ def test_paths_of_links_and_thin_paths_are_not_content():
     assert ratio["body/p"] > ratio["body/div"] > ratio["body/ul"] == 0
 
 
+STORY = [f"Paragraph {i} of the story, " + "which has many words before a mark is set and then goes on, " * 6 + "to its end." for i in range(5)]
+CARDS = [f"Card {i} has some words about another text, which is not long, " + "and not rich in marks " * 3 + "but a few." for i in range(3)]
+
+
+def cards(attrs="", n=3):
+    return "".join(f"<article{attrs}><h3>Other head {i}</h3><p>{CARDS[i]}</p></article>" for i in range(n))
+
+
+def test_article_elements_do_not_hide_other_content():
+    story = "".join(f"<p>{p}</p>" for p in STORY)
+    for n in range(4):
+        got = pages.main_text(f'<body><div class="story">{story}</div><div class="more">{cards(n=n)}</div></body>').split("\n")
+        assert got[:5] == STORY and set(got[5:]) <= {*CARDS, *(f"Other head {i}" for i in range(3))}
+    got = pages.main_text(f"<body><article><h1>Head</h1>{story}<ul><li>One</li></ul></article><article><h1>Next</h1>{story}</article></body>")
+    assert got.split("\n") == ["Head", *STORY, "One", "Next", *STORY]
+
+
+def test_names_of_article_elements():
+    story = "".join(f"<p>{p}</p>" for p in STORY)
+    for attrs in (' class="comment"', ' id="comment-7"', ' class="comment-body even"', ' class="post teaser"', ' style="display: none"'):
+        assert pages.main_text(f"<body><main><article>{story}</article>{cards(attrs)}</main></body>").split("\n") == STORY, attrs
+    for attrs in (' class="post has-sidebar tag-social"', ' id="post-1"'):
+        assert pages.main_text(f'<body><main class="content sidebar-left"><article{attrs}>{story}</article></main></body>').split("\n") == STORY, attrs
+
+
 def test_awkward_pages(spark):
     assert [pages.main_text(p) for p in (None, "", "   ", "<p>", "<div><p>a", "</p></div>x <b>y", "&lt;b&gt; &#233;")] == [
         "", "", "", "", "a", "x y", "<b> é"]
