@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from html.parser import HTMLParser
 
 import numpy as np
@@ -30,6 +31,8 @@ FURNITURE = frozenset(
     "search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser teasers toolbar widget widgets".split())
 ARTICLE_WORDS = frozenset("article body content entry main post story text".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Elements that can hold an article: a lone block of another kind, as a paragraph, belongs to the next of these around it.
+SECTIONS = frozenset("article body div html main section".split())
 HOLDS = frozenset("article aside body div footer form header li main nav ol section table td th ul dl blockquote".split())
 
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -40,13 +43,18 @@ LINKED = 0.5
 
 
 class _Page(HTMLParser):
-    """Blocks of a page that are not furniture: their text, tag path, share of linked text, outermost article (0 for none), and whether they head."""
+    """Blocks of a page that are not furniture: their text, tag path, share of linked text, and the node that holds it.
+
+    Nodes are the elements that are not inline, numbered as they open, so a
+    node's number is over its parent's; 0 is the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, bool]] = []  # tag, name in the path, opens furniture
-        self.skipped = self.links = self.articles = self.outermost = 0
-        self.blocks: list[tuple[str, str, float, int, bool]] = []
+        self.stack: list[tuple[str, str, bool, int]] = []  # tag, name in the path, opens furniture, node
+        self.skipped = self.links = self.articles = 0
+        # Of each node: tag, parent, outermost article or main around it, and nearest element named like an article (0 for none).
+        self.tags, self.parents, self.article, self.named = ["html"], [0], [0], [0]
+        self.blocks: list[tuple[str, str, float, int]] = []
         self.parts: list[str] = []
         self.linked = 0
 
@@ -68,13 +76,12 @@ class _Page(HTMLParser):
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            path = "/".join(name for tag, name, _ in self.stack if tag not in INLINE)
-            leaf = next((tag for tag, _, _ in reversed(self.stack) if tag not in INLINE), "")
-            self.blocks.append((text, path, self.linked / len(text), self.outermost if self.articles else 0, leaf in HEADINGS))
+            path = "/".join(name for tag, name, *_ in self.stack if tag not in INLINE)
+            self.blocks.append((text, path, self.linked / len(text), self.stack[-1][3] if self.stack else 0))
         self.parts, self.linked = [], 0
 
     def _pop_to(self, at: int) -> None:
-        for tag, _, furniture in self.stack[at:]:
+        for tag, _, furniture, _ in self.stack[at:]:
             self.skipped -= furniture
             self.links -= tag == "a"
             self.articles -= tag in ("article", "main")
@@ -101,10 +108,17 @@ class _Page(HTMLParser):
         found = {k: v or "" for k, v in attrs}
         furniture = self._furniture(tag, found)
         name = ".".join([tag, *found.get("class", "").split()])
-        self.stack.append((tag, name, furniture))
+        node = self.stack[-1][3] if self.stack else 0
+        if tag not in INLINE:
+            self.tags.append(tag)
+            self.parents.append(node)
+            node = len(self.tags) - 1
+            self.article.append(self.article[self.parents[node]] or (node if tag in ("article", "main") else 0))
+            names = f"{found.get('class', '')} {found.get('id', '')}" if tag in ("div", "section") else ""
+            self.named.append(node if ARTICLE_WORDS & {w.lower() for w in WORD_IN_NAME.findall(names)} else self.named[self.parents[node]])
+        self.stack.append((tag, name, furniture, node))
         self.skipped += furniture
         self.links += tag == "a"
-        self.outermost += tag in ("article", "main") and not self.articles
         self.articles += tag in ("article", "main")
 
     def handle_startendtag(self, tag: str, attrs) -> None:
@@ -129,7 +143,7 @@ class _Page(HTMLParser):
                 self.linked += len(data)
 
 
-def path_ratios(blocks: list[tuple[str, str, float, int, bool]]) -> dict[str, float]:
+def path_ratios(blocks: list[tuple[str, str, float, int]]) -> dict[str, float]:
     """Fused ratio of each tag path.
 
     Text length and punctuation are summed over the blocks of a path and
@@ -153,15 +167,67 @@ def path_ratios(blocks: list[tuple[str, str, float, int, bool]]) -> dict[str, fl
     return {p: 0.0 if linked[p] > LINKED * chars[p] else total[p] / n for p, n in count.items()}
 
 
+def _join(page: _Page, nodes: Iterable[int]) -> int:
+    """The deepest node that holds all of ``nodes``."""
+    nodes = iter(nodes)
+    a = next(nodes)
+    for b in nodes:
+        while a != b:
+            a, b = (page.parents[a], b) if a > b else (a, page.parents[b])
+    return a
+
+
+def _section(page: _Page, node: int, cells: frozenset[str] = frozenset()) -> int:
+    """The next node from ``node`` up that can hold an article."""
+    while page.tags[node] not in SECTIONS and page.tags[node] not in cells:
+        node = page.parents[node]
+    return node
+
+
+def _containers(page: _Page, ratio: dict[str, float], content: set[str]) -> set[int]:
+    """Nodes that hold the article: the common one of the passing paths, and those of passing blocks outside of it.
+
+    It starts with the common node of the highest path's blocks. Another
+    passing path widens it to what holds both, unless that is the whole body:
+    then that path's blocks are held by what stands around each of them.
+    """
+    found: dict[str, set[int]] = {}
+    for _, path, _, node in page.blocks:
+        if path in content:
+            found.setdefault(path, set()).add(node)
+    first, *others = sorted(found, key=lambda p: -ratio[p])
+    whole = lambda node: page.tags[node] in ("html", "body")
+    inner = set(page.parents[1:])
+    cells = frozenset(("td", "th"))
+
+    def around(node: int) -> int:
+        """What holds a lone node; of a div or cell without elements in it, the section around it."""
+        if node not in inner and not whole(node) and page.tags[node] not in ("article", "main"):
+            upper = _section(page, page.parents[node], cells)
+            return upper if not whole(upper) or page.tags[node] not in SECTIONS else node
+        return _section(page, node, cells)
+
+    main, apart = around(_join(page, found[first])), set()
+    for path in others:
+        wider = _section(page, _join(page, [main, *found[path]]), cells)
+        if whole(wider) and not whole(main):
+            apart.update(map(around, found[path]))
+        else:
+            main = wider
+    return {page.article[node] or page.named[node] or node for node in (main, *(n for n in apart if not whole(n)))}
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: white space in a block is one space, blocks are joined by a line break.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
     styles and comments are left out as the page's elements and their names
     mark them. Of the rest, paths over the threshold are content on every
-    page; what stands beside them in the same article element, and headings
-    beside them in the same parent, belong to it. Null and empty pages have
-    the empty text.
+    page. The section that they have in common, widened to an article element
+    or one so named around it, is kept with all that it holds (headings, lists,
+    tables, short lines), but for paths of mostly linked text outside article
+    elements. Headings beside a passing path in the same parent belong to it.
+    Null and empty pages have the empty text.
     """
     if not html:
         return ""
@@ -175,10 +241,16 @@ def main_text(html: str | None) -> str:
     ratio = path_ratios(blocks)
     least = THRESHOLD * max(ratio.values())
     content = {p for p, r in ratio.items() if r and r >= least}
-    articles = {article for _, path, _, article, _ in blocks if article and path in content}
+    if not content:
+        return ""
+    containers = _containers(page, ratio, content)
+    held = [0 in containers]
+    for node in range(1, len(page.tags)):
+        held.append(node in containers or held[page.parents[node]])
     parents = {p.rpartition("/")[0] for p in content}
-    return "\n".join(text for text, path, _, article, heading in blocks
-                     if path in content or article in articles or heading and path.rpartition("/")[0] in parents)
+    return "\n".join(text for text, path, _, node in blocks
+                     if path in content or held[node] and (ratio[path] or page.article[node])
+                     or page.tags[node] in HEADINGS and path.rpartition("/")[0] in parents)
 
 
 def extract(df: DataFrame, html_col: str = "html") -> DataFrame:

@@ -54,6 +54,27 @@ def test_names_of_article_elements():
         assert pages.main_text(f'<body><main class="content sidebar-left"><article{attrs}>{story}</article></main></body>').split("\n") == STORY, attrs
 
 
+def test_short_lines_of_an_article_stay():
+    story = "".join(f"<p>{p}</p>" for p in STORY[:2])
+    more = [f"Short line {i} of the list" for i in range(6)]
+    items = "".join(f"<li>{m}" for m in more)
+    menu = "".join(f"<li><a href='/{i}'>Menu entry {i}</a></li>" for i in range(9))
+    parts = {f"<ul>{items}</ul>": more, f"<ol>{items}</ol>": more, "<dl><dt>Term<dd>Meaning</dl>": ["Term", "Meaning"],
+             "<table><tr><th>Name<th>Count</tr><tr><td>a<td>1</tr></table>": ["Name", "Count", "a", "1"], "<pre>x = 1</pre>": ["x = 1"],
+             "<blockquote>Said.</blockquote>": ["Said."], "<div>Line.</div>": ["Line."], "<h3>Part</h3>": ["Part"]}
+    end = "<div class='bottom'>All rights are ours</div></body>"
+    for part, lines in parts.items():
+        want = [*STORY[:2], *lines, STORY[2]]
+        for attrs in ("", " class='story'"):
+            assert pages.main_text(f"<body><ul>{menu}</ul><div{attrs}>{story}{part}<p>{STORY[2]}</p></div>{end}").split("\n") == want
+            assert pages.main_text(f"<div id='page'><div{attrs}><div>{story}</div><div>{part}</div><section><p>{STORY[2]}</p></section></div></div>{end}").split("\n") == want
+        assert pages.main_text(f"<body><div><p>{STORY[0]}</p>{part}</div>{end}").split("\n") == [STORY[0], *lines]
+        assert pages.main_text(f"<body><div class='entry-content'><div>{story}</div><div>{part}</div></div>{end}").split("\n") == [*STORY[:2], *lines]
+        assert pages.main_text(f"<body><div>{STORY[0]}<br>{STORY[1]}{part}</div>{end}").split("\n") == [f"{STORY[0]} {STORY[1]}", *lines]
+    assert pages.main_text(f"<body><div>{story}<ul>{menu}</ul></div></body>").split("\n") == STORY[:2]
+    assert pages.main_text(f"<body><div class='story'>{story}<h2>Part</h2></div><p>Hello, you.</p><div>{cards()}</div>{end}").split("\n")[:3] == [*STORY[:2], "Part"]
+
+
 def test_awkward_pages(spark):
     assert [pages.main_text(p) for p in (None, "", "   ", "<p>", "<div><p>a", "</p></div>x <b>y", "&lt;b&gt; &#233;")] == [
         "", "", "", "", "a", "x y", "<b> é"]
