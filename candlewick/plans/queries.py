@@ -290,13 +290,26 @@ def q_store_read(spark, sf):
 TICKERS = ("AF", "AO", "NF", "NO", "RF", "RO")  # the series that the line items give (FIXTURES.md)
 
 
-def _forest(spark, sf, h) -> QuantileForest:
-    """The horizon's forest, fitted on its train part, saved once and loaded."""
+def _saved_forest(spark, sf, h, name, rows) -> QuantileForest:
+    """The horizon's forest of this name, fitted on ``rows()`` with their own weights, saved once and loaded."""
     def build():
-        path = scratch_path(spark, f"forest-{h}-{uuid.uuid4().hex}")
-        fit_forest(sample_weight(_train(spark, sf, h)), _names(spark, sf, h), f"target_{h}", h, TICKERS).save(path)
+        path = scratch_path(spark, f"{name}-{h}-{uuid.uuid4().hex}")
+        fit_forest(sample_weight(rows()), _names(spark, sf, h), f"target_{h}", h, TICKERS).save(path)
         return path
-    return QuantileForest.load(spark, P.once(spark, ("forest", h, sf, *P.inputs(spark, sf)), build))
+    return QuantileForest.load(spark, P.once(spark, (name, h, sf, *P.inputs(spark, sf)), build))
+
+
+def _forest(spark, sf, h) -> QuantileForest:
+    """The forest of the train part, for forecasts of the test part."""
+    return _saved_forest(spark, sf, h, "forest", lambda: _train(spark, sf, h))
+
+
+def _final_forest(spark, sf, h) -> QuantileForest:
+    """M8: the forest refitted on train and test (U2), for forecasts of new rows."""
+    def rows():
+        split = P.split(spark, sf, h, PERIODS[h])
+        return union_tables([split.where(F.col("part") == part) for part in ("train", "test")])
+    return _saved_forest(spark, sf, h, "final-forest", rows)
 
 
 def _forecast(spark, sf, h):
@@ -325,9 +338,9 @@ def q_model_contract(spark, sf):
 
 def q_batch_predict(spark, sf):
     """The newest row of every ticker, and one of a ticker that the model
-    never saw, aligned to the model's columns and forecast."""
+    never saw, aligned to the columns of the final model and forecast by it (M8)."""
     def one(h):
-        model, raw_h = _forest(spark, sf, h), P.horizon_raw(spark, sf, h, PERIODS[h])
+        model, raw_h = _final_forest(spark, sf, h), P.horizon_raw(spark, sf, h, PERIODS[h])
         rows = raw_h.withColumns({n: c.cast("double") for n, c in engineered_columns(raw_h, h, PERIODS[h])})
         newest = rows.join(rows.groupBy("ticker").agg(F.max("Date").alias("Date")), ["ticker", "Date"])
         newest = newest.unionByName(newest.where("ticker = 'AF'").withColumn("ticker", F.lit("ZZ")))

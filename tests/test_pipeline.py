@@ -107,3 +107,15 @@ def test_learning_curve_final_fit_and_saved_model(spark, sf, tmp_path):
     assert len(one) == len(two) == test.count()
     assert all(a[:2] == b[:2] and a[2:] == pytest.approx(b[2:]) for a, b in zip(one, two, strict=True))
     assert all(r.q10 <= r.q50 <= r.q90 for r in one)
+
+
+def test_batch_predict_takes_a_forest_of_train_and_test(spark, sf, monkeypatch):
+    from candlewick.operators.forest import QuantileForest
+    from candlewick.plans import queries
+    used, own = {}, QuantileForest.predict
+    monkeypatch.setattr(QuantileForest, "predict", lambda self, *a: used.update({self.horizon: self}) or own(self, *a))
+    rows = queries.q_batch_predict(spark, sf).collect()
+    assert {r.horizon for r in rows} == set(used) == set(queries.HORIZONS) and all(r.in_order and r.in_range for r in rows)
+    for h, model in used.items():
+        last = {r[0]: r[1] for r in P.split(spark, sf, h, PERIODS[h]).groupBy("part").agg(F.max("Date")).collect()}
+        assert model.trained_through == max(last.values()) > last["train"]
