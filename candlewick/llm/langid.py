@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import slices
+from candlewick.llm.common import slices, stage
 
 LETTERS = re.compile(r"[^\W\d_]+")
 NO_LANGUAGE = "und"
@@ -59,8 +59,9 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
     """Frequencies of words and n-grams by language, from a bounded sample of ``df``'s rows.
 
     The sample keeps every row of a language with up to ``train_rows`` rows
-    and, of others, those whose id hashes low. What comes to the driver is
-    bounded by TOP_WORDS and TOP_GRAMS per language.
+    and, of others, those whose id hashes low. An entry that is among the
+    TOP_WORDS or TOP_GRAMS of one language comes to the driver with its count
+    in every language.
     """
     known = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
@@ -68,17 +69,18 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
         return {"langs": []}
     shares = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, train_rows / n)))])
     low = F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < shares[F.col(lang_col)] * 1_000_003
-    counted = known.filter(low).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(
-        _counter, "lang string, n int, gram string, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
+    counted = stage(known.filter(low).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(
+        _counter, "lang string, n int, gram string, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times")), "counted")
     order = Window.partitionBy("lang", "n").orderBy(F.desc("times"), "gram")
-    top = (counted.withColumn("all", F.sum("times").over(Window.partitionBy("lang", "n")))
-           .withColumn("rank", F.row_number().over(order))
-           .filter(F.col("rank") <= F.when(F.col("n") == 0, TOP_WORDS).otherwise(TOP_GRAMS)).drop("rank").toPandas())
+    kept = (counted.withColumn("rank", F.row_number().over(order))
+            .filter(F.col("rank") <= F.when(F.col("n") == 0, TOP_WORDS).otherwise(TOP_GRAMS)).select("n", "gram").distinct())
+    top = counted.join(kept, ["n", "gram"], "left_semi").toPandas()
+    sums = counted.groupBy("lang", "n").agg(F.sum("times").alias("all")).toPandas()
     langs, rows, index, at = sorted(sizes), [], {}, 0
     for n in (0, *ORDERS):  # log frequencies; half an occurrence where a language never has it
         part = top[top["n"] == n]
         table = part.pivot(index="gram", columns="lang", values="times").reindex(columns=langs).fillna(0.0)
-        total = part.groupby("lang")["all"].first().reindex(langs).fillna(0.0)
+        total = sums[sums["n"] == n].set_index("lang")["all"].reindex(langs).fillna(0.0)
         row = np.log((table.to_numpy() + 0.5) / (total.to_numpy() + 1.0))
         rows.append(row - row.mean(axis=1, keepdims=True))
         index[n] = dict(zip(table.index, range(at, at + len(table)), strict=True))

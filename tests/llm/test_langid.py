@@ -1,3 +1,5 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from candlewick.llm import langid, queries
@@ -40,3 +42,15 @@ def test_forgetting_words_changes_no_sum(spark, monkeypatch):
     monkeypatch.setattr(langid, "CACHE_WORDS", 1)
     forgetful = langid.Scorer(model)
     assert [forgetful.sums(text).tolist() for _ in range(3)] == [whole] * 3
+
+
+def test_entries_kept_for_one_language_have_their_counts_in_all(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TOP_WORDS", 2)
+    monkeypatch.setattr(langid, "TOP_GRAMS", 2)
+    rows = [(1, "aa", "xu " * 9 + "ye " * 9 + "zo " * 8), (2, "bb", "zo " * 7 + "wa " * 6 + "ye " * 5 + "q")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    count = {"xu": (9, 0), "ye": (9, 5), "zo": (8, 7), "wa": (0, 6)}
+    assert set(model["index"][0]) == set(count)
+    for word, (a, b) in count.items():
+        row = np.log([(a + 0.5) / (26 + 1), (b + 0.5) / (19 + 1)])
+        assert model["rows"][model["index"][0][word]] == pytest.approx(row - row.mean(), abs=1e-5)
