@@ -20,6 +20,8 @@ TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 3000, 20_000
 #: A feature marks a toxic token if toxic texts have it this many times as often as clean ones, and so clearly that among all
 #: features fewer than MARK_CHANCE would do so by chance.
 MARK_RATIO, MARK_CHANCE = 20.0, 0.1
+#: Of sampled texts that share this part of their five-word passages or more, the fit takes one under each label.
+SAME = 0.8
 PREFIXES = (4, 5, 6)
 ROUNDS, STEP, DECAY = 25, 0.5, 1e-4
 CACHE_WORDS = 400_000
@@ -83,21 +85,26 @@ def _summary(odds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _distinct(texts: list[list[str]], hashes: int = 8) -> list[int]:
-    """One text of each group that share a least hash of five words under any of several hashes.
+def _distinct(texts: list[list[str]], label: np.ndarray, hashes: int = 8) -> list[int]:
+    """Texts that are no near copy of one kept before them under the same label.
 
-    Near copies must not count as separate evidence.
+    Near copies must not count as separate evidence. Texts are near copies if
+    the share of five-word passages they have in common, estimated by equal
+    least hashes, is SAME or more.
     """
     odd = np.random.default_rng(1).integers(0, 2**63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    seen: set[tuple[int, int]] = set()
+    least = np.empty((len(texts), hashes), np.uint64)
+    seen = {y: np.empty((len(texts), hashes), np.uint64) for y in set(label.tolist())}
+    size = dict.fromkeys(seen, 0)
     kept = []
-    for i, found in enumerate(texts):
+    for i, (found, y) in enumerate(zip(texts, label.tolist(), strict=True)):
         grams = (" ".join(found[j:j + 5]) for j in range(max(1, len(found) - 4)))
         h = np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64)
-        least = {(k, int(((h * m) >> np.uint64(11)).min())) for k, m in enumerate(odd)}
-        if not least & seen:
+        least[i] = [((h * m) >> np.uint64(11)).min() for m in odd]
+        if not ((seen[y][:size[y]] == least[i]).sum(axis=1) >= SAME * hashes).any():
             kept.append(i)
-        seen |= least
+            seen[y][size[y]] = least[i]
+            size[y] += 1
     return kept
 
 
@@ -125,7 +132,7 @@ def train(toxic: list[str], clean: list[str], share: float = 0.5) -> dict | None
     """
     texts = [TOKEN.findall(t.lower()) for t in toxic + clean]
     label = np.array([1] * len(toxic) + [0] * len(clean))
-    kept = _distinct(texts) if texts else []
+    kept = _distinct(texts, label) if texts else []
     texts, label = [texts[i] for i in kept], label[kept]
     if len(set(label.tolist())) < 2:
         return None

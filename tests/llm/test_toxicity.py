@@ -55,3 +55,12 @@ def test_without_labels_of_both_classes_every_score_is_zero(spark, docs):
     model = toxicity.fit(docs, labels)
     assert model is None
     assert {r.score for r in toxicity.tag(docs, model).collect()} == {0.0}
+
+
+def test_only_near_copies_of_a_label_are_dropped():
+    word = lambda i, k: f"w{i}x{k}"
+    passage = [word("p", k) for k in range(30)]
+    share = [passage + [word(i, k) for k in range(30)] for i in range(40)]  # a third of all passages of two such texts
+    assert toxicity._distinct(share, np.array([1] * 20 + [0] * 20)) == list(range(40))
+    long = [word("q", k) for k in range(400)]
+    assert toxicity._distinct([long, long, [*long, "end"], long, long], np.array([1, 1, 1, 0, 0])) == [0, 3]
