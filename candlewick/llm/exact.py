@@ -26,19 +26,19 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
        partial row. The groups are written and joined back by broadcast while
        they are few, else by a join whose hot keys AQE splits.
     3. The row with the most code points in the original text stays, then the
-       least id (null ids last).
+       least id (null ids last), then one by a hash of the original text.
 
     Null and empty texts are one group. Rows repeated with the same id and the
-    same original length count as one document listed more than once: all of
+    same original text count as one document listed more than once: all of
     them are ``kept`` if they are the best. Other columns are not read.
     """
     carry = carry or {}
     norm = normalised(text_col)
     keyed = df.select(F.col(id_col).alias("_id"), F.length(norm).alias("_n"),
                       F.xxhash64(F.substring(norm, 1, PREFIX_CHARS)).alias("_p"),
-                      F.coalesce(F.length(text_col), F.lit(0)).alias("_chars"), norm.alias("_norm"),
+                      F.coalesce(F.length(text_col), F.lit(0)).alias("_chars"), F.xxhash64(text_col).alias("_t"), norm.alias("_norm"),
                       *[e.alias(f"_c_{k}") for k, e in carry.items()])
-    narrow = ["_id", "_n", "_p", "_chars", *[f"_c_{k}" for k in carry]]
+    narrow = ["_id", "_n", "_p", "_chars", "_t", *[f"_c_{k}" for k in carry]]
 
     prefixes = stage(keyed.groupBy("_n", "_p").agg(F.count("*").alias("_rows")), "prefixes")
     lengths = prefixes.groupBy("_n").agg(F.sum("_rows").alias("_all")).filter("_all > 1").select("_n")
@@ -47,12 +47,13 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = keyed.join(small_side(shared).withColumn("_again", F.lit(True)), ["_n", "_p"], "left")
     rows = stage(marked.select(*narrow, F.when(F.col("_again"), F.sha2("_norm", 256)).alias("_full")), "hashed")
 
-    best = F.max(F.struct("_chars", F.col("_id").isNotNull().alias("_has"), (-F.col("_id")).alias("_neg")))
+    best = F.max(F.struct("_chars", F.col("_id").isNotNull().alias("_has"), (-F.col("_id")).alias("_neg"), "_t"))
     groups = stage(rows.filter("_full is not null").groupBy("_full").agg(best.alias("_best"), F.count("*").alias("_size")), "groups")
     out = [F.col(f"_c_{k}").alias(k) for k in carry]
     many = rows.join(small_side(groups), "_full").select(
         F.col("_id").alias(id_col), (-F.col("_best._neg")).alias("keep_id"), F.col("_size").alias("group_size"),
-        (F.col("_id").eqNullSafe(-F.col("_best._neg")) & (F.col("_chars") == F.col("_best._chars"))).alias("kept"), *out)
+        (F.col("_id").eqNullSafe(-F.col("_best._neg")) & (F.col("_chars") == F.col("_best._chars"))
+         & (F.col("_t") == F.col("_best._t"))).alias("kept"), *out)
     one = rows.filter("_full is null").select(
         F.col("_id").alias(id_col), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), *out)

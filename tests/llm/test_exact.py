@@ -41,3 +41,11 @@ def test_query_has_the_digest_of_every_row(spark, sf):
     assert len(got) == len(texts)
     for r in got:
         assert r.text_sha256 == hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", texts[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_one_row_stays_of_an_id_whose_texts_differ_in_white_space(spark):
+    rows = [(1, "a b"), (1, "a\tb"), (1, "a b"), (None, "c d"), (None, "c\nd"), (2, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.text.split()[0] for r in exact.drop_exact_copies(df).collect()) == ["a", "c", "e"]
+    kept = Counter(r.keep_id for r in exact.exact_groups(df).collect() if r.kept)
+    assert kept[None] == kept[2] == 1 and kept[1] in (1, 2)  # identical rows are kept together
