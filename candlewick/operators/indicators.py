@@ -99,31 +99,48 @@ def _pct(cur: str, prev: str) -> str:
     return f"((try_divide({cur}, {prev}) - 1.0D) * 100.0D)"
 
 
-def period_table(daily: DataFrame, horizon: str, periods: Sequence[int]) -> DataFrame:
-    """Closed-candle statistics of one horizon, one row per (ticker, candle).
-
-    Columns are the values a daily row of candle k needs from candle k-1 and
-    earlier: previous close, previous candle return, sums of the previous p-1
-    closes, previous-candle EMA, volume/low/high of the previous candle, the
-    Wilder averages and RSI sums of closed candles, and the last gauge value.
-    """
-    pid, short = HORIZON_KEYS[horizon]
+def candle_sums(daily: DataFrame, horizon: str) -> DataFrame:
+    """One row per (ticker, candle): last close and gauge, volume, low and high of the daily rows given."""
+    pid, _ = HORIZON_KEYS[horizon]
     last_non_null = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("Date")))
-    g = daily.groupBy("ticker", pid).agg(
+    return daily.groupBy("ticker", pid).agg(
         last_non_null("Close").alias("pc"),
         F.coalesce(F.sum("Volume"), F.lit(0.0)).alias("pv"),
         F.min("Low").alias("pl"),
         F.max("High").alias("ph"),
         last_non_null("vix_close").alias("pg"),
     )
-    keys, o = ("ticker",), pid
-    prev = lambda x: shift_sql(x, keys, o)
+
+
+def _seeded(stored: str, fresh: str, seeded: bool) -> str:
+    """The input of a recurrence: a seed row enters with the value it had reached."""
+    return f"(CASE WHEN _seed THEN {stored} ELSE {fresh} END)" if seeded else fresh
+
+
+def candle_recurrences(sums: DataFrame, horizon: str, periods: Sequence[int], seeded: bool = False) -> DataFrame:
+    """Return, averages and RSI of each candle as if closed.
+
+    With ``seeded``, rows marked ``_seed`` (the last known candle of a ticker)
+    carry their own columns as ``<name>_0`` and start the recurrences.
+    """
+    pid, _ = HORIZON_KEYS[horizon]
+    keys = ("ticker",)
+    prev = lambda x: shift_sql(x, keys, pid)
     chg = f"(pc - {prev('pc')})"
-    g = g.selectExpr("*", f"{_pct('pc', prev('pc'))} AS pret", f"{_clip0(chg)} AS gain", f"{_clip0('-' + chg)} AS loss")
-    specs = [(f"ema{p}", "pc", span_alpha(p)) for p in periods]
-    specs += [("G", "gain", RSI_ALPHA), ("L", "loss", RSI_ALPHA)]
+    g = sums.selectExpr("*", f"{_pct('pc', prev('pc'))} AS pret", f"{_clip0(chg)} AS gain", f"{_clip0('-' + chg)} AS loss")
+    specs = [(f"ema{p}", _seeded(f"ema{p}_0", "pc", seeded), span_alpha(p)) for p in periods]
+    specs += [("G", _seeded("G_0", "gain", seeded), RSI_ALPHA), ("L", _seeded("L_0", "loss", seeded), RSI_ALPHA)]
     g = ewm_mean(g, specs, keys, pid)
-    g = g.selectExpr("*", f"{_rsi('G', 'L')} AS crsi")
+    return g.selectExpr("*", f"{_rsi('G', 'L')} AS crsi")
+
+
+def candle_lookups(candles: DataFrame, horizon: str, periods: Sequence[int]) -> DataFrame:
+    """What a daily row of candle k needs from candle k-1 and earlier: previous
+    close, return, volume, low, high, gauge and averages, sums of the previous
+    closes and of closed RSIs."""
+    pid, short = HORIZON_KEYS[horizon]
+    keys, o = ("ticker",), pid
+    prev = lambda x: shift_sql(x, keys, o)
     closed = lambda x, n: rolling_sql("sum", x, keys, o, n, start=-n, end=-1)
     out = ["ticker", pid,
            f"{prev('pc')} AS {short}_pc_prev", f"{prev('pret')} AS {short}_ret_prev",
@@ -136,7 +153,30 @@ def period_table(daily: DataFrame, horizon: str, periods: Sequence[int]) -> Data
     for p in periods:
         out.append(f"{closed('pc', p - 1)} AS {short}_sum{p}")
         out.append(f"{prev(f'ema{p}')} AS {short}_ema{p}_prev")
-    return g.selectExpr(*out)
+    return candles.selectExpr(*out)
+
+
+def period_table(daily: DataFrame, horizon: str, periods: Sequence[int]) -> DataFrame:
+    """Closed-candle statistics of one horizon, one row per (ticker, candle)."""
+    return candle_lookups(candle_recurrences(candle_sums(daily, horizon), horizon, periods), horizon, periods)
+
+
+def daily_recurrences(daily: DataFrame, periods: Sequence[int], averages: bool = True, rsi: bool = True, seeded: bool = False) -> DataFrame:
+    """Previous close, averages, Wilder averages and RSI of every daily row; seeds as in ``candle_recurrences``."""
+    keys = ("ticker",)
+    prev = lambda x: shift_sql(x, keys, "Date")
+    chg = f"(Close - {prev('Close')})"
+    df = daily.selectExpr("*", f"{prev('Close')} AS _prev_close",
+                          f"{_clip0(chg)} AS _gain", f"{_clip0('-' + chg)} AS _loss")
+    specs = []
+    if averages:
+        specs += [(f"_ema{p}", _seeded(f"_ema{p}_0", "Close", seeded), span_alpha(p)) for p in periods]
+    if rsi:
+        specs += [("_G", _seeded("_G_0", "_gain", seeded), RSI_ALPHA), ("_L", _seeded("_L_0", "_loss", seeded), RSI_ALPHA)]
+    if specs:
+        df = ewm_mean(df, specs, keys, "Date")
+    extra = [f"CAST(NULL AS DOUBLE) AS {c}" for c in ("_G", "_L") if c not in df.columns]
+    return df.selectExpr("*", *extra).selectExpr("*", f"{_rsi('_G', '_L')} AS _rsi")
 
 
 def _candle_columns(horizon: str, periods: Sequence[int]) -> dict[str, str]:
@@ -242,26 +282,23 @@ def raw_features(bars: DataFrame, gauge: DataFrame | None,
         daily = bars                      # already a prepared daily frame (see ``daily_frame``)
     else:
         daily = daily_frame(bars, gauge).repartition("ticker")
+    df = daily_recurrences(daily, periods, any(n.startswith("ema_daily_") for n in wanted),
+                           any(n.startswith("rsi_") and n.endswith("daily") for n in wanted))
+    out = indicator_rows(df, lambda h: period_table(daily, h, periods), periods, wanted)
+    if start_date is not None:
+        out = trim_to_start(out, start_date)
+    return out
+
+
+def indicator_rows(df: DataFrame, lookups, periods: Sequence[int], wanted: Sequence[str]) -> DataFrame:
+    """The ``wanted`` catalogue columns of daily rows that have their recurrences;
+    ``lookups(horizon)`` gives the table of ``candle_lookups``."""
     keys = ("ticker",)
     prev = lambda x: shift_sql(x, keys, "Date")
-    chg = f"(Close - {prev('Close')})"
-    df = daily.selectExpr("*", f"{prev('Close')} AS _prev_close",
-                          f"{_clip0(chg)} AS _gain", f"{_clip0('-' + chg)} AS _loss")
-    specs = []
-    if any(n.startswith("ema_daily_") for n in wanted):
-        specs += [(f"_ema{p}", "Close", span_alpha(p)) for p in periods]
-    if any(n.startswith("rsi_") and n.endswith("daily") for n in wanted):
-        specs += [("_G", "_gain", RSI_ALPHA), ("_L", "_loss", RSI_ALPHA)]
-    if specs:
-        df = ewm_mean(df, specs, keys, "Date")
-    extra = [f"CAST(NULL AS DOUBLE) AS {c}" for c in ("_G", "_L") if c not in df.columns]
-    df = df.selectExpr("*", *extra)
-    df = df.selectExpr("*", f"{_rsi('_G', '_L')} AS _rsi")
-
     cand = {h: _candle_columns(h, periods) for h in HORIZON_KEYS}
     for h, (pid, _) in HORIZON_KEYS.items():
         if any(n in cand[h] for n in wanted):
-            df = df.join(period_table(daily, h, periods), ["ticker", pid], "left")
+            df = df.join(lookups(h), ["ticker", pid], "left")
 
     roll = lambda agg, x, n: rolling_sql(agg, x, keys, "Date", n)
     cols: dict[str, str] = {
@@ -286,11 +323,7 @@ def raw_features(bars: DataFrame, gauge: DataFrame | None,
     cols["vix_daily_last"] = prev("vix_close")
     for h in HORIZON_KEYS:
         cols.update(cand[h])
-
-    out = df.selectExpr("Date", "ticker", *[f"CAST({cols[n]} AS DOUBLE) AS {n}" for n in wanted])
-    if start_date is not None:
-        out = trim_to_start(out, start_date)
-    return out
+    return df.selectExpr("Date", "ticker", *[f"CAST({cols[n]} AS DOUBLE) AS {n}" for n in wanted])
 
 
 def trim_to_start(features: DataFrame, start_date: str | None = DEFAULT_START) -> DataFrame:

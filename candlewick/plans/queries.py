@@ -29,7 +29,7 @@ from ..operators.features import (
     union_tables,
 )
 from ..operators.forest import QuantileForest, fit_forest
-from ..operators.indicators import BACKEND_PERIODS, MODEL_PERIODS, raw_features
+from ..operators.indicators import BACKEND_PERIODS, MODEL_PERIODS
 from ..operators.labels import build_label, embargo, group_folds, sample_weight, split_summary
 from ..operators.model import baseline_scores, model_metadata
 from ..session import scratch_path
@@ -131,11 +131,10 @@ def _snapshot(spark, sf):
 
 
 def _store(spark, sf, name, daily, then=None):
-    """A store written once per session and input into the shared folder, and read back."""
+    """A store filled once per session and input in the shared folder, and read back."""
     def build():
         root = scratch_path(spark, f"store-{name}-{uuid.uuid4().hex}")
-        store.init_tables(spark, root)
-        store.write_horizons(store.project_horizons(raw_features(daily(spark, sf), None, BACKEND_PERIODS)), root)
+        store.sync_store(spark, root, daily(spark, sf))
         if then:
             then(root)
         return root
@@ -245,7 +244,7 @@ def q_latest_dates(spark, sf):
 
 
 def q_sync_status(spark, sf):
-    return store.sync_status(P.daily(spark, sf), _store(spark, sf, "snapshot", _snapshot)["daily"])
+    return store.sync_status(P.daily(spark, sf), _store(spark, sf, "snapshot", _snapshot))
 
 
 def q_incremental_upsert(spark, sf):

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session used with this package should carry.  AQE re-plans
 # joins at runtime from measured stage sizes (broadcast only when the measured
@@ -82,3 +83,16 @@ def session_key(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written stage tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back: what reads it starts from files, not from its lineage.
+
+    The table goes when the driver's JVM ends.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, f"written/{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)

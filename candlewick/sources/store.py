@@ -1,24 +1,28 @@
 """Per-horizon indicator store and stage hand-off.
 
-The store is three parquet tables (daily, weekly, monthly), each keyed by
-(ticker, Date) and partitioned by ticker, so a sync rewrites only the
-partitions of the tickers it touched (dynamic partition overwrite).  All
-operators below are DataFrame -> DataFrame; the ``write_*`` helpers are the
-only actions.
+The store is three tables (daily, weekly, monthly), each keyed by (ticker,
+Date), and the state from which they are advanced (``operators.incremental``).
+All of them are partitioned by year and ticker bucket and change together, by
+one commit of ``versions``: a sync writes the partitions from the first new bar
+on and reads the state before it, not the history.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.calendar import HORIZONS, known_horizon
+from ..operators import incremental
 from ..operators.features import split_by_horizon
-from ..operators.indicators import BACKEND_PERIODS, raw_features, trim_to_start
+from ..operators.indicators import BACKEND_PERIODS, HORIZON_KEYS, trim_to_start
+from ..session import written
+from . import versions
 
 KEYS = ("ticker", "Date")
 
@@ -65,23 +69,40 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def init_tables(spark: SparkSession, root: str, periods: Sequence[int] = BACKEND_PERIODS) -> None:
-    """Create the empty tables that are absent; a table that is there keeps its rows."""
-    for h in HORIZONS:
-        path = os.path.join(root, h)
-        if not exists(spark, path):
-            spark.createDataFrame([], store_schema(h, periods)).write.mode("ignore").partitionBy("ticker").parquet(path)
+def init_tables(spark: SparkSession, root: str) -> None:
+    """Make the empty tables where there are none; tables that are there keep their rows."""
+    held = versions.latest(spark, root)
+    missing = {t: {} for t in (*HORIZONS, *STATE_TABLES) if t not in held.tables}
+    if missing:
+        versions.commit(spark, held, missing)
+
 
+def open_store(spark: SparkSession, root: str, periods: Sequence[int] = BACKEND_PERIODS, number: int | None = None) -> dict[str, DataFrame]:
+    """The three tables at one version, the newest or the given one: later commits do not change what they read."""
+    held = versions.latest(spark, root) if number is None else versions.at(spark, root, number)
+    return {h: held.read(spark, h, store_schema(h, periods)) for h in HORIZONS}
 
-def open_store(spark: SparkSession, root: str, periods: Sequence[int] = BACKEND_PERIODS) -> dict[str, DataFrame]:
-    """The three tables of an initialised store."""
-    return {h: spark.read.schema(store_schema(h, periods)).parquet(os.path.join(root, h)) for h in HORIZONS}
 
+def write_horizons(tables: dict[str, DataFrame], root: str, periods: Sequence[int] = BACKEND_PERIODS) -> versions.Version:
+    """A11 (write half): replace all rows of the tickers that the tables hold, in one commit.
 
-def write_horizons(tables: dict[str, DataFrame], root: str) -> None:
-    """A11 (write half): replace the partitions of the tickers that the tables hold."""
-    for h, table in tables.items():
-        write_stage(table, os.path.join(root, h), ["ticker"])
+    Their kept state goes with their rows: the next sync computes it anew.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    base = versions.latest(spark, root)
+    tables = {h: written(t, f"replace-{h}") for h, t in tables.items()}
+    named = _union_all([t.select("ticker") for t in tables.values()]).distinct()
+    buckets = {r[0] for r in named.select(versions.bucket(F.col("ticker"))).distinct().collect()}
+    changes = {}
+    for table in (*HORIZONS, *STATE_TABLES):
+        schema, year = _layout(table, periods)
+        if table in HORIZONS and table not in tables:
+            continue
+        old = base.read(spark, table, schema, lambda y, b: b in buckets).join(named, "ticker", "left_anti")
+        rows = old.unionByName(tables[table].select(*schema.fieldNames())) if table in tables else old
+        gone = {part: None for part in base.tables.get(table, {}) if part[1] in buckets}
+        changes[table] = gone | versions.write_partitions(rows, root, table, year)
+    return versions.commit(spark, base, changes)
 
 
 def project_horizons(features: DataFrame, periods: Sequence[int] = BACKEND_PERIODS) -> dict[str, DataFrame]:
@@ -97,47 +118,121 @@ def project_horizons(features: DataFrame, periods: Sequence[int] = BACKEND_PERIO
     return out
 
 
-def upsert(table: DataFrame, delta: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def upsert(table: DataFrame, delta: DataFrame, keys: Sequence[str] = KEYS, latest_by: Sequence[str] = ()) -> DataFrame:
     """A10: keyed merge, the delta wins on equal keys; columns missing on either
     side are NULL.  Idempotent: merging the same delta twice changes nothing.
-    Rows of the delta that share a key are one row; which of them is undefined."""
-    new = delta.dropDuplicates(list(keys))
+
+    Of the delta's rows that share a key the one with the largest ``latest_by``
+    values wins, compared in turn, nulls lowest; what is still equal (or without
+    ``latest_by``) is decided by the other columns' values, largest first, so
+    the winner never depends on the order in which rows arrive.
+    """
+    new = latest_rows(delta, keys, latest_by)
     return table.join(new.select(*keys), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def merge_features(spark: SparkSession, root: str, daily: DataFrame, tickers: DataFrame, periods: Sequence[int] = BACKEND_PERIODS,
-                   corrected_from: DataFrame | None = None, default_start: str | None = None) -> None:
-    """Recompute the named ``tickers`` on their full history (semi-join below
-    the windows) and merge into each table the rows after its last date and,
-    where ``corrected_from(ticker, _from)`` names an earlier bar, from there on.
+def latest_rows(delta: DataFrame, keys: Sequence[str], latest_by: Sequence[str] = ()) -> DataFrame:
+    """One row per key, as ``upsert`` chooses it; the ``latest_by`` columns are dropped."""
+    rest = [c for c in delta.columns if c not in keys and c not in latest_by]
+    if not rest:
+        return delta.select(*keys).distinct()
+    best = F.max(F.struct(*latest_by, F.struct(*rest).alias("_winner"))).alias("_best")
+    return delta.groupBy(*keys).agg(best).select(*keys, "_best._winner.*").select(*[c for c in delta.columns if c not in latest_by])
+
 
-    With a ``default_start``, tables hold later dates only; batch and stream
-    share this rule.  Only partitions of those tickers are rewritten.
+#: State beside the horizon tables: daily rows and candles with their recurrences, and marks that tell how far back to read.
+STATE_TABLES = ("daily_state", "weekly_state", "monthly_state", "marks")
+
+
+def _layout(table: str, periods: Sequence[int]) -> tuple[T.StructType, F.Column]:
+    """Schema of a stored table and the year that its rows are filed under; candles and marks are few and filed under 0."""
+    if table in HORIZONS:
+        return store_schema(table, periods), F.year("Date")
+    if table == "daily_state":
+        return incremental.daily_state_schema(periods), F.year("Date")
+    if table == "marks":
+        return incremental.MARK_SCHEMA, F.lit(0)
+    return incremental.candle_state_schema(table.removesuffix("_state"), periods), F.lit(0)
+
+
+def _union_all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def read_state(spark: SparkSession, held: versions.Version, new: DataFrame, periods: Sequence[int] = BACKEND_PERIODS) -> incremental.State:
+    """The state of the tickers in ``new`` before their first row there, and what is kept after it.
+
+    The marks of the years before tell from which year on each bucket's daily
+    rows are needed; older partitions are neither listed nor read.
     """
-    features = raw_features(daily.join(tickers, "ticker", "left_semi"), None, periods)
-    tables = project_horizons(trim_to_start(features, default_start) if default_start else features, periods)
-    init_tables(spark, root, periods)
-    store = open_store(spark, root, periods)
-    for h in HORIZONS:
-        current = store[h].join(tickers, "ticker", "left_semi")
-        after = tickers.join(current.groupBy("ticker").agg(F.max("Date").alias("_last")), "ticker", "left").select(
-            "ticker", "_last")
-        rows = tables[h].join(after, "ticker")
-        new = F.col("_last").isNull() | (F.col("Date") > F.col("_last"))
-        if corrected_from is not None:
-            rows = rows.join(corrected_from, "ticker", "left")
-            new |= F.col("Date") >= F.col("_from")
-        delta = rows.where(new).select(*store[h].columns)
-        merged = upsert(current, delta).select(*store[h].columns).checkpoint()  # the partitions below are overwritten from this
-        write_horizons({h: merged}, root)
-
-
-def sync_store(spark: SparkSession, root: str, daily: DataFrame, periods: Sequence[int] = BACKEND_PERIODS) -> None:
-    """D7 in one batch: bring the tables of every stale ticker up to ``daily``; synced ones cost nothing."""
-    init_tables(spark, root, periods)
-    status = sync_status(daily, open_store(spark, root, periods)["daily"])
-    stale = status.where(~F.col("is_synced")).select("ticker").checkpoint()  # it reads what is rewritten
-    merge_features(spark, root, daily, stale, periods)
+    first = new.groupBy("ticker").agg(F.min("Date").alias("_from"))
+    marks = held.read(spark, "marks", incremental.MARK_SCHEMA).join(first, "ticker", "right").where(
+        F.col("in_year").isNull() | (F.col("in_year") <= F.year("_from")))
+    # A mark of the year itself may lie after the first new bar; the one before bounds its reach from below.
+    reach = marks.groupBy("ticker", "_from").agg(
+        F.max_by("halo_from", F.when(F.col("in_year") < F.year("_from"), F.col("in_year"))).alias("reach"))
+    start = reach.groupBy(versions.bucket(F.col("ticker")).alias("bucket")).agg(F.min(F.year(F.coalesce("reach", "_from"))).alias("year"))
+    since = {r["bucket"]: r["year"] for r in start.collect()}  # one row a bucket
+    daily = held.read(spark, "daily_state", incremental.daily_state_schema(periods), lambda y, b: y >= since.get(b, 1 << 30))
+    candles = {h: held.read(spark, f"{h}_state", incremental.candle_state_schema(h, periods), lambda y, b: b in since) for h in HORIZON_KEYS}
+    return incremental.State(daily, candles)
+
+
+def apply_bars(spark: SparkSession, root: str, new: DataFrame, periods: Sequence[int] = BACKEND_PERIODS,
+               batch: tuple[str, int] | None = None, default_start: str | None = None) -> versions.Version:
+    """Bring state and tables up to ``new``, daily rows that are new or corrected, in one commit.
+
+    One row per (ticker, Date) is taken (see ``upsert``). With a
+    ``default_start`` the tables hold later dates only; the state holds all.
+    ``batch`` (stream, number) makes a replay of the same or an earlier batch a
+    no-op. A failure before the commit changes nothing that a reader sees.
+    """
+    init_tables(spark, root)
+    base = versions.latest(spark, root)
+    if base.has_batch(batch):
+        return base
+    new = written(latest_rows(new, KEYS), "new-bars")
+    if new.isEmpty():
+        return versions.commit(spark, base, {}, batch) if batch else base
+    done = incremental.advance(new, read_state(spark, base, new, periods), periods)
+    features = trim_to_start(done.features, default_start) if default_start else done.features
+    rows = {**project_horizons(features, periods), "daily_state": done.daily, "marks": done.marks,
+            **{f"{h}_state": c for h, c in done.candles.items()}}
+    key = {"weekly_state": ("week_id", "_week"), "monthly_state": ("month_id", "_month"), "marks": ("in_year", "_year")}
+    first = done.first.withColumn("_year", F.year("_from"))
+
+    def replace(table: str) -> dict:
+        """The table's partitions that get new rows: what they held before the first new row of each ticker, and the new rows."""
+        schema, year = _layout(table, periods)
+        column, start = key.get(table, ("Date", "_from"))
+        own = rows[table].select(*schema.fieldNames())
+        touched = {tuple(r) for r in own.select(year.cast("int"), versions.bucket(F.col("ticker"))).distinct().collect()}
+        old = base.read(spark, table, schema, lambda y, b: (y, b) in touched).join(first.select("ticker", start), "ticker", "left").where(
+            F.col(start).isNull() | (F.col(column) < F.col(start))).drop(start)
+        return versions.write_partitions(old.unionByName(own), root, table, year)
+
+    with ThreadPoolExecutor(max_workers=len(rows)) as pool:
+        changes = dict(zip(rows, pool.map(replace, rows)))
+    return versions.commit(spark, base, changes, batch)
+
+
+def sync_store(spark: SparkSession, root: str, daily: DataFrame, periods: Sequence[int] = BACKEND_PERIODS,
+               default_start: str | None = None) -> versions.Version:
+    """D7 in one batch: apply the rows of ``daily`` after the last date that all three tables of a ticker hold.
+
+    Synced tickers cost nothing; one whose state is missing is computed from its first bar.
+    """
+    init_tables(spark, root)
+    held = versions.latest(spark, root)
+    status = sync_status(daily, open_store(spark, root, periods))
+    known = held.read(spark, "marks", incremental.MARK_SCHEMA).select("ticker").distinct()
+    stale = status.where(~F.col("is_synced")).join(known.withColumn("_known", F.lit(True)), "ticker", "left").select(
+        "ticker", F.when(F.col("_known"), F.col("db_latest")).alias("_after"))
+    new = daily.join(stale, "ticker").where(F.col("_after").isNull() | (F.col("Date") > F.col("_after"))).drop("_after")
+    return apply_bars(spark, root, new, periods, default_start=default_start)
 
 
 def read_horizon(store: dict[str, DataFrame], horizon: str, start_date: str | None = None,
@@ -154,10 +249,19 @@ def read_horizon(store: dict[str, DataFrame], horizon: str, start_date: str | No
 
 def unknown_tickers(requested: DataFrame, store_daily: DataFrame) -> DataFrame:
     """Requested tickers absent from the store (left anti join on the
-    small distinct ticker lists); callers raise when it is non-empty."""
+    small distinct ticker lists)."""
     return requested.select("ticker").distinct().join(store_daily.select("ticker").distinct(), "ticker", "left_anti")
 
 
+def known_tickers(requested: DataFrame, store_daily: DataFrame, named: int = 10) -> DataFrame:
+    """The distinct requested tickers; raises a KeyError that names some of those the store does not hold."""
+    missing = [r.ticker for r in unknown_tickers(requested, store_daily).orderBy("ticker").limit(named + 1).collect()]
+    if missing:
+        more = " and more" if len(missing) > named else ""
+        raise KeyError(f"no such ticker in the store: {', '.join(map(str, missing[:named]))}{more}")
+    return requested.select("ticker").distinct()
+
+
 def as_records(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Rows as (keys, struct of features) snapshot records."""
     feats = [c for c in df.columns if c not in keys]
@@ -174,11 +278,15 @@ def latest_dates(store: dict[str, DataFrame]) -> DataFrame:
     return out.select("ticker", "horizon", "latest_date")
 
 
-def sync_status(source_bars: DataFrame, store_daily: DataFrame) -> DataFrame:
-    """D6 (J5 + B14): source-latest vs store-latest per ticker; synced only when
-    both exist and are the same day."""
+def sync_status(source_bars: DataFrame, store: dict[str, DataFrame]) -> DataFrame:
+    """D6 (J5 + B14): source-latest vs store-latest per ticker.
+
+    The store's date is the least of its tables' latest ones, null if a table
+    lacks the ticker; synced only when both sides exist and are the same day.
+    """
     src = source_bars.groupBy("ticker").agg(F.max("Date").alias("source_latest"))
-    db = store_daily.groupBy("ticker").agg(F.max("Date").alias("db_latest"))
+    latest = _union_all([t.groupBy("ticker").agg(F.max("Date").alias("_last")) for t in store.values()])
+    db = latest.groupBy("ticker").agg(F.when(F.count("*") == len(store), F.min("_last")).alias("db_latest"))
     synced = F.coalesce(F.col("source_latest") == F.col("db_latest"), F.lit(False))
     return src.join(db, "ticker", "left").select("ticker", "source_latest", "db_latest", synced.alias("is_synced"))
 

@@ -3,13 +3,13 @@
 New daily bars land as parquet files in ``source_dir``.  Each micro-batch
 (``foreachBatch``, trigger ``availableNow`` by default):
 
-1. appends the batch to the bar history (``store_dir/bars``, partitioned by
-   ticker) with a keyed merge, so replaying an epoch changes nothing;
-2. recomputes the raw indicators of the *touched tickers only* on their full
-   history (semi-join before the windows);
-3. merges into the three horizon tables (``store_dir/<horizon>``) the rows
-   after each ticker's last date and, where a batch corrects an earlier bar,
-   every row from that bar on; only touched ticker partitions are rewritten.
+1. keeps the latest row of every (ticker, Date): by the file's modification
+   time, then its path, then the row's place in it;
+2. advances the state of the touched tickers from the row before their first
+   bar in the batch (``store.apply_bars``): new and corrected bars alike, and
+   the bars kept after them; older bars are not read;
+3. commits state and the three horizon tables at once, with the batch's number:
+   a replayed batch, or one that was stopped midway, leaves no trace.
 
 The stream's checkpoint lives in the shared checkpoint folder, so a restarted
 job resumes after the last committed epoch.
@@ -17,40 +17,41 @@ job resumes after the last committed epoch.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.indicators import BACKEND_PERIODS, daily_frame
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sources.bars import BAR_SCHEMA
-from ..sources.store import exists, merge_features, upsert, write_stage
+from ..sources.store import KEYS, apply_bars, latest_rows
+from ..sources.versions import Version
 
+#: Where a streamed row comes from, in the order in which later rows win.
+ARRIVAL = ("_modified", "_path", "_place")
 
-def sync_batch(batch: DataFrame, store_dir: str, gauge: DataFrame | None,
-               periods: Sequence[int] = BACKEND_PERIODS) -> None:
+
+def sync_batch(batch: DataFrame, store_dir: str, gauge: DataFrame | None, periods: Sequence[int] = BACKEND_PERIODS,
+               number: tuple[str, int] | None = None, default_start: str | None = None) -> Version:
     """One micro-batch of the sync (also usable as a plain batch step)."""
-    spark = batch.sparkSession
-    first = batch.groupBy("ticker").agg(F.min("Date").alias("_from")).checkpoint()
-    touched = first.select("ticker")
-    path = os.path.join(store_dir, "bars")
-    known = exists(spark, path)
-    old = spark.read.schema(BAR_SCHEMA).parquet(path) if known else spark.createDataFrame([], BAR_SCHEMA)
-    bars = upsert(old.join(touched, "ticker", "left_semi"), batch.select(*BAR_SCHEMA.fieldNames()))
-    bars = bars.checkpoint()          # the partitions below are overwritten from this
-    write_stage(bars, path, ["ticker"])
-    merge_features(spark, store_dir, daily_frame(bars, gauge), touched, periods, first)
+    order = [c for c in ARRIVAL if c in batch.columns]
+    bars = written(latest_rows(batch.select(*BAR_SCHEMA.fieldNames(), *order), KEYS, order), "batch")
+    return apply_bars(batch.sparkSession, store_dir, daily_frame(bars, gauge), periods, number, default_start)
 
 
 def start_sync(spark: SparkSession, source_dir: str, store_dir: str, gauge: DataFrame | None = None,
                periods: Sequence[int] = BACKEND_PERIODS, available_now: bool = True,
-               checkpoint_location: str | None = None):
-    """Start the streaming sync; returns the StreamingQuery."""
-    stream = spark.readStream.schema(BAR_SCHEMA).parquet(source_dir).dropna(subset=["Close"])
-    writer = (stream.writeStream
-              .foreachBatch(lambda df, epoch: sync_batch(df, store_dir, gauge, periods))
+               checkpoint_location: str | None = None, stream: str = "bars", default_start: str | None = None):
+    """Start the streaming sync; returns the StreamingQuery.
+
+    ``stream`` names the source in the store's manifest: two streams into one
+    store need two names.
+    """
+    meta = [F.col(f"_metadata.{m}").alias(c) for m, c in zip(("file_modification_time", "file_path", "row_index"), ARRIVAL)]
+    bars = spark.readStream.schema(BAR_SCHEMA).parquet(source_dir).select("*", *meta).dropna(subset=["Close"])
+    writer = (bars.writeStream
+              .foreachBatch(lambda df, epoch: sync_batch(df, store_dir, gauge, periods, (stream, epoch), default_start))
               .option("checkpointLocation", checkpoint_location or scratch_path(spark, "sync-stream")))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from candlewick.operators.indicators import BACKEND_PERIODS, raw_features
 from candlewick.sources.bars import load_bars, load_gauge
-from candlewick.sources.store import project_horizons
+from candlewick.sources.store import open_store, project_horizons
 from candlewick.streaming.sync import start_sync
 
 
@@ -19,7 +19,7 @@ def test_streaming_sync_equals_full_recompute(spark, sf):
     bars.where(F.col("Date") > cut).write.mode("append").parquet(src)
     q = start_sync(spark, src, store_dir, gauge, checkpoint_location=f"{work}/ckpt")
     q.awaitTermination()
-    got = spark.read.parquet(f"{store_dir}/daily")
+    got = open_store(spark, store_dir)["daily"]
     exp = project_horizons(raw_features(bars, gauge, BACKEND_PERIODS))["daily"]
     cols = exp.columns
     rounded = lambda df: df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c)
