@@ -15,6 +15,7 @@ of it is the code of the full computation, run on the kept rows and the new ones
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -23,28 +24,21 @@ from pyspark.sql import types as T
 
 from ..session import written
 from .indicators import (
-    BB_PERIOD,
     HORIZON_KEYS,
-    RSI_MA_LENGTH,
-    VOLUME_AVG_WINDOW,
     _catalogue as catalogue,
     candle_lookups,
     candle_recurrences,
     candle_sums,
     daily_recurrences,
     indicator_rows,
+    longest_frame,
 )
 
 BAR_COLUMNS = ("Open", "High", "Low", "Close", "Volume", "vix_close")
 
 
-def halo_rows(periods: Sequence[int]) -> int:
-    """Daily rows before a row that its rolling frames and its open month (at most 31 days) reach back to."""
-    return max(*periods, VOLUME_AVG_WINDOW, BB_PERIOD, RSI_MA_LENGTH, 32)
-
-
 def daily_state_schema(periods: Sequence[int]) -> T.StructType:
-    """A daily row with its recurrences; ``halo_from`` is the date ``halo_rows`` rows before it (the first if there are fewer)."""
+    """A daily row with its recurrences; ``halo_from`` is the date ``longest_frame`` rows before it (the first if there are fewer)."""
     values = [*BAR_COLUMNS, *[f"_ema{p}" for p in periods], "_G", "_L", "_rsi"]
     return T.StructType([T.StructField("ticker", T.StringType()), T.StructField("Date", T.DateType()),
                          T.StructField("week_id", T.IntegerType()), T.StructField("month_id", T.IntegerType()),
@@ -122,22 +116,26 @@ def advance(new: DataFrame, state: State, periods: Sequence[int]) -> Advance:
     halo = halo.select(*base, *reached, "_rsi").withColumn("_new", F.lit(False))
     together = halo.unionByName(computed.withColumn("_new", F.lit(True)))
     back = Window.partitionBy("ticker").orderBy("Date")
-    reach = F.coalesce(F.lag("Date", halo_rows(periods)).over(back), F.first("Date").over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    reach = F.coalesce(F.lag("Date", longest_frame(periods)).over(back), F.first("Date").over(back.rowsBetween(Window.unboundedPreceding, 0)))
     together = written(together.withColumns({"halo_from": reach, "_prev_close": F.lag("Close").over(back)}), "advanced")
     daily = together.where("_new").select(*daily_state_schema(periods).fieldNames())
 
-    candles, lookups = {}, {}
-    for h, (pid, _) in HORIZON_KEYS.items():
-        start = {"weekly": "_week", "monthly": "_month"}[h]
+    def one(h: str) -> tuple[DataFrame, DataFrame]:
+        """The horizon's candles from the open one on, and what daily rows look up in them and in the earlier ones."""
+        pid, start = HORIZON_KEYS[h][0], {"weekly": "_week", "monthly": "_month"}[h]
         values = [*[f"ema{p}" for p in periods], "G", "L"]
-        earlier = state.candles[h].join(first.select("ticker", start), "ticker").where(F.col(pid) < F.col(start)).drop(start)
-        seed = _as_seed(_last_before(state.candles[h], first.select("ticker", start), pid, start).drop("pret", "crsi"), values, lambda c: f"{c}_0")
-        sums = candle_sums(together.join(first.select("ticker", start), "ticker").where(F.col(pid) >= F.col(start)), h)
+        own = first.select("ticker", start)
+        earlier = state.candles[h].join(own, "ticker").where(F.col(pid) < F.col(start)).drop(start)
+        seed = _as_seed(_last_before(state.candles[h], own, pid, start).drop("pret", "crsi"), values, lambda c: f"{c}_0")
+        sums = candle_sums(together.join(own, "ticker").where(F.col(pid) >= F.col(start)), h)
         fed = seed.unionByName(sums.withColumn("_seed", F.lit(False)), allowMissingColumns=True)
         names = candle_state_schema(h, periods).fieldNames()
-        candles[h] = written(candle_recurrences(fed, h, periods, seeded=True).where("NOT _seed").select(*names), f"{h}-candles")
-        lookups[h] = candle_lookups(earlier.select(*names).unionByName(candles[h]), h, periods)
+        new = written(candle_recurrences(fed, h, periods, seeded=True).where("NOT _seed").select(*names), f"{h}-candles")
+        return new, candle_lookups(earlier.select(*names).unionByName(new), h, periods)
 
+    with ThreadPoolExecutor(max_workers=len(HORIZON_KEYS)) as pool:
+        made = dict(zip(HORIZON_KEYS, pool.map(one, HORIZON_KEYS)))
+    candles, lookups = {h: m[0] for h, m in made.items()}, {h: m[1] for h, m in made.items()}
     features = indicator_rows(together, lookups.__getitem__, periods, catalogue(periods))
     features = features.join(first.select("ticker", "_from"), "ticker").where(F.col("Date") >= F.col("_from")).drop("_from")
     marks = daily.groupBy("ticker", F.year("Date").alias("in_year")).agg(F.max("Date").alias("last"), F.max_by("halo_from", "Date").alias("halo_from"))

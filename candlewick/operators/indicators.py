@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import month_id, week_id
 from ..sources.bars import drop_missing_close
+from .ranges import blocked
 from .seq import ewm_mean, frame_sql, over_sql, rolling_sql, running_sql, shift_sql
 
 # Fixed values of the indicator definitions.
@@ -179,12 +180,12 @@ def daily_recurrences(daily: DataFrame, periods: Sequence[int], averages: bool =
     return df.selectExpr("*", *extra).selectExpr("*", f"{_rsi('_G', '_L')} AS _rsi")
 
 
-def _candle_columns(horizon: str, periods: Sequence[int]) -> dict[str, str]:
+def _candle_columns(horizon: str, periods: Sequence[int], series: Sequence[str] = ("ticker",)) -> dict[str, str]:
     """Daily-row expressions of one horizon (the open candle folded into the
     closed-candle statistics joined from ``period_table``)."""
     pid, s = HORIZON_KEYS[horizon]
     word = "weekly" if horizon == "weekly" else "monthly"
-    keys = ("ticker", pid)
+    keys = (*series, pid)
     c = lambda n: f"{s}_{n}"
     whole = over_sql(keys, "Date", frame_sql(None, None))
     cand_open = f"first(Open, true) {whole}"
@@ -259,7 +260,8 @@ def raw_features(bars: DataFrame, gauge: DataFrame | None,
                  periods: Sequence[int] = BACKEND_PERIODS,
                  start_date: str | None = None,
                  blocks: Sequence[str] | None = None,
-                 columns: Sequence[str] | None = None) -> DataFrame:
+                 columns: Sequence[str] | None = None,
+                 block_rows: int | None = None) -> DataFrame:
     """All raw indicator columns for every ticker: ``Date, ticker, <catalogue>``.
 
     ``blocks`` restricts the output to some of X1..X8 (see ``BLOCKS``) and
@@ -267,6 +269,10 @@ def raw_features(bars: DataFrame, gauge: DataFrame | None,
     windows, scans and period joins those columns need.  ``start_date`` trims
     rows (strict >) *after* all windows ran on the full history (B4).
 
+    ``block_rows`` cuts each ticker's daily rows into blocks of so many (at
+    least the longest frame) for the windows over daily rows, for series too
+    long for one task; the results are the same.
+
     ``bars`` may be raw bars or a prepared ``daily_frame`` (for example one
     materialized and hash-partitioned by ticker), in which case ``gauge`` is
     not used again.
@@ -284,18 +290,32 @@ def raw_features(bars: DataFrame, gauge: DataFrame | None,
         daily = daily_frame(bars, gauge).repartition("ticker")
     df = daily_recurrences(daily, periods, any(n.startswith("ema_daily_") for n in wanted),
                            any(n.startswith("rsi_") and n.endswith("daily") for n in wanted))
-    out = indicator_rows(df, lambda h: period_table(daily, h, periods), periods, wanted)
+    out = indicator_rows(df, lambda h: period_table(daily, h, periods), periods, wanted, block_rows)
     if start_date is not None:
         out = trim_to_start(out, start_date)
     return out
 
 
-def indicator_rows(df: DataFrame, lookups, periods: Sequence[int], wanted: Sequence[str]) -> DataFrame:
+#: Daily rows that a row's open candle can reach to either side, at most a month's days.
+CANDLE_ROWS = 31
+
+
+def longest_frame(periods: Sequence[int]) -> int:
+    """Daily rows before a row that its rolling frames and its open month reach back to."""
+    return max(*periods, VOLUME_AVG_WINDOW, BB_PERIOD, RSI_MA_LENGTH, CANDLE_ROWS + 1)
+
+
+def indicator_rows(df: DataFrame, lookups, periods: Sequence[int], wanted: Sequence[str], block_rows: int | None = None) -> DataFrame:
     """The ``wanted`` catalogue columns of daily rows that have their recurrences;
-    ``lookups(horizon)`` gives the table of ``candle_lookups``."""
-    keys = ("ticker",)
+    ``lookups(horizon)`` gives the table of ``candle_lookups``; blocks as in ``raw_features``."""
+    keys: tuple[str, ...] = ("ticker",)
+    if block_rows is not None:
+        reach = longest_frame(periods)
+        df = blocked(df, keys, "Date", max(block_rows, reach), reach, CANDLE_ROWS)
+        keys = ("ticker", "__block")
+        df = df.drop("_prev_close").selectExpr("*", f"{shift_sql('Close', keys, 'Date')} AS _prev_close")
     prev = lambda x: shift_sql(x, keys, "Date")
-    cand = {h: _candle_columns(h, periods) for h in HORIZON_KEYS}
+    cand = {h: _candle_columns(h, periods, keys) for h in HORIZON_KEYS}
     for h, (pid, _) in HORIZON_KEYS.items():
         if any(n in cand[h] for n in wanted):
             df = df.join(lookups(h), ["ticker", pid], "left")
@@ -323,7 +343,9 @@ def indicator_rows(df: DataFrame, lookups, periods: Sequence[int], wanted: Seque
     cols["vix_daily_last"] = prev("vix_close")
     for h in HORIZON_KEYS:
         cols.update(cand[h])
-    return df.selectExpr("Date", "ticker", *[f"CAST({cols[n]} AS DOUBLE) AS {n}" for n in wanted])
+    own = [] if block_rows is None else ["__own"]
+    out = df.selectExpr("Date", "ticker", *own, *[f"CAST({cols[n]} AS DOUBLE) AS {n}" for n in wanted])
+    return out.where("__own").drop("__own") if own else out
 
 
 def trim_to_start(features: DataFrame, start_date: str | None = DEFAULT_START) -> DataFrame:

@@ -38,14 +38,14 @@ def baseline_scores(split: DataFrame, target: str, by: Sequence[str] = ("ticker"
 
 
 # ---------------------------------------------------------------- frame and metadata of the fitted model
-# Per-horizon boosting budget (rounds, learning rate, depth
-# limit, minimum rows per leaf, row and column subsampling) and seed.  The
-# forest takes the tree limits and the subsampling; rounds, learning rate,
-# early stopping, leaf-count and L1/L2 penalties have no counterpart in it.
+# Per-horizon depth limit, minimum rows per leaf, row and column
+# subsampling, and seed.  Boosting rounds, learning rate, early stopping,
+# leaf-count and L1/L2 penalties have no counterpart in a forest; its number of
+# trees is chosen by cross validation.
 HORIZON_PARAMS = {
-    "daily": {"rounds": 600, "lr": 0.03, "max_depth": 5, "min_leaf": 40, "subsample": 0.8, "colsample": 0.8},
-    "weekly": {"rounds": 500, "lr": 0.025, "max_depth": 6, "min_leaf": 60, "subsample": 0.8, "colsample": 0.8},
-    "monthly": {"rounds": 400, "lr": 0.02, "max_depth": 4, "min_leaf": 80, "subsample": 0.7, "colsample": 0.7},
+    "daily": {"max_depth": 5, "min_leaf": 40, "subsample": 0.8, "colsample": 0.8},
+    "weekly": {"max_depth": 6, "min_leaf": 60, "subsample": 0.8, "colsample": 0.8},
+    "monthly": {"max_depth": 4, "min_leaf": 80, "subsample": 0.7, "colsample": 0.7},
 }
 SEED = 42
 

@@ -872,6 +872,36 @@ def sql_snapshot_records() -> str:
     return q.render(final(["ticker", "Date", *cols], raw_cte(q, BACKEND_PERIODS), cols))
 
 
+def sql_long_series() -> str:
+    q = Sql()
+    series = "PARTITION BY event_type ORDER BY ts, event_id"
+    frame = lambda n: f"OVER ({series} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    least = lambda e, n, k: f"CASE WHEN count(value) {frame(n)} >= {k} THEN {e} {frame(n)} END"
+    up_to = f"OVER ({series} ROWS UNBOUNDED PRECEDING)"
+    q.add("w", f"""SELECT event_id, event_type, {least('avg(value)', 200, 200)} AS mean_200, {least('stddev_samp(value)', 50, 25)} AS std_50,
+        {least('min(value)', 20, 1)} AS low_20, lag(value) OVER ({series}) AS before, lead(value) OVER ({series}) AS after,
+        CASE WHEN value IS NOT NULL THEN sum(value) {up_to} END AS total, CASE WHEN value IS NOT NULL THEN max(value) {up_to} END AS top,
+        CASE WHEN value IS NOT NULL THEN count(value) {up_to} END AS n FROM events""")
+    doubles = ["mean_200", "std_50", "low_20", "before", "after", "total", "top"]
+    return q.render(final(["event_id", "event_type", *doubles, "n"], "w", doubles))
+
+
+def sql_events_asof() -> str:
+    q = Sql()
+    q.add("e", "SELECT event_id, user_id, ts - INTERVAL 24 YEAR AS moment FROM events")
+    q.add("o", "SELECT o_custkey % 500 AS u, o_orderdate AS t, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS p FROM orders GROUP BY ALL")
+    q.add("j", """SELECT event_id, user_id, CASE WHEN moment <= t + INTERVAL 90 DAY THEN o_orderkey END AS o_orderkey,
+        CASE WHEN moment <= t + INTERVAL 90 DAY THEN p END AS o_totalprice FROM e ASOF LEFT JOIN o ON user_id = u AND moment >= t""")
+    return q.render(final(["event_id", "user_id", "o_orderkey", "o_totalprice"], "j", ["o_totalprice"]))
+
+
+def sql_cv_curve(trees: int = 60) -> str:
+    folds = sql_kfold()
+    return f"""WITH f AS (SELECT horizon, fold, count(*) AS n_rows FROM ({folds}) GROUP BY ALL)
+        SELECT horizon, fold, quantile, trees::INTEGER AS trees, n_rows, true AS has_loss
+        FROM f, (SELECT unnest(['q10', 'q50', 'q90']) AS quantile), (SELECT unnest(range(1, {trees + 1})) AS trees)"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {"bars_daily": sql_bars_daily()}
     for name in BLOCKS:
@@ -902,6 +932,6 @@ def oracle_sql() -> dict[str, str]:
         "market_snapshot": sql_market_snapshot(), "profit_estimate": sql_profit_estimate(),
         "forecast_card": sql_forecast_card(), "market_summary": sql_market_summary(),
         "interval_sample": sql_interval_sample(), "residual_hist": sql_residual_hist(),
-        "store_read": sql_store_read(),
+        "store_read": sql_store_read(), "long_series": sql_long_series(), "events_asof": sql_events_asof(), "cv_curve": sql_cv_curve(),
     })
     return out

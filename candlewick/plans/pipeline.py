@@ -61,8 +61,8 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw(spark: SparkSession, sf_dir: str, periods: Sequence[int] = BACKEND_PERIODS,
-        blocks: Sequence[str] | None = None, start_date: str | None = None) -> DataFrame:
-    return raw_features(daily(spark, sf_dir), None, periods, start_date, blocks)
+        blocks: Sequence[str] | None = None, start_date: str | None = None, block_rows: int | None = None) -> DataFrame:
+    return raw_features(daily(spark, sf_dir), None, periods, start_date, blocks, block_rows=block_rows)
 
 
 def pooled(spark: SparkSession, sf_dir: str, periods: Sequence[int] = MODEL_PERIODS) -> DataFrame:

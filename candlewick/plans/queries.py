@@ -19,6 +19,8 @@ from ..operators import decide, eda, evaluate, sampling
 from ..operators.features import (
     align_to,
     ANCHOR,
+    HORIZON_SPEC,
+    REALIZED_VOL_WINDOW,
     engineered_columns,
     history_filter,
     non_finite_to_null,
@@ -28,13 +30,14 @@ from ..operators.features import (
     snapshot_validation,
     union_tables,
 )
-from ..operators.forest import QuantileForest, fit_forest
+from ..operators.ranges import asof_join, series_windows
+from ..operators.forest import QuantileForest, best_trees, curve_summary, fit_forest, learning_curve
 from ..operators.indicators import BACKEND_PERIODS, MODEL_PERIODS
-from ..operators.labels import build_label, embargo, group_folds, sample_weight, split_summary
+from ..operators.labels import N_SPLITS, build_label, embargo, group_folds, sample_weight, split_summary
 from ..operators.model import baseline_scores, model_metadata
 from ..session import scratch_path
 from ..sources import store
-from ..sources.bars import cut_after_last_close, drop_missing_close
+from ..sources.bars import cut_after_last_close, drop_missing_close, table
 from . import pipeline as P
 
 HORIZONS = P.HORIZONS
@@ -73,7 +76,6 @@ FEATURE_BLOCKS = {
     "bb_features": lambda n: n.startswith(("bb_pctb_", "bb_width_")),
     "rel_volume": lambda n: n.startswith("rel_vol_"),
     "range_pct": lambda n: n.startswith("range_pct_"),
-    "realized_vol": lambda n: n.startswith("realized_vol_"),
     "cyclical": lambda n: n.startswith(("dow_", "month_sin", "month_cos")),
     "days_to_close": lambda n: n.startswith("days_to_close_"),
 }
@@ -91,8 +93,39 @@ def _feature_block(pred):
     return q
 
 
+def q_realized_vol(spark, sf):
+    """Rolling deviations of each horizon's returns, windows in blocks."""
+    pooled = P.pooled(spark, sf, MODEL_PERIODS)
+    rolling = [(f"realized_vol_{h}", "stddev_samp", HORIZON_SPEC[h]["rvol"][1], n, max(2, n // 2)) for h, n in REALIZED_VOL_WINDOW.items()]
+    return finish(series_windows(pooled, ["ticker"], "Date", rolling, rows=BLOCK_ROWS).select("Date", "ticker", *[r[0] for r in rolling]))
+
+
+#: Daily rows of a block where windows run in blocks; below the series' length, so that several take part.
+BLOCK_ROWS = 512
+IN_BLOCKS = ("sma", "volume")
+
+
 def _block(b):
-    return lambda spark, sf: finish(P.raw(spark, sf, BACKEND_PERIODS, blocks=[b]))
+    rows = BLOCK_ROWS if b in IN_BLOCKS else None
+    return lambda spark, sf: finish(P.raw(spark, sf, BACKEND_PERIODS, blocks=[b], block_rows=rows))
+
+
+def q_long_series(spark, sf):
+    """W1, W6, W8, W9, W14 over the events of each type, one long series each: in blocks and ranges, no task holds one."""
+    events = table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
+    out = series_windows(events, ["event_type"], "ts", tie=["event_id"], rows=1024,
+                         rolling=[("mean_200", "avg", "value", 200, 200), ("std_50", "stddev_samp", "value", 50, 25), ("low_20", "min", "value", 20, 1)],
+                         shifts=[("before", "value", 1), ("after", "value", -1)],
+                         running=[("total", "sum", "value"), ("top", "max", "value"), ("n", "count", "value")])
+    return finish(out.drop("ts", "value"))
+
+
+def q_events_asof(spark, sf):
+    """J2 with keys, a tolerance and intraday moments: each event, set back 24 years, with its user's last order of the 90 days before."""
+    events = table(spark, sf, "events").select("event_id", "user_id", (F.col("ts") - F.expr("INTERVAL 24 YEARS")).alias("at"))
+    orders = table(spark, sf, "orders").select((F.col("o_custkey") % 500).alias("user_id"), "o_orderdate", "o_orderkey", "o_totalprice")
+    out = asof_join(events, orders, "at", ["user_id"], ["o_orderkey", "o_totalprice"], right_on="o_orderdate", tolerance="90 days", tie=["o_orderkey"])
+    return finish(out.drop("at"))
 
 
 def _names(spark, sf, h):
@@ -134,6 +167,7 @@ def _store(spark, sf, name, daily, then=None):
     """A store filled once per session and input in the shared folder, and read back."""
     def build():
         root = scratch_path(spark, f"store-{name}-{uuid.uuid4().hex}")
+        store.init_tables(spark, root, buckets=len(TICKERS))
         store.sync_store(spark, root, daily(spark, sf))
         if then:
             then(root)
@@ -289,11 +323,24 @@ def q_store_read(spark, sf):
 TICKERS = ("AF", "AO", "NF", "NO", "RF", "RO")  # the series that the line items give (FIXTURES.md)
 
 
+def _folds(spark, sf, h):
+    """The train rows with fold and weight, written once."""
+    return P.stage(spark, ("folds", h, sf, *P.inputs(spark, sf)), lambda: sample_weight(group_folds(_train(spark, sf, h))))
+
+
+def _curve(spark, sf, h):
+    """M4, M6: out-of-fold losses of the horizon for every number of trees, written once."""
+    build = lambda: learning_curve(_folds(spark, sf, h), _names(spark, sf, h), f"target_{h}", h, TICKERS, N_SPLITS)
+    return P.stage(spark, ("curve", h, sf, *P.inputs(spark, sf)), build)
+
+
 def _saved_forest(spark, sf, h, name, rows) -> QuantileForest:
-    """The horizon's forest of this name, fitted on ``rows()`` with their own weights, saved once and loaded."""
+    """The horizon's forest of this name, fitted on ``rows()`` with their own weights and as many trees as
+    cross validation chose (M7), saved once and loaded."""
     def build():
         path = scratch_path(spark, f"{name}-{h}-{uuid.uuid4().hex}")
-        fit_forest(sample_weight(rows()), _names(spark, sf, h), f"target_{h}", h, TICKERS).save(path)
+        trees = best_trees(_curve(spark, sf, h))
+        fit_forest(sample_weight(rows()), _names(spark, sf, h), f"target_{h}", h, TICKERS, trees=trees).save(path)
         return path
     return QuantileForest.load(spark, P.once(spark, (name, h, sf, *P.inputs(spark, sf)), build))
 
@@ -311,6 +358,17 @@ def _final_forest(spark, sf, h) -> QuantileForest:
     return _saved_forest(spark, sf, h, "final-forest", rows)
 
 
+def q_cv_curve(spark, sf):
+    """Folds, quantiles and every number of trees, with the fold's rows and whether a loss was found."""
+    return P.all_horizons(lambda h: _curve(spark, sf, h)).select(
+        "horizon", "fold", "quantile", "trees", "n_rows", (F.col("pinball") > 0).alias("has_loss"))
+
+
+def q_cv_summary(spark, sf):
+    """M5, M7: the loss of every number of trees and the one that the registered fits take."""
+    return curve_summary(P.all_horizons(lambda h: _curve(spark, sf, h)), ["horizon"])
+
+
 def _forecast(spark, sf, h):
     test = P.split(spark, sf, h, PERIODS[h]).where(F.col("part") == "test").withColumn("y", F.col(f"target_{h}"))
     return _forest(spark, sf, h).predict(test, ["Date", "ticker", "y"])
@@ -454,6 +512,8 @@ def registry() -> dict[str, Q]:
         "unknown_tickers": q_unknown_tickers, "history_filter": q_history_filter,
         "non_finite": q_non_finite, "embargo": q_embargo, "stage_handoff": q_stage_handoff, "report_sink": q_report_sink,
         "model_metadata": q_model_metadata, "snapshot_records": q_snapshot_records,
+        "realized_vol": q_realized_vol, "long_series": q_long_series, "events_asof": q_events_asof,
+        "cv_curve": q_cv_curve, "cv_summary": q_cv_summary,
         "model_contract": q_model_contract, "batch_predict": q_batch_predict, "model_evaluate": q_model_evaluate,
     })
     return reg

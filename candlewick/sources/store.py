@@ -69,9 +69,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def init_tables(spark: SparkSession, root: str) -> None:
-    """Make the empty tables where there are none; tables that are there keep their rows."""
+def init_tables(spark: SparkSession, root: str, buckets: int = versions.BUCKETS) -> None:
+    """Make the empty tables where there are none; tables that are there keep their rows and their buckets."""
     held = versions.latest(spark, root)
+    if not held.number:
+        held = versions.Version(root, buckets=buckets)
     missing = {t: {} for t in (*HORIZONS, *STATE_TABLES) if t not in held.tables}
     if missing:
         versions.commit(spark, held, missing)
@@ -92,7 +94,7 @@ def write_horizons(tables: dict[str, DataFrame], root: str, periods: Sequence[in
     base = versions.latest(spark, root)
     tables = {h: written(t, f"replace-{h}") for h, t in tables.items()}
     named = _union_all([t.select("ticker") for t in tables.values()]).distinct()
-    buckets = {r[0] for r in named.select(versions.bucket(F.col("ticker"))).distinct().collect()}
+    buckets = {r[0] for r in named.select(base.bucket(F.col("ticker"))).distinct().collect()}
     changes = {}
     for table in (*HORIZONS, *STATE_TABLES):
         schema, year = _layout(table, periods)
@@ -101,7 +103,7 @@ def write_horizons(tables: dict[str, DataFrame], root: str, periods: Sequence[in
         old = base.read(spark, table, schema, lambda y, b: b in buckets).join(named, "ticker", "left_anti")
         rows = old.unionByName(tables[table].select(*schema.fieldNames())) if table in tables else old
         gone = {part: None for part in base.tables.get(table, {}) if part[1] in buckets}
-        changes[table] = gone | versions.write_partitions(rows, root, table, year)
+        changes[table] = gone | versions.write_partitions(rows, base, table, year)
     return versions.commit(spark, base, changes)
 
 
@@ -174,7 +176,7 @@ def read_state(spark: SparkSession, held: versions.Version, new: DataFrame, peri
     # A mark of the year itself may lie after the first new bar; the one before bounds its reach from below.
     reach = marks.groupBy("ticker", "_from").agg(
         F.max_by("halo_from", F.when(F.col("in_year") < F.year("_from"), F.col("in_year"))).alias("reach"))
-    start = reach.groupBy(versions.bucket(F.col("ticker")).alias("bucket")).agg(F.min(F.year(F.coalesce("reach", "_from"))).alias("year"))
+    start = reach.groupBy(held.bucket(F.col("ticker")).alias("bucket")).agg(F.min(F.year(F.coalesce("reach", "_from"))).alias("year"))
     since = {r["bucket"]: r["year"] for r in start.collect()}  # one row a bucket
     daily = held.read(spark, "daily_state", incremental.daily_state_schema(periods), lambda y, b: y >= since.get(b, 1 << 30))
     candles = {h: held.read(spark, f"{h}_state", incremental.candle_state_schema(h, periods), lambda y, b: b in since) for h in HORIZON_KEYS}
@@ -209,10 +211,10 @@ def apply_bars(spark: SparkSession, root: str, new: DataFrame, periods: Sequence
         schema, year = _layout(table, periods)
         column, start = key.get(table, ("Date", "_from"))
         own = rows[table].select(*schema.fieldNames())
-        touched = {tuple(r) for r in own.select(year.cast("int"), versions.bucket(F.col("ticker"))).distinct().collect()}
+        touched = {tuple(r) for r in own.select(year.cast("int"), base.bucket(F.col("ticker"))).distinct().collect()}
         old = base.read(spark, table, schema, lambda y, b: (y, b) in touched).join(first.select("ticker", start), "ticker", "left").where(
             F.col(start).isNull() | (F.col(column) < F.col(start))).drop(start)
-        return versions.write_partitions(old.unionByName(own), root, table, year)
+        return versions.write_partitions(old.unionByName(own), base, table, year)
 
     with ThreadPoolExecutor(max_workers=len(rows)) as pool:
         changes = dict(zip(rows, pool.map(replace, rows)))

@@ -88,16 +88,27 @@ def test_registered_query_matches_oracle(spark, sf, name):
 
 
 def test_learning_curve_final_fit_and_saved_model(spark, sf, tmp_path):
-    from candlewick.operators.forest import QuantileForest, best_trees, fit_forest, learning_curve
+    from candlewick.operators.forest import QuantileForest, best_trees, curve_summary, fit_forest, learning_curve
     from candlewick.operators.labels import group_folds, sample_weight
     from candlewick.plans.queries import TICKERS
     s = P.split(spark, sf, "monthly", PERIODS["monthly"])
     names = [c for c in s.columns if c.startswith(("dist_", "rsi_", "pct_"))]
     train = sample_weight(group_folds(s.where(F.col("part") == "train"), n_splits=2)).checkpoint()
-    curve = learning_curve(train, names, "target_monthly", "monthly", TICKERS, 2, steps=(1, 10)).checkpoint()
-    assert curve.count() == 2 * 2 * 3 and curve.where("pinball IS NULL OR pinball <= 0").count() == 0
+    curve = learning_curve(train, names, "target_monthly", "monthly", TICKERS, 2, trees=10).checkpoint()
+    assert curve.count() == 2 * 10 * 3 and curve.where("pinball IS NULL OR pinball <= 0").count() == 0
     trees = best_trees(curve)
-    assert trees in (1, 10)
+    assert trees in range(1, 11) and curve_summary(curve).where("chosen").count() == 1
+    sizes = {r.fold: r["count"] for r in train.groupBy("fold").count().collect()}
+    assert all(r.n_rows == sizes[r.fold] for r in curve.collect())
+    # The curve's points are the losses of forests of as many trees.
+    held = train.where("fold = 1")
+    for m in (1, 7):
+        grown = fit_forest(train.where("fold = 0"), names, "target_monthly", "monthly", TICKERS, trees=10)
+        each = grown.by_tree(held, ["target_monthly", "weight"]).collect()
+        miss = [(r.target_monthly - sum(e.q10 for e in r._by_tree[:m]) / m, r.weight) for r in each]
+        loss = sum(w * max(0.1 * d, -0.9 * d) for d, w in miss) / sum(w for _, w in miss)
+        point = curve.where(f"fold = 1 AND trees = {m} AND quantile = 'q10'").first().pinball
+        assert point == pytest.approx(loss)
     model = fit_forest(train, names, "target_monthly", "monthly", TICKERS, trees=trees)
     model.save(str(tmp_path))
     loaded = QuantileForest.load(spark, str(tmp_path))

@@ -156,10 +156,10 @@ def test_a_writer_that_dies_before_the_commit_leaves_the_old_version(spark, six,
     pinned = store.open_store(spark, root)
     whole = versions.write_partitions
 
-    def dies(df, path, table, year):
+    def dies(df, base, table, year):
         if table == "weekly":
             raise OSError("lost")
-        return whole(df, path, table, year)
+        return whole(df, base, table, year)
 
     monkeypatch.setattr(versions, "write_partitions", dies)
     daily = daily_frame(bars, gauge)
