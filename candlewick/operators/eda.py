@@ -6,8 +6,10 @@ All statistics are single-pass aggregates or per-feature windows over a long
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,28 +39,50 @@ def _pair_corr(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_samp(a2, b2), F.stddev_samp(a2) * F.stddev_samp(b2))
 
 
-def corr_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Long (feature_1, feature_2, corr), full symmetric matrix.
-
-    Rows complete in all features are used (the engineered tables hold no
-    NULLs).  Columns are centred by their means (one scalar subquery), then a
-    single aggregate of plain sums of cross products covers every
-    upper-triangle pair -- partial aggregation per task, one tiny shuffle;
-    ``stack`` emits both halves of the matrix.  Zero variance gives NULL.
-    Expressions are SQL text, so each projection is one driver call.
+def _co_moments(means: list[float]):
+    """Arrow function: rows to one row per column and task with its co-moments with every column, under both null masks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = len(means)
+        n, x, xx, xy = (np.zeros((d, d)) for _ in range(4))
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns]
+            values = np.stack(columns, 1) - np.array(means) if batch.num_rows else np.empty((0, d))
+            known = np.isfinite(values)
+            values = np.where(known, values, 0.0)
+            mask = known.astype(np.float64)
+            n += mask.T @ mask
+            x += values.T @ mask          # sum of column i where j is known too
+            xx += (values * values).T @ mask
+            xy += values.T @ values
+        yield pa.RecordBatch.from_arrays([pa.array(range(d), pa.int32()), *[pa.array(m.tolist(), pa.list_(pa.float64())) for m in (n, x, xx, xy)]],
+                                         ["i", "n", "x", "xx", "xy"])
+    return run
+
+
+def corr_matrix(df: DataFrame, features: Sequence[str], least: int = 2) -> DataFrame:
+    """Long (feature_1, feature_2, corr), full symmetric matrix, each pair
+    over the rows in which both are known (neither null nor non-finite).
+
+    Columns are centred by their means first, so the sums stay small. A task
+    adds up its rows into four matrices (rows, sums, squares and products under
+    both masks); these add up column by column over the tasks, and nothing but
+    the means comes to the driver. Pairs with fewer than ``least`` common rows
+    or without variance there have a NULL.
     """
     feats = list(features)
-    n = len(feats)
-    clean = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS __x{i}" for i, c in enumerate(feats)]).dropna()
-    means = clean.selectExpr(*[f"avg(__x{i}) AS m{i}" for i in range(n)])
-    centred = clean.select(*[(F.col(f"__x{i}") - means.select(f"m{i}").scalar()).alias(f"__x{i}") for i in range(n)])
-    sums = [f"sum(__x{i} * __x{j}) AS s{i}_{j}" for i in range(n) for j in range(i, n)]
-    row = centred.agg(*[F.expr(e) for e in sums])
-
-    def cell(i, j):
-        return f"try_divide(s{min(i, j)}_{max(i, j)}, sqrt(s{i}_{i}) * sqrt(s{j}_{j}))"
-    args = ", ".join(f"'{feats[i]}', '{feats[j]}', {cell(i, j)}" for i in range(n) for j in range(n))
-    return row.selectExpr(f"stack({n * n}, {args}) AS (feature_1, feature_2, corr)")
+    known = df.select(*[F.when(F.abs(c) < float("inf"), c).alias(f"x{i}") for i, c in enumerate(F.col(f).cast("double") for f in feats)])
+    means = known.agg(*[F.avg(c).alias(c) for c in known.columns]).first()  # one number a column
+    parts = known.mapInArrow(_co_moments([m or 0.0 for m in means]), "i int, n array<double>, x array<double>, xx array<double>, xy array<double>")
+    cells = parts.select("i", F.posexplode(F.arrays_zip("n", "x", "xx", "xy")).alias("j", "m"))
+    sums = cells.groupBy("i", "j").agg(*[F.sum(f"m.{c}").alias(c) for c in ("n", "x", "xx", "xy")])
+    turned = sums.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("x").alias("y"), F.col("xx").alias("yy"))
+    both = sums.join(turned, ["i", "j"])
+    spread = lambda s, ss: F.col(ss) - F.col(s) * F.col(s) / F.col("n")
+    corr = F.try_divide(F.col("xy") - F.col("x") * F.col("y") / F.col("n"), F.sqrt(spread("x", "xx")) * F.sqrt(spread("y", "yy")))
+    enough = (F.col("n") >= least) & (spread("x", "xx") > 1e-12 * F.col("xx")) & (spread("y", "yy") > 1e-12 * F.col("yy"))
+    name = F.array(*[F.lit(f) for f in feats])
+    return both.select(F.get(name, F.col("i")).alias("feature_1"), F.get(name, F.col("j")).alias("feature_2"),
+                       F.when(enough, F.when(F.col("i") == F.col("j"), 1.0).otherwise(corr)).alias("corr"))
 
 
 def clean_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -49,11 +49,11 @@ def _carried(parts: DataFrame, keys: Sequence[str], what: dict[str, Column]) ->
 def row_numbers(df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str] = (), ranges: int = RANGES, name: str = "_rn") -> DataFrame:
     """Add each row's 0-based place in its series by (order, *tie), exact, without a task that holds the series."""
     ranged = with_range(df, order, ranges)
-    sizes = ranged.groupBy(*keys, "_r").agg(F.count("*").alias("_size"))
-    first = _carried(sizes, keys, {"_first": F.sum("_size")})
+    sizes = ranged.groupBy(*keys, "_r").agg(F.count("*").alias("_r_size"))
+    first = _carried(sizes, keys, {"_r_first": F.sum("_r_size")})
     inside = Window.partitionBy(*keys, "_r").orderBy(order, *tie)
-    numbered = ranged.withColumn("_in", F.row_number().over(inside) - 1)
-    return numbered.join(first, [*keys, "_r"]).withColumn(name, (F.coalesce("_first", F.lit(0)) + F.col("_in")).cast("long")).drop("_r", "_in", "_first")
+    numbered = ranged.withColumn("_r_in", F.row_number().over(inside) - 1)
+    return numbered.join(first, [*keys, "_r"]).withColumn(name, (F.coalesce("_r_first", F.lit(0)) + F.col("_r_in")).cast("long")).drop("_r", "_r_in", "_r_first")
 
 
 def blocked(df: DataFrame, keys: Sequence[str], order: str, rows: int, before: int, after: int = 0, tie: Sequence[str] = (),

@@ -527,17 +527,40 @@ def sql_split_summary() -> str:
                           ["test_pct"]))
 
 
+def fold_cte(q: Sql, h: str, k: int = 5) -> str:
+    """Candles of the train part one by one, largest first, each to the fold with the least rows."""
+    s = split_cte(q, h)
+    q.add(f"sz_{h}", f"""SELECT ticker, group_id, count(*) AS size, min(Date) AS first,
+  row_number() OVER (ORDER BY count(*) DESC, min(Date), group_id, ticker) AS rn FROM {s} WHERE part = 'train' GROUP BY ticker, group_id""")
+    q.add(f"kk_{h}", f"SELECT least({k}, count(*)) AS k FROM sz_{h}")
+    init = ", ".join(f"CASE WHEN {i} < k THEN 0 ELSE 1000000000000 END::BIGINT AS l{i}" for i in range(k))
+    lightest = f"(list_position([{', '.join(f'l{i}' for i in range(k))}], least({', '.join(f'l{i}' for i in range(k))})) - 1)"
+    step = ", ".join(f"CASE WHEN {lightest} = {i} THEN l{i} + z.size ELSE l{i} END AS l{i}" for i in range(k))
+    q.add(f"gr_{h}", f"""SELECT 0::BIGINT AS rn, {init}, NULL::INTEGER AS fold FROM kk_{h}
+UNION ALL
+SELECT z.rn, {step}, {lightest}::INTEGER FROM gr_{h} g JOIN sz_{h} z ON z.rn = g.rn + 1""")
+    return q.add(f"fo_{h}", f"""SELECT ticker, group_id, size, first, CASE WHEN (SELECT k FROM kk_{h}) >= 2 THEN fold END AS fold
+  FROM sz_{h} JOIN gr_{h} USING (rn)""")
+
+
 def sql_kfold(k: int = 5) -> str:
     q = Sql()
     parts = []
     for h in HORIZONS:
-        s = split_cte(q, h)
-        q.add(f"sz_{h}", f"SELECT ticker, group_id, count(*) AS size FROM {s} WHERE part = 'train' GROUP BY ticker, group_id")
-        q.add(f"fo_{h}", f"""SELECT ticker, group_id, CASE WHEN least({k}, (SELECT count(*) FROM sz_{h})) >= 2 THEN
-  CAST((row_number() OVER (PARTITION BY ticker ORDER BY size DESC, group_id) - 1) % least({k}, (SELECT count(*) FROM sz_{h})) AS INTEGER)
-  END AS fold FROM sz_{h}""")
+        s, f = split_cte(q, h), fold_cte(q, h, k)
         parts.append(f"SELECT s.Date, s.ticker, s.group_id, f.fold, '{h}' AS horizon FROM {s} s "
-                     f"JOIN fo_{h} f USING (ticker, group_id) WHERE s.part = 'train'")
+                     f"JOIN {f} f USING (ticker, group_id) WHERE s.part = 'train'")
+    return q.render(_union(parts))
+
+
+def sql_corr_pairwise() -> str:
+    q = Sql()
+    parts = []
+    for h in HORIZONS:
+        hr, names = horizon_raw_cte(q, h), horizon_cols(FEATURE_PERIODS[h], h)
+        items = [f"{{'feature_1': '{a}', 'feature_2': '{b}', 'corr': corr({a}, {b})}}" for a in names for b in names]
+        q.add(f"cp_{h}", f"SELECT unnest([{', '.join(items)}], recursive := true) FROM {hr}")
+        parts.append(f"SELECT feature_1, feature_2, {grid('corr')} AS corr, '{h}' AS horizon FROM cp_{h}")
     return q.render(_union(parts))
 
 
@@ -845,10 +868,8 @@ def sql_embargo() -> str:
     parts = []
     for h in HORIZONS:
         s = split_cte(q, h)
-        q.add(f"ec_{h}", f"SELECT ticker, group_id, count(*) AS n, min(Date) AS first FROM {s} WHERE part = 'train' GROUP BY ALL")
-        q.add(f"ef_{h}", f"""SELECT *, (row_number() OVER (PARTITION BY ticker ORDER BY n DESC, group_id) - 1)
-  % least(5, (SELECT count(*) FROM ec_{h})) AS fold FROM ec_{h}""")
-        q.add(f"en_{h}", f"""SELECT ticker, group_id, fold, lag(fold) OVER w AS before, lead(fold) OVER w AS after FROM ef_{h}
+        f = fold_cte(q, h)
+        q.add(f"en_{h}", f"""SELECT ticker, group_id, fold, lag(fold) OVER w AS before, lead(fold) OVER w AS after FROM {f}
 WINDOW w AS (PARTITION BY ticker ORDER BY first)""")
         parts.append(f"""SELECT '{h}' AS horizon, s.Date, s.ticker, s.group_id FROM {s} s JOIN en_{h} e USING (ticker, group_id)
 WHERE s.part = 'train' AND e.fold <> 0 AND coalesce(e.before, 9) <> 0 AND coalesce(e.after, 9) <> 0""")
@@ -890,7 +911,7 @@ def sql_events_asof() -> str:
     q = Sql()
     q.add("e", "SELECT event_id, user_id, ts - INTERVAL 24 YEAR AS moment FROM events")
     q.add("o", "SELECT o_custkey % 500 AS u, o_orderdate AS t, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS p FROM orders GROUP BY ALL")
-    q.add("j", """SELECT event_id, user_id, CASE WHEN moment <= t + INTERVAL 90 DAY THEN o_orderkey END AS o_orderkey,
+    q.add("j", """SELECT event_id, user_id, CASE WHEN moment <= t + INTERVAL 90 DAY THEN o_orderkey::VARCHAR END AS o_orderkey,
         CASE WHEN moment <= t + INTERVAL 90 DAY THEN p END AS o_totalprice FROM e ASOF LEFT JOIN o ON user_id = u AND moment >= t""")
     return q.render(final(["event_id", "user_id", "o_orderkey", "o_totalprice"], "j", ["o_totalprice"]))
 
@@ -902,6 +923,11 @@ def sql_cv_curve(trees: int = 60) -> str:
         FROM f, (SELECT unnest(['q10', 'q50', 'q90']) AS quantile), (SELECT unnest(range(1, {trees + 1})) AS trees)"""
 
 
+def sql_quantile_regression() -> str:
+    return f"""WITH f AS (SELECT horizon, count(*) AS n_rows FROM ({sql_kfold()}) GROUP BY ALL)
+        SELECT horizon, quantile, n_rows, true AS share_ok, true AS loss_ok FROM f, (SELECT unnest(['q10', 'q50', 'q90']) AS quantile)"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {"bars_daily": sql_bars_daily()}
     for name in BLOCKS:
@@ -932,6 +958,6 @@ def oracle_sql() -> dict[str, str]:
         "market_snapshot": sql_market_snapshot(), "profit_estimate": sql_profit_estimate(),
         "forecast_card": sql_forecast_card(), "market_summary": sql_market_summary(),
         "interval_sample": sql_interval_sample(), "residual_hist": sql_residual_hist(),
-        "store_read": sql_store_read(), "long_series": sql_long_series(), "events_asof": sql_events_asof(), "cv_curve": sql_cv_curve(),
+        "store_read": sql_store_read(), "long_series": sql_long_series(), "events_asof": sql_events_asof(), "cv_curve": sql_cv_curve(), "corr_pairwise": sql_corr_pairwise(), "quantile_regression": sql_quantile_regression(),
     })
     return out

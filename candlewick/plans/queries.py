@@ -21,6 +21,7 @@ from ..operators.features import (
     ANCHOR,
     HORIZON_SPEC,
     REALIZED_VOL_WINDOW,
+    SHARED_COLUMNS,
     engineered_columns,
     history_filter,
     non_finite_to_null,
@@ -31,7 +32,8 @@ from ..operators.features import (
     union_tables,
 )
 from ..operators.ranges import asof_join, series_windows
-from ..operators.forest import QuantileForest, best_trees, curve_summary, fit_forest, learning_curve
+from ..operators.quantreg import fit_lines
+from ..operators.forest import WEIGHT_STEPS, QuantileForest, best_trees, curve_summary, fit_forest, learning_curve
 from ..operators.indicators import BACKEND_PERIODS, MODEL_PERIODS
 from ..operators.labels import N_SPLITS, build_label, embargo, group_folds, sample_weight, split_summary
 from ..operators.model import baseline_scores, model_metadata
@@ -125,7 +127,7 @@ def q_events_asof(spark, sf):
     events = table(spark, sf, "events").select("event_id", "user_id", (F.col("ts") - F.expr("INTERVAL 24 YEARS")).alias("at"))
     orders = table(spark, sf, "orders").select((F.col("o_custkey") % 500).alias("user_id"), "o_orderdate", "o_orderkey", "o_totalprice")
     out = asof_join(events, orders, "at", ["user_id"], ["o_orderkey", "o_totalprice"], right_on="o_orderdate", tolerance="90 days", tie=["o_orderkey"])
-    return finish(out.drop("at"))
+    return finish(out.drop("at").withColumn("o_orderkey", F.col("o_orderkey").cast("string")))
 
 
 def _names(spark, sf, h):
@@ -238,6 +240,14 @@ def q_corr_matrix(spark, sf):
     return finish(P.all_horizons(lambda h: eda.corr_matrix(P.features(spark, sf, h, PERIODS[h]), _names(spark, sf, h))))
 
 
+def q_corr_pairwise(spark, sf):
+    """G12 on the raw columns of each horizon, null in the warm-up of their windows: pairs over the rows that have both."""
+    def one(h):
+        raw = P.horizon_raw(spark, sf, h, PERIODS[h])
+        return eda.corr_matrix(raw, [c for c in raw.columns if c not in SHARED_COLUMNS])
+    return finish(P.all_horizons(one))
+
+
 def _associations(spark, sf, h):
     """Ranks need equal values to be equal in either engine: inputs are rounded to nine decimals."""
     df, target = P.features(spark, sf, h, PERIODS[h]), f"target_{h}"
@@ -369,6 +379,35 @@ def q_cv_summary(spark, sf):
     return curve_summary(P.all_horizons(lambda h: _curve(spark, sf, h)), ["horizon"])
 
 
+def _times(spark, sf, h):
+    """The train rows with ``times``, their sample weights as whole frequencies (forest.WEIGHT_STEPS for the least)."""
+    rows = _folds(spark, sf, h)
+    least = rows.agg(F.min("weight")).scalar()
+    return rows.withColumn("times", F.round(F.col("weight") / least * WEIGHT_STEPS).cast("long"))
+
+
+def q_quantile_regression(spark, sf):
+    """M3 on the pinball objective: for each line the rows below it are what its level asks, to within one row's
+    weight, and its loss is no more than that of the best constant."""
+    def one(h):
+        rows, target = _times(spark, sf, h), F.col(f"target_{h}")
+        model = fit_lines(rows, _names(spark, sf, h), f"target_{h}", TICKERS, "times")
+        scored = model.predict(rows, [target.alias("y"), "times"])
+        ends = scored.agg(F.percentile("y", F.array(*map(F.lit, evaluate.QUANTILES.values())), F.col("times"))).scalar()
+        loss = lambda miss, a: F.sum(F.col("times") * F.greatest(a * miss, (a - 1) * miss))
+        scored, out = scored.withColumn("ends", ends), []
+        total, most = F.sum("times"), F.max("times")
+        for i, (q, a) in enumerate(evaluate.QUANTILES.items()):
+            gap = 1e-9 * F.greatest(F.lit(1.0), F.abs("y"))  # labels on the line, but for rounding
+            below = F.sum(F.when(F.col("y") < F.col(q) - gap, F.col("times")).otherwise(0))
+            up_to = F.sum(F.when(F.col("y") <= F.col(q) + gap, F.col("times")).otherwise(0))
+            out.append(F.struct(F.lit(q).alias("quantile"), F.count("*").alias("n_rows"),
+                                ((below <= a * total + most) & (up_to >= a * total - most)).alias("share_ok"),
+                                (loss(F.col("y") - F.col(q), a) <= loss(F.col("y") - F.col("ends")[i], a) * (1 + 1e-9)).alias("loss_ok")))
+        return scored.agg(F.array(*out).alias("l")).select(F.inline("l"))
+    return P.all_horizons(one)
+
+
 def _forecast(spark, sf, h):
     test = P.split(spark, sf, h, PERIODS[h]).where(F.col("part") == "test").withColumn("y", F.col(f"target_{h}"))
     return _forest(spark, sf, h).predict(test, ["Date", "ticker", "y"])
@@ -499,7 +538,7 @@ def registry() -> dict[str, Q]:
         reg[f"label_{h}"] = q_label(h)
     reg.update({
         "split_groups": q_split_groups, "split_summary": q_split_summary, "kfold": q_kfold,
-        "sample_weight": q_sample_weight, "corr_matrix": q_corr_matrix, "association": q_association,
+        "sample_weight": q_sample_weight, "corr_matrix": q_corr_matrix, "corr_pairwise": q_corr_pairwise, "association": q_association,
         "association_top": q_association_top, "baseline_quantiles": q_baseline_quantiles,
         "evaluate_all": q_evaluate_all, "confusion_matrix": q_confusion_matrix,
         "recommendation": q_recommendation, "contract_check": q_contract_check,
@@ -513,7 +552,7 @@ def registry() -> dict[str, Q]:
         "non_finite": q_non_finite, "embargo": q_embargo, "stage_handoff": q_stage_handoff, "report_sink": q_report_sink,
         "model_metadata": q_model_metadata, "snapshot_records": q_snapshot_records,
         "realized_vol": q_realized_vol, "long_series": q_long_series, "events_asof": q_events_asof,
-        "cv_curve": q_cv_curve, "cv_summary": q_cv_summary,
+        "cv_curve": q_cv_curve, "cv_summary": q_cv_summary, "quantile_regression": q_quantile_regression,
         "model_contract": q_model_contract, "batch_predict": q_batch_predict, "model_evaluate": q_model_evaluate,
     })
     return reg
