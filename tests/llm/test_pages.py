@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from candlewick.llm import pages, queries
 
@@ -75,6 +76,37 @@ def test_short_lines_of_an_article_stay():
     assert pages.main_text(f"<body><div class='story'>{story}<h2>Part</h2></div><p>Hello, you.</p><div>{cards()}</div>{end}").split("\n")[:3] == [*STORY[:2], "Part"]
 
 
+def test_names_that_hold_furniture_words_do_not_hide_the_article():
+    story = "".join(f"<p>{p}</p>" for p in STORY)
+    foot = "<p>Copyright 2020 ACME.</p>"
+    for tag, attrs in (("div", "class='content has-sidebar'"), ("div", "id='post-with-comments'"), ("section", "class='share-price-analysis'"),
+                       ("div", "class='job-search-story'"), ("div", "class='legal-news'"), ("form", "action='/x'"), ("div", "class='content sidebar-left'")):
+        assert pages.main_text(f"<body><{tag} {attrs}>{story}</{tag}>{foot}</body>").split("\n")[:5] == STORY, attrs
+    for attrs in ("class='sidebar-left'", "class='site-footer'", "id='comments'", "class='comment-list'", "class='related-posts'", "class='share-buttons'",
+                  "class='comment-body'", "class='main-navigation'", "class='cookie-notice'"):
+        beside = f"<div {attrs}><p>{CARDS[0]}</p></div>"
+        assert pages.main_text(f"<body><div class='story'>{story}</div>{beside}</body>").split("\n") == STORY, attrs
+    form = "<form><label>Your mail, please, and your name, too:</label><p>Sign up.</p></form>"
+    assert pages.main_text(f"<body><div>{story}</div>{form}</body>").split("\n") == STORY
+    assert pages.main_text(f"<body><form><div>{story}</div><div>Name: <input></div></form></body>").split("\n")[:5] == STORY
+
+
+def test_an_article_that_is_one_link_stays():
+    text = "A long line, which is all a link, of a page; it goes on."
+    assert pages.main_text(f"<body><div><p><a href='/x'>{text}</a></p></div></body>") == text
+    assert pages.main_text("<body><ul><li><a href='/x'>Home</a></li></ul></body>") == ""
+
+
+def test_deep_pages_take_linear_time():
+    deep = "".join(f"<div>Line {i} of a deep page, with a mark." for i in range(20_000))
+    lists = "".join(f"<ul><li>Item {i}, of many." for i in range(20_000))
+    ends = "<div>" * 20_000 + "<p>One, two.</p>" + "</section></p></li>" * 20_000
+    for page, lines in ((deep, 20_000), (lists, 20_000), (ends, 1)):
+        began = time.process_time()
+        assert pages.main_text(page).count("\n") == lines - 1
+        assert time.process_time() - began < 5
+
+
 def test_awkward_pages(spark):
     assert [pages.main_text(p) for p in (None, "", "   ", "<p>", "<div><p>a", "</p></div>x <b>y", "&lt;b&gt; &#233;")] == [
         "", "", "", "", "a", "x y", "<b> é"]
