@@ -928,6 +928,20 @@ def sql_quantile_regression() -> str:
         SELECT horizon, quantile, n_rows, true AS share_ok, true AS loss_ok FROM f, (SELECT unnest(['q10', 'q50', 'q90']) AS quantile)"""
 
 
+def sql_ticker_files() -> str:
+    q = Sql()
+    bars = bars_cte(q)
+    q.add("tf", f"SELECT ticker, Date, Open, High, Low, Close, CASE WHEN ticker <> 'NF' THEN Volume END AS Volume FROM {bars}")
+    cols = ["Open", "High", "Low", "Close", "Volume"]
+    return q.render(final(["ticker", "Date", *cols], "tf", cols))
+
+
+def sql_missing_anchor() -> str:
+    q = Sql()
+    p = pooled_cte(q, MODEL_PERIODS)
+    return q.render(final(["Date", "ticker", "anchor_close_daily"], p, ["anchor_close_daily"], "day(Date) <> 13 AND anchor_close_daily IS NOT NULL"))
+
+
 def oracle_sql() -> dict[str, str]:
     out = {"bars_daily": sql_bars_daily()}
     for name in BLOCKS:
@@ -958,6 +972,7 @@ def oracle_sql() -> dict[str, str]:
         "market_snapshot": sql_market_snapshot(), "profit_estimate": sql_profit_estimate(),
         "forecast_card": sql_forecast_card(), "market_summary": sql_market_summary(),
         "interval_sample": sql_interval_sample(), "residual_hist": sql_residual_hist(),
-        "store_read": sql_store_read(), "long_series": sql_long_series(), "events_asof": sql_events_asof(), "cv_curve": sql_cv_curve(), "corr_pairwise": sql_corr_pairwise(), "quantile_regression": sql_quantile_regression(),
+        "store_read": sql_store_read(), "long_series": sql_long_series(), "events_asof": sql_events_asof(), "cv_curve": sql_cv_curve(), "ticker_files": sql_ticker_files(), "missing_anchor": sql_missing_anchor(),
+        "report_metrics": sql_evaluate_all(), "report_residuals": sql_residual_hist(), "corr_pairwise": sql_corr_pairwise(), "quantile_regression": sql_quantile_regression(),
     })
     return out

@@ -18,6 +18,7 @@ from ..functions.numeric import GRID
 from ..operators import decide, eda, evaluate, sampling
 from ..operators.features import (
     align_to,
+    drop_missing_anchor,
     ANCHOR,
     HORIZON_SPEC,
     REALIZED_VOL_WINDOW,
@@ -39,8 +40,9 @@ from ..operators.labels import N_SPLITS, build_label, embargo, group_folds, samp
 from ..operators.model import baseline_scores, model_metadata
 from ..session import scratch_path
 from ..sources import store
-from ..sources.bars import cut_after_last_close, drop_missing_close, table
+from ..sources.bars import cut_after_last_close, drop_missing_close, read_tickers, table
 from . import pipeline as P
+from . import report
 
 HORIZONS = P.HORIZONS
 # Moving-average periods that the registered queries ask for.  Monthly ones take
@@ -499,6 +501,53 @@ def q_stage_handoff(spark, sf):
     return P.all_horizons(one)
 
 
+def _ticker_files(spark, sf):
+    """The bars written as one file folder a ticker; that of AF without its ticker column, that of NF without its volume."""
+    def build():
+        folder = scratch_path(spark, f"tickers-{uuid.uuid4().hex}")
+        for t in TICKERS:
+            own = P.bars(spark, sf).where(F.col("ticker") == t).drop(*{"AF": ["ticker"], "NF": ["Volume"]}.get(t, []))
+            own.write.parquet(f"{folder}/{t}.parquet")
+        return folder
+    return P.once(spark, ("ticker-files", sf, *P.inputs(spark, sf)), build)
+
+
+def q_ticker_files(spark, sf):
+    """A2: all tickers' files by one scan."""
+    return finish(read_tickers(spark, _ticker_files(spark, sf), TICKERS))
+
+
+def q_missing_anchor(spark, sf):
+    """B7 on anchors with gaps: none on the 13th of a month."""
+    pooled = P.pooled(spark, sf, MODEL_PERIODS).select("Date", "ticker", ANCHOR)
+    return finish(drop_missing_anchor(pooled.withColumn(ANCHOR, F.when(F.dayofmonth("Date") != 13, F.col(ANCHOR)))))
+
+
+def _reports(spark, sf, name, scored):
+    """The report files of a run, written once."""
+    build = lambda: report.test_stage(scored(spark, sf), scratch_path(spark, f"test-{name}-{uuid.uuid4().hex}"))
+    return P.once(spark, ("reports", name, sf, *P.inputs(spark, sf)), build)
+
+
+def q_report_metrics(spark, sf):
+    """A14, K12, S-json: the baseline's metrics record, read back from its JSON lines."""
+    schema = evaluate.evaluate_all(_scored(spark, sf)).schema
+    return finish(report.read_records(spark, _reports(spark, sf, "baseline", _scored)["metrics"], schema))
+
+
+def q_report_residuals(spark, sf):
+    """The baseline's residual histogram, read back from CSV."""
+    schema = sampling.residual_hist(_scored(spark, sf)).schema
+    return finish(spark.read.schema(schema).option("header", "true").csv(_reports(spark, sf, "baseline", _scored)["residuals"]))
+
+
+def q_model_report(spark, sf):
+    """K11, K12 on the saved model's forecasts of the test part: every metric, from the record that the run wrote."""
+    scored = lambda spark, sf: P.all_horizons(lambda h: _forecast(spark, sf, h))
+    schema = evaluate.evaluate_all(_scored(spark, sf)).schema
+    return report.read_records(spark, _reports(spark, sf, "model", scored)["metrics"], schema)
+
+
 def q_report_sink(spark, sf):
     """The split summary written as CSV and read back."""
     path = scratch_path(spark, f"report-{uuid.uuid4().hex}")
@@ -552,7 +601,8 @@ def registry() -> dict[str, Q]:
         "non_finite": q_non_finite, "embargo": q_embargo, "stage_handoff": q_stage_handoff, "report_sink": q_report_sink,
         "model_metadata": q_model_metadata, "snapshot_records": q_snapshot_records,
         "realized_vol": q_realized_vol, "long_series": q_long_series, "events_asof": q_events_asof,
-        "cv_curve": q_cv_curve, "cv_summary": q_cv_summary, "quantile_regression": q_quantile_regression,
+        "cv_curve": q_cv_curve, "cv_summary": q_cv_summary, "ticker_files": q_ticker_files, "missing_anchor": q_missing_anchor,
+        "report_metrics": q_report_metrics, "report_residuals": q_report_residuals, "model_report": q_model_report, "quantile_regression": q_quantile_regression,
         "model_contract": q_model_contract, "batch_predict": q_batch_predict, "model_evaluate": q_model_evaluate,
     })
     return reg

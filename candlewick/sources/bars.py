@@ -7,6 +7,7 @@ Close, Volume.  Never one table per ticker.
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -124,6 +125,30 @@ def with_ticker(df: DataFrame, ticker: str) -> DataFrame:
     return df.withColumn("ticker", F.lit(ticker))
 
 
+def read_tickers(spark: SparkSession, folder: str, tickers: Sequence[str], columns: T.StructType = BAR_SCHEMA) -> DataFrame:
+    """A2: the files ``<folder>/<ticker>.parquet`` of the named tickers as one table, by one scan.
+
+    Files may have different columns: schemas are merged, a column of
+    ``columns`` that a file lacks is null in its rows, others are left out. The
+    ticker of a row whose file has none is the file's name. Missing files raise
+    a FileNotFoundError that names their tickers; the folder is listed once.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = {s.getPath().getName() for s in fs.listStatus(path)} if fs.exists(path) else set()
+    missing = sorted(t for t in set(tickers) if f"{t}.parquet" not in there)
+    if missing:
+        raise FileNotFoundError(f"{folder} has no file of {', '.join(missing)}")
+    found = spark.read.option("mergeSchema", "true").parquet(*[os.path.join(folder, f"{t}.parquet") for t in sorted(set(tickers))])
+    of_file = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.parquet(?:/|$)", 1))
+    have = {c.lower(): c for c in found.columns}
+    out = []
+    for f in columns:
+        own = F.col(have[f.name.lower()]).cast(f.dataType) if f.name.lower() in have else F.lit(None).cast(f.dataType)
+        out.append((F.coalesce(own, of_file) if f.name == "ticker" else own).alias(f.name))
+    return found.select(*out)
+
+
 def cut_after_last_close(bars: DataFrame) -> DataFrame:
     """Drop rows later than the last non-null Close of their ticker."""
     last = F.max(F.when(F.col("Close").isNotNull(), F.col("Date"))).over(Window.partitionBy("ticker"))
