@@ -79,9 +79,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
         yield batch.slice(start)
 
 
-def row_key(id_col: str, text_col: str) -> list:
-    """What tells rows apart that share an id: the id and a hash of the text."""
-    return [F.col(id_col).alias("_k_id"), F.xxhash64(F.col(text_col)).alias("_k_text")]
+def free_name(df: DataFrame, start: str) -> str:
+    """A column name beginning with ``start`` that ``df`` does not have, whatever the case of its own."""
+    taken = {c.lower() for c in df.columns}
+    while start.lower() in taken:
+        start += "_"
+    return start
+
+
+def free_prefix(df: DataFrame, start: str) -> str:
+    """``start``, lengthened until no column of ``df`` begins with it."""
+    while any(c.lower().startswith(start.lower()) for c in df.columns):
+        start += "_"
+    return start
 
 
 def without_rows(df: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -90,16 +100,20 @@ def without_rows(df: DataFrame, dropped: DataFrame, id_col: str, text_col: str)
     Null ids match null ids. The texts are shuffled only when the dropped keys
     are too many to broadcast.
     """
-    side = small_side(dropped.distinct())
-    left = df.withColumns({"_k_id2": F.col(id_col), "_k_text2": F.xxhash64(F.col(text_col))})
-    on = F.col("_k_id2").eqNullSafe(F.col("_k_id")) & (F.col("_k_text2") == F.col("_k_text"))
-    return left.join(side, on, "left_anti").drop("_k_id2", "_k_text2")
+    return _against(df, small_side(dropped.distinct()), id_col, text_col, "left_anti")
+
+
+def _against(df: DataFrame, side: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    key, text = free_name(df, "_k_id"), free_name(df, "_k_text")
+    own, own_text = free_name(df, "_k_id2"), free_name(df, "_k_text2")
+    left = df.withColumns({own: F.col(id_col), own_text: F.xxhash64(F.col(text_col))})
+    right = side.select(F.col("_k_id").alias(key), F.col("_k_text").alias(text))
+    return left.join(right, F.col(own).eqNullSafe(F.col(key)) & (F.col(own_text) == F.col(text)), how).drop(own, own_text)
 
 
 def once(df: DataFrame, repeated: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``df`` with one of the rows of each (id, text hash) in the staged ``repeated(_k_id, _k_text)``."""
     if repeated.isEmpty():
         return df
-    on = F.col(id_col).eqNullSafe(F.col("_k_id")) & (F.xxhash64(text_col) == F.col("_k_text"))
     return without_rows(df, repeated, id_col, text_col).unionByName(
-        df.join(small_side(repeated), on, "left_semi").dropDuplicates([id_col, text_col]))
+        _against(df, small_side(repeated), id_col, text_col, "left_semi").dropDuplicates([id_col, text_col]))

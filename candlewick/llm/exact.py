@@ -30,7 +30,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null and empty texts are one group. Rows repeated with the same id and the
     same original text count as one document listed more than once: all of
-    them are ``kept`` if they are the best. Other columns are not read.
+    them are ``kept`` if they are the best. Ids are of any type that can be
+    ordered. Other columns are not read.
     """
     carry = carry or {}
     norm = normalised(text_col)
@@ -47,12 +48,12 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = keyed.join(small_side(shared).withColumn("_again", F.lit(True)), ["_n", "_p"], "left")
     rows = stage(marked.select(*narrow, F.when(F.col("_again"), F.sha2("_norm", 256)).alias("_full")), "hashed")
 
-    best = F.max(F.struct("_chars", F.col("_id").isNotNull().alias("_has"), (-F.col("_id")).alias("_neg"), "_t"))
+    best = F.min(F.struct((-F.col("_chars")).alias("_less"), F.col("_id").isNull().alias("_no_id"), "_id", "_t"))
     groups = stage(rows.filter("_full is not null").groupBy("_full").agg(best.alias("_best"), F.count("*").alias("_size")), "groups")
     out = [F.col(f"_c_{k}").alias(k) for k in carry]
     many = rows.join(small_side(groups), "_full").select(
-        F.col("_id").alias(id_col), (-F.col("_best._neg")).alias("keep_id"), F.col("_size").alias("group_size"),
-        (F.col("_id").eqNullSafe(-F.col("_best._neg")) & (F.col("_chars") == F.col("_best._chars"))
+        F.col("_id").alias(id_col), F.col("_best._id").alias("keep_id"), F.col("_size").alias("group_size"),
+        (F.col("_id").eqNullSafe(F.col("_best._id")) & (F.col("_chars") == -F.col("_best._less"))
          & (F.col("_t") == F.col("_best._t"))).alias("kept"), *out)
     one = rows.filter("_full is null").select(
         F.col("_id").alias(id_col), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),

@@ -9,24 +9,26 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm.common import slices, stage
 
-LETTERS = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]+")
+#: Fractions, superscripts and numerals are word characters to Python, but no letters.
+LETTERS = regex.compile(r"\p{L}+")
 NO_LANGUAGE = "und"
 #: The fit takes this many rows of each language at most (all rows of smaller ones), chosen by a hash of the id.
 TRAIN_ROWS = 3000
-#: Kept per language: the most frequent words, and n-grams of each order.
-TOP_WORDS, TOP_GRAMS = 30_000, 10_000
 ORDERS = (4, 3, 2, 1)
 #: Distinct words whose scores a task remembers before it starts anew.
 CACHE_WORDS = 400_000
 
 
 def words(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    found = WORD.findall(text.lower())
+    return found if all(map(str.isalpha, found)) else [part for word in found for part in LETTERS.findall(word)]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -59,9 +61,9 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
     """Frequencies of words and n-grams by language, from a bounded sample of ``df``'s rows.
 
     The sample keeps every row of a language with up to ``train_rows`` rows
-    and, of others, those whose id hashes low. An entry that is among the
-    TOP_WORDS or TOP_GRAMS of one language comes to the driver with its count
-    in every language.
+    and, of others, those whose id hashes low. Every word and n-gram of the
+    sample comes to the driver with its count in each language that has it, so
+    the model grows with the sample's text, not with languages times entries.
     """
     known = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
@@ -71,21 +73,21 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
     low = F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < shares[F.col(lang_col)] * 1_000_003
     counted = stage(known.filter(low).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(
         _counter, "lang string, n int, gram string, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times")), "counted")
-    order = Window.partitionBy("lang", "n").orderBy(F.desc("times"), "gram")
-    kept = (counted.withColumn("rank", F.row_number().over(order))
-            .filter(F.col("rank") <= F.when(F.col("n") == 0, TOP_WORDS).otherwise(TOP_GRAMS)).select("n", "gram").distinct())
-    top = counted.join(kept, ["n", "gram"], "left_semi").toPandas()
-    sums = counted.groupBy("lang", "n").agg(F.sum("times").alias("all")).toPandas()
-    langs, rows, index, at = sorted(sizes), [], {}, 0
-    for n in (0, *ORDERS):  # log frequencies; half an occurrence where a language never has it
-        part = top[top["n"] == n]
-        table = part.pivot(index="gram", columns="lang", values="times").reindex(columns=langs).fillna(0.0)
-        total = sums[sums["n"] == n].set_index("lang")["all"].reindex(langs).fillna(0.0)
-        row = np.log((table.to_numpy() + 0.5) / (total.to_numpy() + 1.0))
-        rows.append(row - row.mean(axis=1, keepdims=True))
-        index[n] = dict(zip(table.index, range(at, at + len(table)), strict=True))
-        at += len(table)
-    return {"langs": langs, "rows": np.concatenate(rows).astype(np.float32), "index": index}
+    entries = counted.toPandas().sort_values(["n", "gram", "lang"], kind="stable")
+    langs = sorted(sizes)
+    number = {lang: i for i, lang in enumerate(langs)}
+    own = entries["lang"].map(number).to_numpy(np.int32)
+    total = np.zeros((len(ORDERS) + 1, len(langs)))
+    np.add.at(total, (entries["n"].to_numpy(), own), entries["times"].to_numpy())
+    # Log frequencies; half an occurrence where a language never has the entry.
+    never = np.log(0.5 / (total + 1.0))
+    more = np.log(entries["times"].to_numpy() + 0.5) - np.log(0.5)
+    new = ((entries["gram"] != entries["gram"].shift()) | (entries["n"] != entries["n"].shift())).to_numpy()
+    starts = np.append(np.flatnonzero(new), len(entries)).astype(np.int64)
+    index: dict[int, dict[str, int]] = {n: {} for n in (0, *ORDERS)}
+    for i, (n, gram) in enumerate(zip(entries["n"][new].tolist(), entries["gram"][new].tolist(), strict=True)):
+        index[n][gram] = i
+    return {"langs": langs, "index": index, "never": never, "starts": starts, "lang": own, "more": more.astype(np.float32)}
 
 
 class Scorer:
@@ -96,27 +98,45 @@ class Scorer:
         self.forget()
 
     def forget(self) -> None:
-        self.index = dict(self.model["index"][0])
-        self.rows = self.model["rows"]
-        self.used = len(self.rows)
-
-    def backoff(self, word: str) -> np.ndarray | float:
+        self.index: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(self.model["langs"])), np.float32)
+
+    def entries(self, word: str) -> tuple[int, list[int]]:
+        """The order that answers for a word (0 the word itself) and the entries of it; order 1 without entries if none does."""
+        known = self.model["index"]
+        at = known[0].get(word)
+        if at is not None:
+            return 0, [at]
         for n in ORDERS:
-            table = self.model["index"][n]
+            table = known[n]
             found = [table[g] for g in grams(word, n) if g in table]
             if found:
-                return np.add.reduce(self.rows[found]) / len(found)
-        return 0.0
+                return n, found
+        return 1, []
+
+    def scores(self, found: list[str]) -> np.ndarray:
+        """One row per word, all at once: the mean over its entries."""
+        model, k = self.model, len(self.model["langs"])
+        parts = [self.entries(w) for w in found]
+        sizes = np.array([len(p) for _, p in parts], np.int64)
+        flat = np.fromiter((e for _, p in parts for e in p), np.int64, int(sizes.sum()))
+        word = np.repeat(np.arange(len(found)), sizes)
+        spans = model["starts"][flat + 1] - model["starts"][flat]
+        at = np.repeat(model["starts"][flat] - np.cumsum(spans) + spans, spans) + np.arange(int(spans.sum()))
+        weight = np.repeat(1.0 / sizes[word], spans) * model["more"][at]
+        cell = np.repeat(word, spans) * k + model["lang"][at]
+        rows = model["never"][[n for n, _ in parts]] + np.bincount(cell, weight, len(found) * k).reshape(-1, k)
+        return np.where(sizes[:, None] > 0, rows - rows.mean(axis=1, keepdims=True), 0.0)
 
     def sums(self, found: list[str]) -> np.ndarray:
         index = self.index
-        new = set(found).difference(index)
-        if self.used + len(new) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((len(self.rows) // 2 + len(new), self.rows.shape[1]), np.float32)])
-        for w in new:
-            self.rows[self.used] = self.backoff(w)
-            index[w] = self.used
-            self.used += 1
+        new = sorted(set(found).difference(index))
+        if new:
+            used = len(index)
+            if used + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros((len(self.rows) + len(new), self.rows.shape[1]), np.float32)])
+            self.rows[used:used + len(new)] = self.scores(new)
+            index.update(zip(new, range(used, used + len(new)), strict=True))
         at = np.fromiter(map(index.__getitem__, found), np.int64, len(found))
         total = self.rows[at].sum(axis=0, dtype=np.float64)
         if len(index) > CACHE_WORDS:
@@ -138,10 +158,12 @@ def identify(text: str | None, scorer: Scorer | None, langs: list[str]) -> tuple
 def predict(df: DataFrame, model: dict, text_col: str = "text"):
     """A column struct(lang_pred, score) for the whole text of each row.
 
-    Null texts and texts without a letter get ``und`` and 0; ties go to the
-    language that sorts first; with no training rows every text is ``und``.
-    Batches are whatever Arrow brings; memory is bounded by one batch and the
-    remembered words.
+    Null texts and texts without a letter (numbers, fractions and numerals are
+    none) get ``und`` and 0; ties go to the language that sorts first; with no
+    training rows every text is ``und``. Rows are independent: repeated ones
+    get equal results, and a very long text is scored whole. Batches are
+    whatever Arrow brings; memory is bounded by one batch and the remembered
+    words.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import small_side, stage
+from candlewick.llm.common import free_prefix, small_side, stage
 
 SEED = 42
 TARGET_ENTROPY, MAX_REPEATS, BUDGET = 0.95, 4.0, 1.0
@@ -133,13 +133,14 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     ends = stage(plan.join(reach.withColumnRenamed("s", "r"), F.col("s").eqNullSafe(F.col("r")), "left").select(
         "s", "weight", "whole", F.when(F.col("u_from").isNull(), 2.0).otherwise(F.coalesce("u_in", F.col("u_from"))).alias("until"),
         F.col("u_from").isNull().alias("no_cut"), F.col("u_in").isNull().alias("none_in")).coalesce(4), "ends")
-    side = small_side(ends.select(*[F.col(c).alias(f"_m_{c}") for c in ends.columns]))
-    rows = df.withColumns({"_m_id": F.col(id_col), "_m_text": F.xxhash64(text_col)}).join(
-        side, F.col(source_col).eqNullSafe(F.col("_m_s")))
-    spot = place(F.col("_m_whole"), "_m_id", "_m_text")
-    in_last = (F.when(F.col("_m_no_cut"), F.lit(True)).when(F.col("_m_none_in"), spot < F.col("_m_until"))
-               .otherwise(spot <= F.col("_m_until")))
-    chosen = rows.withColumn("_m_n", F.col("_m_whole") + F.when(in_last, 1).otherwise(0)).filter("_m_n > 0").withColumn(
-        "_m_block", F.explode(F.sequence(F.lit(0), F.col("_m_n") - 1)))
-    added = {"block": F.col("_m_block"), "block_order": place(F.col("_m_block"), "_m_id", "_m_text"), "weight": F.col("_m_weight")}
+    m = free_prefix(df, "_m_")
+    side = small_side(ends.select(*[F.col(c).alias(f"{m}{c}") for c in ends.columns]))
+    rows = df.withColumns({f"{m}id": F.col(id_col), f"{m}text": F.xxhash64(text_col)}).join(
+        side, F.col(source_col).eqNullSafe(F.col(f"{m}s")))
+    spot = place(F.col(f"{m}whole"), f"{m}id", f"{m}text")
+    in_last = (F.when(F.col(f"{m}no_cut"), F.lit(True)).when(F.col(f"{m}none_in"), spot < F.col(f"{m}until"))
+               .otherwise(spot <= F.col(f"{m}until")))
+    chosen = rows.withColumn(f"{m}n", F.col(f"{m}whole") + F.when(in_last, 1).otherwise(0)).filter(f"{m}n > 0").withColumn(
+        f"{m}block", F.explode(F.sequence(F.lit(0), F.col(f"{m}n") - 1)))
+    added = {"block": F.col(f"{m}block"), "block_order": place(F.col(f"{m}block"), f"{m}id", f"{m}text"), "weight": F.col(f"{m}weight")}
     return chosen.select(*[F.col(c) for c in df.columns if c not in added], *[v.alias(k) for k, v in added.items()])

@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from candlewick.llm.common import partitions, word_blocks
 
@@ -49,7 +50,7 @@ class Segment:
 
     def __init__(self, table: pa.Table, window: int):
         rows = table.to_pydict()
-        order = sorted(range(table.num_rows), key=lambda i: (rows["key"][i], rows["id"][i] is None, rows["id"][i] or 0))
+        order = sorted(range(table.num_rows), key=lambda i: (rows["key"][i], rows["id"][i] is None, 0 if rows["id"][i] is None else rows["id"][i]))
         self.ids = [rows["id"][i] for i in order]
         self.texts = [(rows["text"][i] or "").encode("utf-8", "surrogatepass") for i in order]
         parts = [[np.fromiter(map(xxhash.xxh64_intdigest, block), np.uint64, len(block)) for block in word_blocks(t)] for t in self.texts]
@@ -254,8 +255,7 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     docs = df.select(F.pmod(key, F.lit(segments)).cast("int").alias("segment"), key.alias("key"), F.col(id_col).alias("id"),
                      F.col(text_col).alias("text")).repartition(n, "segment")
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    arrow_kind = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
-    schema = pa.schema([("id", arrow_kind), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", spans), ("kept_text", pa.string())])
+    schema = pa.schema([("id", to_arrow_type(df.schema[id_col].dataType)), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", spans), ("kept_text", pa.string())])
 
     probes = docs.groupBy("segment").applyInArrow(_probe(window, ranges), _MESSAGE)
     hits = probes.groupBy("range").applyInArrow(_answer(False), _MESSAGE)

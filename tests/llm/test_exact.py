@@ -3,8 +3,9 @@ import re
 from collections import Counter, defaultdict
 
 from fixtures_llm import ROWS
+from pyspark.sql import functions as F
 
-from candlewick.llm import exact, queries
+from candlewick.llm import exact, mixing, queries, simhash, substring
 
 
 def brute(rows):
@@ -49,3 +50,25 @@ def test_one_row_stays_of_an_id_whose_texts_differ_in_white_space(spark):
     assert sorted(r.text.split()[0] for r in exact.drop_exact_copies(df).collect()) == ["a", "c", "e"]
     kept = Counter(r.keep_id for r in exact.exact_groups(df).collect() if r.kept)
     assert kept[None] == kept[2] == 1 and kept[1] in (1, 2)  # identical rows are kept together
+
+
+def test_ids_of_any_type_and_clashing_names(spark):
+    rows = [("b", "x y"), ("a", "xy"), (None, "x y"), ("c", "z")]
+    got = {r.doc_id: (r.keep_id, r.kept) for r in exact.exact_groups(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"b": ("b", True), "a": ("b", False), None: ("b", False), "c": ("c", True)}
+    least = -(1 << 63)
+    got = exact.exact_groups(spark.createDataFrame([(least, "q"), (5, "q")], "doc_id long, text string")).collect()
+    assert {r.keep_id for r in got} == {least}
+    names = "doc_id long, text string, _k_id string, _K_TEXT string, _k_id2 int"
+    df = spark.createDataFrame([(1, "x y", "u", "v", 1), (2, "xy", "u", "v", 2), (1, "x y", "u", "v", 3), (3, "w", None, None, 4)], names)
+    left = exact.drop_exact_copies(df)
+    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [1, 3]
+    assert simhash.drop_near_copies(df).columns == df.columns and simhash.drop_near_copies(df).count() >= 1
+    assert mixing.mix(df.withColumns({"source": F.lit("s"), "_m_s": F.lit(1)})).count() >= 1
+
+
+def test_small_integer_ids(spark):
+    df = spark.createDataFrame([(1, "a " * 40), (2, "a " * 40)], "doc_id long, text string")
+    for kind in ("smallint", "string", "decimal(9,0)"):
+        got = substring.cut_repeats(df.withColumn("doc_id", F.col("doc_id").cast(kind))).collect()
+        assert sum(r.n_removed for r in got) == 80, kind

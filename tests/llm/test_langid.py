@@ -1,3 +1,7 @@
+import itertools
+import unicodedata
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -44,13 +48,40 @@ def test_forgetting_words_changes_no_sum(spark, monkeypatch):
     assert [forgetful.sums(text).tolist() for _ in range(3)] == [whole] * 3
 
 
-def test_entries_kept_for_one_language_have_their_counts_in_all(spark, monkeypatch):
-    monkeypatch.setattr(langid, "TOP_WORDS", 2)
-    monkeypatch.setattr(langid, "TOP_GRAMS", 2)
-    rows = [(1, "aa", "xu " * 9 + "ye " * 9 + "zo " * 8), (2, "bb", "zo " * 7 + "wa " * 6 + "ye " * 5 + "q")]
+def brute(rows, text):
+    """Language scores of a text straight from the definition: counts of words and n-grams in dicts."""
+    langs = sorted({lang for _, lang, _ in rows})
+    counts = {(lang, n): Counter() for lang in langs for n in range(5)}
+    split = lambda t: ["".join(g) for ok, g in itertools.groupby(t.lower(), lambda c: unicodedata.category(c)[0] == "L") if ok]
+    cut = lambda w, n: [w] if n == 0 else [m[i:i + n] for m in [w if n == 1 else f"^{w}$"] for i in range(len(m) - n + 1)]
+    for _, lang, t in rows:
+        for w in split(t):
+            for n in range(5):
+                counts[lang, n].update(cut(w, n))
+    total = dict.fromkeys(langs, 0.0)
+    for w in split(text):
+        for n in (0, 4, 3, 2, 1):
+            found = [g for g in cut(w, n) if any(counts[lang, n][g] for lang in langs)]
+            if found:
+                logs = {lang: np.mean([np.log((counts[lang, n][g] + 0.5) / (sum(counts[lang, n].values()) + 1)) for g in found]) for lang in langs}
+                for lang in langs:
+                    total[lang] += logs[lang] - np.mean(list(logs.values()))
+                break
+    return [total[lang] for lang in langs]
+
+
+def test_scores_equal_brute_force(spark):
+    rows = [(1, "aa", "xu " * 9 + "ye " * 9 + "zo " * 8), (2, "bb", "zo " * 7 + "wa " * 6 + "ye " * 5 + "q"), (3, "cc", "Über naïve xuye zowa"),
+            (4, "bb", "quite other words, 12 of them² and x½y")]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
-    count = {"xu": (9, 0), "ye": (9, 5), "zo": (8, 7), "wa": (0, 6)}
-    assert set(model["index"][0]) == set(count)
-    for word, (a, b) in count.items():
-        row = np.log([(a + 0.5) / (26 + 1), (b + 0.5) / (19 + 1)])
-        assert model["rows"][model["index"][0][word]] == pytest.approx(row - row.mean(), abs=1e-5)
+    scorer = langid.Scorer(model)
+    for text in ("xu", "zo ye wa", "xuyo quit ÜBER", "zzz 中 q", "words wordy x²y", "naïver xuyezowa " * 9):
+        assert scorer.sums(langid.words(text)) == pytest.approx(brute(rows, text), abs=1e-4), text
+
+
+def test_numbers_are_no_letters(spark):
+    rows = [(1, "the cat", "en"), (2, "der hund", "de")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for text in ("²", "½ ¾", "Ⅷ", "12_3", "٣"):
+        assert langid.identify(text, langid.Scorer(model), model["langs"]) == ("und", 0.0)
+    assert langid.words("x²y the½") == ["x", "y", "the"]
