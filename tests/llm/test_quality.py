@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from candlewick.llm import quality, queries
 
@@ -18,13 +19,45 @@ def test_views_label_for_each_other():
     y = np.arange(400) % 2
     text, meta = rng.normal(y[:, None] * 6, 1, (400, 3)), rng.normal(y[:, None] * 6, 1, (400, 2))
     few = np.r_[0:40]
-    model = quality.train((text[few], meta[few]), y[few].astype(float), (text[40:], meta[40:]))
+    means = lambda *views: ([v.mean(axis=0) for v in views], [v.std(axis=0) + 1e-6 for v in views])
+    model = quality.train((text[few], meta[few]), y[few].astype(float), quality.ArrayPool(text[40:], meta[40:]), *means(text, meta))
     score = quality.apply(model, (text, meta))
     assert ((score[:, 0] > 0.5) == y).mean() > 0.98
-    noise = quality.train((text[few], rng.normal(0, 1, (40, 2))), y[few].astype(float), (text[40:], rng.normal(0, 1, (360, 2))))
+    flat = rng.normal(0, 1, (400, 2))
+    noise = quality.train((text[few], flat[few]), y[few].astype(float), quality.ArrayPool(text[40:], flat[40:]), *means(text, flat))
     assert ((quality.apply(noise, (text, rng.normal(0, 1, (400, 2))))[:, 0] > 0.5) == y).mean() > 0.95
 
 
+def test_a_table_hands_over_what_all_rows_in_memory_would(spark, docs, monkeypatch):
+    """Moments, surest rows and their views by tasks equal those of one array; every row takes part."""
+    monkeypatch.setattr(quality, "HANDED", 3)
+    monkeypatch.setattr(quality, "SURE", 0.5)
+    many = docs.union(docs).withColumn("row", F.monotonically_increasing_id()).withColumn("label", F.lit(None).cast("double"))
+    views = many.select("row", "label", "text", *quality.META).repartition(5).mapInArrow(
+        quality._view_rows, "row long, label double, text array<float>, meta array<float>").checkpoint()
+    rows = sorted(views.collect(), key=lambda r: r.row)
+    text, meta = np.array([r.text for r in rows], float), quality.meta_view(np.array([r.meta for r in rows], float))
+    mean, scale = quality.moments(views)
+    for k, v in enumerate((text, meta)):
+        assert np.allclose(mean[k], v.mean(axis=0)) and np.allclose(scale[k], v.std(axis=0) + 1e-6, atol=1e-5)
+    draw = np.random.default_rng(1)
+    models = [{"mean": mean[k], "scale": scale[k], "w": draw.normal(size=v.shape[1] + 1)} for k, v in enumerate((text, meta))]
+    numbers = np.array([r.row for r in rows])
+    taken = numbers[::4]
+    got = quality.TablePool(views).surest(models, taken)
+    want = quality.ArrayPool(text, meta).surest(models, np.arange(len(rows))[::4])
+    assert [(k, label, row) for k, label, _, row in got] == [(k, label, numbers[i]) for k, label, _, i in want] and got
+    given = quality.TablePool(views).rows(np.array([r[3] for r in got]))
+    assert np.allclose(given[0], text[[r[3] for r in want]]) and np.allclose(given[1], meta[[r[3] for r in want]])
+
+
+def test_contradicting_labels_are_left_out(spark, docs):
+    sure = [(1, 1), (2, 1), (3, 0), (9, 0), (10, 1), (14, 0), (15, 1), (16, 0), (17, 1), (8, 0)]
+    schema = "doc_id long, quality int"
+    plain, mixed = (quality.fit(docs, spark.createDataFrame(rows, schema)) for rows in (sure, [*sure, (12, 1), (12, 0), (13, None)]))
+    assert np.allclose(plain["vote"], mixed["vote"])
+
+
 def test_awkward_rows(spark, docs, no_docs):
     labels = spark.createDataFrame([(i, q) for i, q in [(1, 1), (2, 1), (3, 0), (4, 0), (8, 1), (9, 0), (10, 1), (14, 0), (15, 1), (16, 0), (17, 1), (12, None)]],
                                    "doc_id long, quality int")
