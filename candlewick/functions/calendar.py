@@ -51,3 +51,10 @@ def weekdays_to_month_end(date: Column) -> Column:
         for j in range(1, 7)
     )
     return q * 5 + tail
+
+
+def candle_part(date: Column, horizon: str) -> Column:
+    """Where in its candle a date lies: the weekday (Monday = 0), of monthly candles the week of the month (0 to 4)."""
+    if known_horizon(horizon) == "monthly":
+        return F.floor((F.dayofmonth(date) - 1) / 7).cast("int")
+    return weekday0(date)

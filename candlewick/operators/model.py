@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,30 @@ def baseline_scores(split: DataFrame, target: str, by: Sequence[str] = ("ticker"
     return test.join(q, list(by), "left").select("Date", *by, F.col(target).alias("y"), *QUANTILES.keys())
 
 
+#: Size of a quantile sketch, and the rank error that it keeps to however many sketches are merged.
+SKETCH_K = 400
+
+
+def rank_error(k: int = SKETCH_K) -> float:
+    """The published bound of a KLL sketch's error in rank, as a share of the rows."""
+    return 2.296 / k ** 0.9723
+
+
+def label_sketches(rows: DataFrame, target: str, by: Sequence[str], period: Column, k: int = SKETCH_K) -> DataFrame:
+    """M10 from stored parts: (by, period, n, sketch), a quantile sketch of the labels of each group and period.
+
+    A sketch has a bounded size; a new period adds rows and changes no old one.
+    """
+    return rows.where(F.col(target).isNotNull()).groupBy(*by, period.alias("period")).agg(
+        F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(target).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, by: Sequence[str], k: int = SKETCH_K) -> DataFrame:
+    """(by, n, q10, q50, q90) of the merged sketches: any periods, no label read again; ranks are right to ``rank_error``."""
+    merged = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("_all"))
+    return merged.select(*by, "n", *[F.kll_sketch_get_quantile_double("_all", F.lit(a)).alias(q) for q, a in QUANTILES.items()])
+
+
 # ---------------------------------------------------------------- frame and metadata of the fitted model
 # Per-horizon depth limit, minimum rows per leaf, row and column
 # subsampling, and seed.  Boosting rounds, learning rate, early stopping,

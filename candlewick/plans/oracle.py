@@ -942,6 +942,29 @@ def sql_missing_anchor() -> str:
     return q.render(final(["Date", "ticker", "anchor_close_daily"], p, ["anchor_close_daily"], "day(Date) <> 13 AND anchor_close_daily IS NOT NULL"))
 
 
+def candle_part(h: str) -> str:
+    return "CAST((day(Date) - 1) // 7 AS INTEGER)" if h == "monthly" else "CAST(isodow(Date) - 1 AS INTEGER)"
+
+
+def sql_baseline_buckets() -> str:
+    q = Sql()
+    parts = []
+    for h in HORIZONS:
+        q.add(f"sb_{h}", f"SELECT *, {candle_part(h)} AS bucket FROM {split_cte(q, h)}")
+        q.add(f"bb_{h}", f"""SELECT ticker, bucket, {', '.join(f'quantile_cont(target_{h}, {a}) AS q{int(a * 100)}' for a in (0.1, 0.5, 0.9))}
+FROM sb_{h} WHERE part = 'train' GROUP BY ALL""")
+        parts.append(f"""SELECT '{h}' AS horizon, Date, ticker, bucket, {grid(f'target_{h}')} AS y, {', '.join(f'{grid(c)} AS {c}' for c in ('q10', 'q50', 'q90'))}
+FROM sb_{h} LEFT JOIN bb_{h} USING (ticker, bucket) WHERE part = 'test'""")
+    return q.render(_union(parts))
+
+
+def sql_sketch_quantiles() -> str:
+    q = Sql()
+    parts = [f"""SELECT '{h}' AS horizon, ticker, {candle_part(h)} AS bucket, count(*) AS n, true AS within_bound FROM {split_cte(q, h)}
+WHERE part = 'train' AND Date >= DATE '1998-01-01' GROUP BY ALL""" for h in HORIZONS]
+    return q.render(_union(parts))
+
+
 def oracle_sql() -> dict[str, str]:
     out = {"bars_daily": sql_bars_daily()}
     for name in BLOCKS:
@@ -972,7 +995,7 @@ def oracle_sql() -> dict[str, str]:
         "market_snapshot": sql_market_snapshot(), "profit_estimate": sql_profit_estimate(),
         "forecast_card": sql_forecast_card(), "market_summary": sql_market_summary(),
         "interval_sample": sql_interval_sample(), "residual_hist": sql_residual_hist(),
-        "store_read": sql_store_read(), "long_series": sql_long_series(), "events_asof": sql_events_asof(), "cv_curve": sql_cv_curve(), "ticker_files": sql_ticker_files(), "missing_anchor": sql_missing_anchor(),
+        "store_read": sql_store_read(), "long_series": sql_long_series(), "events_asof": sql_events_asof(), "cv_curve": sql_cv_curve(), "baseline_buckets": sql_baseline_buckets(), "sketch_quantiles": sql_sketch_quantiles(), "ticker_files": sql_ticker_files(), "missing_anchor": sql_missing_anchor(),
         "report_metrics": sql_evaluate_all(), "report_residuals": sql_residual_hist(), "corr_pairwise": sql_corr_pairwise(), "quantile_regression": sql_quantile_regression(),
     })
     return out

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.calendar import period_id
+from ..functions.calendar import candle_part, period_id
 from ..functions.numeric import GRID
 from ..operators import decide, eda, evaluate, sampling
 from ..operators.features import (
@@ -37,7 +37,7 @@ from ..operators.quantreg import fit_lines
 from ..operators.forest import WEIGHT_STEPS, QuantileForest, best_trees, curve_summary, fit_forest, learning_curve
 from ..operators.indicators import BACKEND_PERIODS, MODEL_PERIODS
 from ..operators.labels import N_SPLITS, build_label, embargo, group_folds, sample_weight, split_summary
-from ..operators.model import baseline_scores, model_metadata
+from ..operators.model import baseline_scores, label_sketches, merged_quantiles, model_metadata, rank_error
 from ..session import scratch_path
 from ..sources import store
 from ..sources.bars import cut_after_last_close, drop_missing_close, read_tickers, table
@@ -269,6 +269,33 @@ def q_baseline_quantiles(spark, sf):
     return finish(_scored(spark, sf))
 
 
+def _bucketed(spark, sf, h):
+    """The split with the part of the candle that a row lies in."""
+    return P.split(spark, sf, h, PERIODS[h]).withColumn("bucket", candle_part(F.col("Date"), h))
+
+
+def q_baseline_buckets(spark, sf):
+    """M10 per ticker and bucket: quantiles of the train rows in the same part of their candle, for the test rows."""
+    return finish(P.all_horizons(lambda h: baseline_scores(_bucketed(spark, sf, h), f"target_{h}", ["ticker", "bucket"])))
+
+
+def q_sketch_quantiles(spark, sf):
+    """M10 from sketches per ticker, bucket and month, stored and merged over the train rows since 1998: rows, and whether
+    the exact rank of each quantile in them is within the sketch's bound."""
+    def one(h):
+        by, target = ["ticker", "bucket"], F.col(f"target_{h}")
+        rows = _bucketed(spark, sf, h).where(F.col("part") == "train")
+        path = scratch_path(spark, f"sketches-{h}-{uuid.uuid4().hex}")
+        label_sketches(rows, f"target_{h}", by, period_id(F.col("Date"), "monthly")).write.parquet(path)
+        found = merged_quantiles(spark.read.parquet(path).where("period >= 199801"), by)
+        window = rows.where("Date >= '1998-01-01'").join(found, by)
+        share = lambda c: F.count_if(c) / F.count("*")
+        slack = rank_error() + 1 / F.count("*")
+        right = [(share(target < F.col(q)) - slack <= a) & (share(target <= F.col(q)) + slack >= a) for q, a in evaluate.QUANTILES.items()]
+        return window.groupBy(*by).agg(F.first("n").alias("n"), functools.reduce(lambda a, b: a & b, right).alias("within_bound"))
+    return P.all_horizons(one)
+
+
 def q_evaluate_all(spark, sf):
     return finish(evaluate.evaluate_all(_scored(spark, sf)))
 
@@ -589,6 +616,7 @@ def registry() -> dict[str, Q]:
         "split_groups": q_split_groups, "split_summary": q_split_summary, "kfold": q_kfold,
         "sample_weight": q_sample_weight, "corr_matrix": q_corr_matrix, "corr_pairwise": q_corr_pairwise, "association": q_association,
         "association_top": q_association_top, "baseline_quantiles": q_baseline_quantiles,
+        "baseline_buckets": q_baseline_buckets, "sketch_quantiles": q_sketch_quantiles,
         "evaluate_all": q_evaluate_all, "confusion_matrix": q_confusion_matrix,
         "recommendation": q_recommendation, "contract_check": q_contract_check,
         "latest_dates": q_latest_dates, "sync_status": q_sync_status,

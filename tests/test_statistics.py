@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from candlewick.operators import eda
 from candlewick.operators.labels import group_folds, lightest_folds
+from candlewick.operators.model import label_sketches, merged_quantiles, rank_error
 
 
 @pytest.mark.parametrize("seed", range(40))
@@ -53,3 +54,17 @@ def test_correlations_are_pairwise_complete(spark):
             w = want.loc[a, b]
             assert (got[a, b] is None) if w != w else got[a, b] == pytest.approx(w, abs=1e-9), (a, b)
     assert eda.corr_matrix(df.limit(0), ["a", "b"]).where("corr IS NOT NULL").count() == 0
+
+
+def test_merged_sketches_keep_to_the_rank_error(spark):
+    rows = spark.range(200_000).select((F.col("id") % 40).cast("int").alias("month"), F.when(F.col("id") % 3 > 0, "A").otherwise("B").alias("ticker"),
+                                       (F.rand(1) * F.rand(2)).alias("y")).checkpoint()
+    parts = label_sketches(rows, "y", ["ticker"], F.col("month"), 100)
+    assert parts.count() == 80
+    found = merged_quantiles(parts.where("period < 30"), ["ticker"], 100)
+    window = rows.where("month < 30").toPandas()
+    for r in found.collect():
+        y = window[window.ticker == r.ticker].y
+        assert r.n == len(y)
+        for q, a in (("q10", 0.1), ("q50", 0.5), ("q90", 0.9)):
+            assert abs((y <= r[q]).mean() - a) <= rank_error(100)
