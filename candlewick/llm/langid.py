@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,21 +74,21 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
     low = F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < shares[F.col(lang_col)] * 1_000_003
     counted = stage(known.filter(low).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(
         _counter, "lang string, n int, gram string, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times")), "counted")
-    entries = counted.toPandas().sort_values(["n", "gram", "lang"], kind="stable")
     langs = sorted(sizes)
-    number = {lang: i for i, lang in enumerate(langs)}
-    own = entries["lang"].map(number).to_numpy(np.int32)
+    entries = counted.toArrow()  # Arrow columns all the way: the driver holds no Python string of it
+    entries = entries.take(pa.compute.sort_indices(entries, [(c, "ascending") for c in ("n", "gram", "lang")])).combine_chunks()
+    own = pa.compute.index_in(entries["lang"], pa.array(langs)).to_numpy().astype(np.int32)
+    order, times, gram = entries["n"].to_numpy(), entries["times"].to_numpy(), entries["gram"].combine_chunks()
     total = np.zeros((len(ORDERS) + 1, len(langs)))
-    np.add.at(total, (entries["n"].to_numpy(), own), entries["times"].to_numpy())
+    np.add.at(total, (order, own), times)
     # Log frequencies; half an occurrence where a language never has the entry.
     never = np.log(0.5 / (total + 1.0))
-    more = np.log(entries["times"].to_numpy() + 0.5) - np.log(0.5)
-    new = ((entries["gram"] != entries["gram"].shift()) | (entries["n"] != entries["n"].shift())).to_numpy()
-    starts = np.append(np.flatnonzero(new), len(entries)).astype(np.int64)
-    index: dict[int, dict[str, int]] = {n: {} for n in (0, *ORDERS)}
-    for i, (n, gram) in enumerate(zip(entries["n"][new].tolist(), entries["gram"][new].tolist(), strict=True)):
-        index[n][gram] = i
-    return {"langs": langs, "index": index, "never": never, "starts": starts, "lang": own, "more": more.astype(np.float32)}
+    more = np.log(times + 0.5) - np.log(0.5)
+    new = np.ones(len(order), bool)
+    new[1:] = (order[1:] != order[:-1]) | pa.compute.not_equal(gram.slice(1), gram.slice(0, max(0, len(gram) - 1))).to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(new)
+    return {"langs": langs, "grams": gram.take(pa.array(first)), "orders": order[first], "never": never,
+            "starts": np.append(first, len(order)).astype(np.int64), "lang": own, "more": more.astype(np.float32)}
 
 
 class Scorer:
@@ -95,6 +96,9 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.model = model
+        self.known: dict[int, dict[str, int]] = {n: {} for n in (0, *ORDERS)}
+        for i, (n, gram) in enumerate(zip(model["orders"].tolist(), model["grams"].to_pylist(), strict=True)):
+            self.known[n][gram] = i
         self.forget()
 
     def forget(self) -> None:
@@ -103,7 +107,7 @@ class Scorer:
 
     def entries(self, word: str) -> tuple[int, list[int]]:
         """The order that answers for a word (0 the word itself) and the entries of it; order 1 without entries if none does."""
-        known = self.model["index"]
+        known = self.known
         at = known[0].get(word)
         if at is not None:
             return 0, [at]
