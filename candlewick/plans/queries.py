@@ -36,6 +36,7 @@ from ..operators.ranges import asof_join, series_windows
 from ..operators.quantreg import fit_lines
 from ..operators.forest import WEIGHT_STEPS, QuantileForest, best_trees, curve_summary, fit_forest, learning_curve
 from ..operators.indicators import BACKEND_PERIODS, MODEL_PERIODS
+from ..operators.information import knn_information
 from ..operators.labels import N_SPLITS, build_label, embargo, group_folds, sample_weight, split_summary
 from ..operators.model import baseline_scores, label_sketches, merged_quantiles, model_metadata, rank_error
 from ..session import scratch_path
@@ -265,6 +266,14 @@ def q_association_top(spark, sf):
     return finish(eda.top_association(P.all_horizons(lambda h: _associations(spark, sf, h)), TOP_FEATURES, by=["horizon"]))
 
 
+def q_knn_information(spark, sf):
+    """G15 by the k-nearest-neighbour estimator, every feature of every horizon."""
+    def one(h):
+        df = P.features(spark, sf, h, PERIODS[h])
+        return knn_information(df, _names(spark, sf, h), f"target_{h}")
+    return P.all_horizons(one)
+
+
 def q_baseline_quantiles(spark, sf):
     return finish(_scored(spark, sf))
 
@@ -615,7 +624,7 @@ def registry() -> dict[str, Q]:
     reg.update({
         "split_groups": q_split_groups, "split_summary": q_split_summary, "kfold": q_kfold,
         "sample_weight": q_sample_weight, "corr_matrix": q_corr_matrix, "corr_pairwise": q_corr_pairwise, "association": q_association,
-        "association_top": q_association_top, "baseline_quantiles": q_baseline_quantiles,
+        "association_top": q_association_top, "knn_information": q_knn_information, "baseline_quantiles": q_baseline_quantiles,
         "baseline_buckets": q_baseline_buckets, "sketch_quantiles": q_sketch_quantiles,
         "evaluate_all": q_evaluate_all, "confusion_matrix": q_confusion_matrix,
         "recommendation": q_recommendation, "contract_check": q_contract_check,

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candlewick.operators import eda
+from candlewick.operators.information import knn_information
 from candlewick.operators.labels import group_folds, lightest_folds
 from candlewick.operators.model import label_sketches, merged_quantiles, rank_error
 
@@ -68,3 +69,33 @@ def test_merged_sketches_keep_to_the_rank_error(spark):
         assert r.n == len(y)
         for q, a in (("q10", 0.1), ("q50", 0.5), ("q90", 0.9)):
             assert abs((y <= r[q]).mean() - a) <= rank_error(100)
+
+
+def brute_information(x, y, k):
+    """Every distance at once, and digamma from harmonic numbers."""
+    x, y = (x - x.mean()) / (x.std() or 1.0), (y - y.mean()) / (y.std() or 1.0)
+    dx, dy = np.abs(x[:, None] - x), np.abs(y[:, None] - y)
+    both = np.maximum(dx, dy)
+    np.fill_diagonal(both, np.inf)
+    far = np.sort(both, axis=1)[:, k - 1]
+    psi = lambda m: sum(1 / i for i in range(1, int(m))) - 0.5772156649015329
+    nx, ny = (np.sum(d <= np.maximum(0, far * (1 - 1e-12) - 1e-12 * np.abs(v))[:, None], axis=1) for d, v in ((dx, x), (dy, y)))
+    return max(0.0, psi(len(x)) + psi(k) - np.mean([psi(m) for m in nx]) - np.mean([psi(m) for m in ny]))
+
+
+@pytest.mark.parametrize("tile", [20, 60, 10_000])
+def test_knn_information_equals_brute_force(spark, tile):
+    draw = np.random.default_rng(9)
+    n = 400
+    pdf = pd.DataFrame({"a": draw.normal(size=n), "b": draw.exponential(size=n) ** 3, "c": draw.integers(0, 6, n).astype(float), "d": 2.0})
+    pdf["y"] = np.sin(pdf.a * 2) + 0.3 * draw.normal(size=n) + 0.2 * pdf.c
+    pdf.loc[:3, "y"] = [40.0, -35.0, 38.0, 40.0]  # far away: their neighbours lie outside of the tiles around them
+    got = {r.feature: r for r in knn_information(spark.createDataFrame(pdf).repartition(3), ["a", "b", "c", "d"], "y", 3, tile).collect()}
+    for c in "abcd":
+        assert got[c].n_rows == n and got[c].mutual_info == pytest.approx(brute_information(pdf[c].to_numpy(), pdf.y.to_numpy(), 3), abs=1e-6), c
+    assert got["a"].mutual_info > got["b"].mutual_info
+
+
+def test_knn_information_of_few_rows(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (None, 1.0), (2.0, float("nan"))], "a double, y double")
+    assert [(r.feature, r.mutual_info, r.n_rows) for r in knn_information(df, ["a"], "y").collect()] == [("a", 0.0, 1)]
