@@ -13,11 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .labels import pct_2dp
-from .sampling import value_ranks
 
 MI_BINS = 10          # equal-frequency bins per variable for mutual information
 TOP_N_ASSOCIATION = 25
+RANK_RANGES = 64      # ranges of values in which ranks are taken
 
 
 def missing_report(df: DataFrame) -> DataFrame:
@@ -100,20 +101,38 @@ def association(df: DataFrame, features: Sequence[str], target: str, bins: int =
     Mutual information uses ``bins`` equal-frequency bins per variable (bin of
     a value from its min rank) and natural logs; it replaces the reference's
     k-NN estimator and is meant for ranking features.  Ranks are taken in ranges
-    of the values (``value_ranks``), so no task holds a whole feature.
+    of the values, so no task holds a whole feature: the wide rows are shuffled
+    once for the label's ranks and the unfolded ones once for the features';
+    what is joined to them is one row per range.
     """
     feats = list(features)
-    clean = clean_rows(df, feats + [target])
-    n = clean.select(F.count("*")).scalar()
-    ranked = value_ranks(clean.withColumns({"_all": F.lit(0), "_t": F.col(target)}), ["_all"], "_t", "_t_rank", "_t_min")
-    ranked = ranked.checkpoint()      # read by the sizes and by the rows of each range
-    long = ranked.select("_t", "_t_rank", "_t_min",
-                         F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"))
-                                             for f in feats])).alias("kv")) \
-        .select("_t", "_t_rank", "_t_min", "kv.feature", "kv.value")
+    clean = written(clean_rows(df, feats + [target]).select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate([*feats, target])]), "clean")
+    n = clean.count()
+    columns = clean.columns
+    # One pass gives the edges of all columns; they travel as one row, and each value finds its range before the rows are unfolded.
+    levels = ", ".join(f"{i / RANK_RANGES}D" for i in range(1, RANK_RANGES))
+    edges = clean.selectExpr(f"array({', '.join(f'percentile_approx({c}, array({levels}), 10000)' for c in columns)}) AS e").scalar()
+    ranged = clean.withColumn("_edges", edges).selectExpr(*columns, *[f"size(filter(_edges[{i}], e -> e < {c})) AS r{i}" for i, c in enumerate(columns)])
+    unfold = lambda upto: ", ".join(f"struct({i} AS feature, x{i} AS value, r{i} AS _b)" for i in range(upto))
+    sizes = ranged.selectExpr(f"inline(array({unfold(len(columns))}))").groupBy("feature", "_b").agg(F.count("*").alias("_cnt"))
+    before = Window.partitionBy("feature").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = written(sizes.select("feature", "_b", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off")), "offsets")  # a row a range
+
+    def ranks(rows: DataFrame, by: list[str], value: str, average: str, least: str) -> DataFrame:
+        """Tie-averaged and least 1-based ranks, inside the ranges and on top of the lower ones."""
+        first = F.rank().over(Window.partitionBy(*by, "_b").orderBy(value))
+        ties = F.count("*").over(Window.partitionBy(*by, "_b", value))
+        placed = rows.withColumns({"_in": first, "_ties": ties}).join(offsets, ["feature", "_b"])
+        return placed.withColumns({least: F.col("_in") + F.col("_off"), average: F.col("_in") + F.col("_off") + (F.col("_ties") - 1) / 2.0}).drop(
+            "_in", "_ties", "_off", "_b")
+
+    last = len(feats)
+    labelled = ranks(ranged.withColumns({"feature": F.lit(last), "_b": F.col(f"r{last}"), "_t": F.col(f"x{last}")}), [], "_t", "_t_rank", "_t_min").drop("feature")
+    long = labelled.selectExpr("_t", "_t_rank", "_t_min", f"inline(array({unfold(last)}))")
     binned = lambda r: F.least(F.lit(bins - 1), F.floor((r - 1) * bins / n)).cast("int")
-    j = value_ranks(long, ["feature"], "value", "_avg_rank", "_min_rank").select(
-        "feature", "value", "_t", "_avg_rank", "_t_rank", binned(F.col("_min_rank")).alias("bx"), binned(F.col("_t_min")).alias("by")).checkpoint()
+    j = written(ranks(long, ["feature"], "value", "_avg_rank", "_min_rank").select(
+        F.get(F.array(*[F.lit(f) for f in feats]), F.col("feature")).alias("feature"), "value", "_t", "_avg_rank", "_t_rank",
+        binned(F.col("_min_rank")).alias("bx"), binned(F.col("_t_min")).alias("by")), "ranked")
     stats = j.groupBy("feature").agg(
         _pair_corr(F.col("value"), F.col("_t")).alias("pearson"),
         _pair_corr(F.col("_avg_rank"), F.col("_t_rank")).alias("spearman"))

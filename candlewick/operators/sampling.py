@@ -35,15 +35,6 @@ def in_buckets(df: DataFrame, by: Sequence[str], y: str, buckets: int = 64) -> D
     return b.join(offs, [*by, "_b"])
 
 
-def value_ranks(df: DataFrame, by: Sequence[str], y: str, average: str, least: str, buckets: int = 64) -> DataFrame:
-    """Add the tie-averaged and the least 1-based rank of y within its group, ranked range by range."""
-    inside = Window.partitionBy(*by, "_b").orderBy(y)
-    ties = Window.partitionBy(*by, "_b", y)
-    first = F.rank().over(inside) + F.col("_off")
-    return (in_buckets(df, by, y, buckets).withColumns({least: first, average: first + (F.count("*").over(ties) - 1) / 2.0})
-            .drop("_b", "_off", "_n"))
-
-
 def ordered_position(df: DataFrame, by: Sequence[str], y: str, tie: Sequence[str],
                      buckets: int = 64) -> DataFrame:
     """0-based position of every row in (y, *tie) order within its group,

@@ -10,6 +10,8 @@ Nothing here triggers an action except ``stage``: the stages read many times
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 import os
 import threading
 import uuid
@@ -35,17 +37,50 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(spark, ("bars", sf_dir, *inputs(spark, sf_dir)), lambda: load_bars(spark, sf_dir))
 
 
+_LISTED: dict[tuple, tuple] = {}
+_LISTING = {"depth": 0}
+_LIST_GUARD = threading.Lock()
+
+
+@contextlib.contextmanager
+def one_listing():
+    """Within it the input files are listed once, however many stages a query asks for."""
+    with _LIST_GUARD:
+        _LISTING["depth"] += 1
+    try:
+        yield
+    finally:
+        with _LIST_GUARD:
+            _LISTING["depth"] -= 1
+            if not _LISTING["depth"]:
+                _LISTED.clear()
+
+
 def inputs(spark: SparkSession, sf_dir: str) -> tuple:
-    """Path, size and time of every input file: a stage is built anew when they change."""
+    """A digest of path, size and time of every input file: a stage is built anew when they change.
+
+    One call per folder level and table, whose whole listing comes back as one string.
+    """
+    key = (session_key(spark), sf_dir)
+    with _LIST_GUARD:
+        if key in _LISTED:
+            return _LISTED[key]
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    seen = []
+    digest = hashlib.sha256()
     for name in ("lineitem", "orders"):
-        path = jvm.org.apache.hadoop.fs.Path(os.path.join(sf_dir, f"{name}.parquet"))
-        files = path.getFileSystem(conf).listFiles(path, True)
-        while files.hasNext():
-            f = files.next()
-            seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
-    return tuple(sorted(seen))
+        pattern = os.path.join(sf_dir, f"{name}.parquet")
+        while True:
+            path = jvm.org.apache.hadoop.fs.Path(pattern)
+            found = path.getFileSystem(conf).globStatus(path)
+            if not found:
+                break
+            digest.update(jvm.scala.runtime.ScalaRunTime.stringOf(found).encode())
+            pattern = os.path.join(pattern, "*")
+    out = (digest.hexdigest(),)
+    with _LIST_GUARD:
+        if _LISTING["depth"]:
+            _LISTED[key] = out
+    return out
 
 
 def gauge(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -606,6 +606,14 @@ def q_snapshot_records(spark, sf):
     return finish(joined.select("ticker", "Date", "daily.close_daily_last", "weekly.close_weekly_last", "monthly.close_monthly_last"))
 
 
+def _listed_once(query: Q) -> Q:
+    @functools.wraps(query)
+    def run(spark, sf):
+        with P.one_listing():
+            return query(spark, sf)
+    return run
+
+
 def registry() -> dict[str, Q]:
     reg: dict[str, Q] = {"bars_daily": q_bars_daily}
     for name, b in BLOCK_QUERIES.items():
@@ -642,4 +650,4 @@ def registry() -> dict[str, Q]:
         "report_metrics": q_report_metrics, "report_residuals": q_report_residuals, "model_report": q_model_report, "quantile_regression": q_quantile_regression,
         "model_contract": q_model_contract, "batch_predict": q_batch_predict, "model_evaluate": q_model_evaluate,
     })
-    return reg
+    return {name: _listed_once(query) for name, query in reg.items()}
