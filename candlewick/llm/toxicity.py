@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from candlewick.llm.common import slices
 
 TOKEN = re.compile(r"\w+")
-#: The fit takes this many labelled texts of each class at most, none over TRAIN_CHARS characters.
+#: The fit takes this many labelled texts of each class at most, longer ones than TRAIN_CHARS characters only for want of others.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 3000, 20_000
 #: A feature marks a toxic token if toxic texts have it this many times as often as clean ones, and so clearly that among all
 #: features fewer than MARK_CHANCE would do so by chance.
@@ -239,8 +239,11 @@ def fit(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str =
     """A model from a bounded sample of the labelled rows, chosen by a hash of their id.
 
     ``labels(id, label)`` with 1 for toxic. The sample has n_toxic + n_clean
-    rows of max_chars characters at most, which alone come to the driver.
-    None if either class is missing.
+    rows, which alone come to the driver: texts over max_chars characters only
+    where there are too few others, whole, and as many as keep the sample
+    within as many characters as rows of max_chars would have (one at least).
+    None if either class is missing. Ids with both labels are in both classes;
+    rows repeated count once.
     """
     sizes = {r[0]: r[1] for r in labels.filter(F.col(label_col).isin(0, 1)).groupBy(label_col).count().collect()}
     if len(sizes) < 2:
@@ -248,9 +251,15 @@ def fit(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str =
     parts = []
     for value, limit in ((1, n_toxic), (0, n_clean)):
         rows = labels.filter(F.col(label_col) == value).select(F.col(id_col).alias("_l_id")).distinct()
-        pick = rows.orderBy(F.xxhash64("_l_id"), "_l_id").limit(limit)
-        texts = (df.join(F.broadcast(pick), F.col(id_col) == F.col("_l_id")).filter(F.length(text_col) <= max_chars)
-                 .select(F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("h")).orderBy("h").limit(limit).toPandas())
+        narrow = df.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("h"), F.length(text_col).alias("n")).filter("n IS NOT NULL")
+        held = narrow.join(rows, F.col("_id") == F.col("_l_id")).groupBy("_id", "h").agg(F.first("n").alias("n"))
+        order = [F.col("n") > max_chars, F.xxhash64("_id"), "_id", "h"]
+        pick = held.orderBy(*order).limit(limit).toPandas()  # ids and lengths
+        within = pick[(pick["n"].cumsum() <= limit * max_chars) | (pick.index == 0)]
+        asked = df.sparkSession.createDataFrame(list(within[["_id", "h"]].itertuples(index=False, name=None)), held.select("_id", "h").schema)
+        texts = (df.select(F.col(id_col).alias("_d_id"), F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("_d_h"))
+                 .join(F.broadcast(asked), (F.col("_d_id") == F.col("_id")) & (F.col("_d_h") == F.col("h")))
+                 .select("t", "h").dropDuplicates(["t", "h"]).orderBy("h").toPandas())
         parts.append(texts["t"].tolist())
     return train(*parts, sizes[1] / (sizes[0] + sizes[1]))
 
@@ -259,7 +268,9 @@ def tag(df: DataFrame, model: dict | None, text_col: str = "text", id_col: str =
     """One row per row of ``df``: id, score, spans (start and end characters in the lower-cased text).
 
     Null and empty texts have no token: their score is the curve's value for
-    none. Without a model every score is 0 and no span is tagged.
+    none. Rows are independent: repeated ones get equal results, null ids are
+    kept, an empty table gives no row, a very long text is scored whole.
+    Without a model every score is 0 and no span is tagged.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 

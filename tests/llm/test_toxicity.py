@@ -64,3 +64,16 @@ def test_only_near_copies_of_a_label_are_dropped():
     assert toxicity._distinct(share, np.array([1] * 20 + [0] * 20)) == list(range(40))
     long = [word("q", k) for k in range(400)]
     assert toxicity._distinct([long, long, [*long, "end"], long, long], np.array([1, 1, 1, 0, 0])) == [0, 3]
+
+
+def test_long_texts_train_where_there_are_no_others(spark):
+    """A corpus of long texts only is learnt from, whole; where short ones suffice they are taken."""
+    filler = lambda: " ".join(f"word{i}" for i in draw.integers(0, 400, 200))
+    draw = np.random.default_rng(0)
+    rows = [(i, " ".join([filler(), *["gruk vex" if i % 2 else "fine day"] * 4, filler()])) for i in range(120)]
+    df = spark.createDataFrame([*rows, (1, rows[1][1]), (500, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(500, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels, max_chars=1000)
+    assert model is not None
+    scores = {r.doc_id: r.score for r in toxicity.tag(df, model).collect()}
+    assert min(s for i, s in scores.items() if i < 120 and i % 2) > max(s for i, s in scores.items() if i < 120 and not i % 2)
